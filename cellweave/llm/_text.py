@@ -98,9 +98,11 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tu
     return s, e, np.searchsorted(s, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each lower-cased word; for each text, the number of its first word."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each lower-cased word (of its first ``most`` bytes); for each text, the number of its first word."""
     s, e, first = word_spans(data, offsets, is_word)
+    if most is not None:
+        e = np.minimum(e, s + most)
     out = np.empty(len(s), np.uint64)
     for a, b in _pieces(data, offsets, is_word):
         i, j = np.searchsorted(s, (a, b))

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from cellweave.llm import ngram_join
+from cellweave.llm import decontaminate, line_dedup, ngram_join, toxicity, unigram, url_filter
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1,
+    "op4_decontamination": decontaminate.op4,
     "op5_ngram_jaccard": ngram_join.op5,
+    "op7_url_filters": url_filter.op7,
+    "op8_line_dedup": line_dedup.op8,
+    "op10_sentencepiece": unigram.op10,
+}
+SQL = {
+    "op4_decontamination": decontaminate.SQL,
+    "op7_url_filters": url_filter.SQL,
+    "op8_line_dedup": line_dedup.SQL,
 }
-SQL: dict[str, str] = {}
