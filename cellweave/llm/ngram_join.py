@@ -7,11 +7,11 @@ when they share a subset of the o = ceil(3 (n + m) / 7) shingles that the thresh
 subset's group are linked with its smallest member, which leaves the components as they are.
 
 *Heavy* sets are joined by scanning inverted lists of their n - ceil(0.75 n) + 1 first shingles in one
-global order. Any order is exact; the one taken puts frequent shingles last. Lists of up to ``SHORT``
-members give all their pairs; longer lists first link their members with two pivots, and afterwards only
-blocks of members that are still in different components are compared. Pairs pass size and parity-bitmap
-bounds, both exact, and then the intersection itself. The sizes up to which a set is light come from the
-cost of both ways on the sizes at hand.
+global order. Any order is exact; the one taken puts frequent shingles last. The members of a list first meet its
+pivots; of lists that still reach into several components, those of up to ``SHORT`` members give all pairs
+between components, and longer ones are compared block by block, twice for each member's likest one and
+then for all that is left. Pairs pass size and parity-bitmap bounds, both exact, and then the intersection
+itself. The sizes up to which a set is light come from the cost of both ways on the sizes at hand.
 
 Null texts and texts without words have an empty set and link with nothing. Repeated rows are rows of
 their own with the same component. Columns other than the id and the text aren't read.
@@ -250,30 +250,90 @@ def _verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     return both.where(100 * shared >= 75 * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def _blocks(long: DataFrame, spark: SparkSession) -> DataFrame:
-    """Pairs in different components from the lists of ``long(shingle, set_id, root, n, bits)``, compared block by block."""
-    lists = long.groupBy("shingle").agg(F.count("*").alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("shingle", F.expr(f"cast(ceil(c / {BLOCK}) as int)").alias("nb"))
-    here = long.join(lists, "shingle").withColumn("mine", F.expr("cast(pmod(xxhash64(set_id, shingle), nb) as int)"))
+def _alike(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of members i[k] and j[k], those in different components whose sizes and bitmaps allow a link; their bits apart per shingle."""
+    n = x["n"]
+    ok = np.flatnonzero((x["root"][i] != x["root"][j]) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])))
+    apart = np.bitwise_count(x["bits"][i[ok]] ^ x["bits"][j[ok]]).sum(axis=1, dtype=np.int64)
+    both = n[i[ok]] + n[j[ok]]
+    fine = 7 * apart <= both
+    return ok[fine], apart[fine] / both[fine]
+
+
+def _arrays(t: pa.RecordBatch | pa.Table) -> dict[str, np.ndarray]:
+    x = {c: t.column(c).to_numpy() for c in t.schema.names if c != "bits"}
+    return x | {"n": x["n"].astype(np.int64), "bits": np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)}
+
+
+def _pairs(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> dict[str, np.ndarray]:
+    k = x["set_id"]
+    return {"a": np.minimum(k[i], k[j]), "b": np.maximum(k[i], k[j])}
+
+
+def _short(members: DataFrame) -> DataFrame:
+    """Pairs in different components from lists of up to ``SHORT`` of ``members(shingle, set_id, root, n, bits)``."""
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            # the last list may go on in the next batch
+            key = t.column("shingle").to_numpy()
+            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            held = t.slice(cut)
+            yield from found(t.slice(0, cut))
+        if held is not None:
+            yield from found(held)
+
+    def found(t):
+        for at in range(0, t.num_rows, 8192):
+            # a list belongs to the step that it begins in
+            x = _arrays(t.slice(at, 8192 + SHORT).combine_chunks())
+            key, out = x["shingle"], []
+            first = np.searchsorted(key, key)
+            begun = first < 8192
+            if at:
+                begun &= key != t.column("shingle")[at - 1].as_py()
+            for gap in range(1, SHORT):
+                i = np.flatnonzero((key[gap:] == key[:-gap]) & begun[:-gap]) if gap < len(key) else np.zeros(0, np.int64)
+                if not len(i):
+                    break
+                ok, _ = _alike(x, i, i + gap)
+                out.append(_pairs(x, i[ok], i[ok] + gap))
+            if out:
+                yield pa.RecordBatch.from_pydict({c: np.concatenate([o[c] for o in out]) for c in "ab"})
+
+    return members.repartition("shingle").sortWithinPartitions("shingle").select("shingle", "set_id", "root", "n", "bits").mapInArrow(run, "a long, b long").distinct()
+
+
+def _long(members: DataFrame, lists: DataFrame, best: bool) -> DataFrame:
+    """The same from long lists, compared block by block; with ``best`` only each member's likest one in a block."""
+    nb = lists.select("shingle", F.expr(f"cast(ceil(c / {BLOCK}) as int)").alias("nb"))
+    here = members.join(nb, "shingle").withColumn("mine", F.expr("cast(pmod(xxhash64(set_id, shingle), nb) as int)"))
     laid = here.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)"))).select(
         "shingle", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "set_id", "root", "n", "bits")
 
     def compare(t: pa.Table) -> pa.Table:
-        mine, i, j = (t.column(c).to_numpy() for c in ("mine", "i", "j"))
-        k, root, n = (t.column(c).to_numpy() for c in ("set_id", "root", "n"))
-        x = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-        rows, cols = (np.flatnonzero(mine == i), np.flatnonzero(mine == j))
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        x, out = _arrays(t.combine_chunks()), [{"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)}]
+        rows, cols = (np.flatnonzero(x["mine"] == x[c]) for c in "ij")
         for r in rows:
-            ok = (root[cols] != root[r]) & (4 * np.minimum(n[cols], n[r]) >= 3 * np.maximum(n[cols], n[r]))
-            near = cols[ok]
-            near = near[7 * np.bitwise_count(x[near] ^ x[r]).sum(axis=1, dtype=np.int64) <= n[near].astype(np.int64) + n[r]]
-            a.append(np.minimum(k[near], k[r]))
-            b.append(np.maximum(k[near], k[r]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+            r = np.full(len(cols), r)
+            ok, apart = _alike(x, r, cols)
+            if len(ok) and best:
+                ok = ok[[np.argmin(apart)]]
+            out.append(_pairs(x, r[ok], cols[ok]))
+        return pa.table({c: np.concatenate([o[c] for o in out]) for c in "ab"})
 
     return laid.groupBy("shingle", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
+def _open(member: DataFrame, comp: DataFrame, sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members, with root and bitmap, of the lists that reach into several components; and those lists."""
+    rooted = member.join(comp.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")).select("shingle", "set_id", "root")
+    lists = rooted.groupBy("shingle").agg(F.count("*").alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("shingle", "c")
+    return rooted.join(lists.select("shingle"), "shingle").join(sigs.select("set_id", "n", "bits"), "set_id"), lists
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``(doc_id, n_shingles, n_links, component_id)``, one row for each row of ``docs(doc_id, text)``.
 
@@ -300,32 +360,36 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     sizes = {r.n: r.k for r in sigs.where(f"n <= {LIGHT_MOST}").groupBy("n").agg(F.count("*").alias("k")).collect()}
     most = light_boundary(sizes, sum(e for _, e in levels.values()) / max(1, sum(k for k, _ in levels.values())))
-    links = light_links(docs, most)
 
     lists = scratch.write("lists", entries(docs, order, most).groupBy("shingle").agg(F.count("*").alias("c"), F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo <> hi"))
     only = spark.sparkContext.broadcast(KeyFilter.build(lists.where("c > 2"), "shingle", lists.where("c > 2").count()))
     member = scratch.write("members", entries(docs, order, most, only).distinct().join(lists.where("c > 2"), "shingle"))
 
-    # pairs of short lists, and of long lists with their two pivots
-    long = f"c > {SHORT}"
+    # lists of two are a pair; the members of others first meet their pivots
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    pivots = lists.where(f"c = 2 or {long}").select(*pair("lo", "hi")).union(member.where(f"{long} and set_id <> lo").select(*pair("set_id", "lo"))).union(member.where(f"{long} and set_id <> hi").select(*pair("set_id", "hi"))).distinct()
-    near = scratch.write("near-pivots", _near(pivots, sigs))
-    links = scratch.write("links", links.union(_verified(docs, near, scratch)))
+    pivots = lists.where("c = 2").select(*pair("lo", "hi")).union(member.where("set_id <> lo").select(*pair("set_id", "lo"))).union(member.where(f"c > {SHORT} and set_id <> hi").select(*pair("set_id", "hi"))).distinct()
+    near = scratch.write("near", _near(pivots, sigs))
+    links = scratch.write("links", light_links(docs, most).union(_verified(docs, near, scratch)))
     comp = scratch.write("components", components(links, scratch, "cc"))
 
-    rooted = member.select("shingle", "set_id", "c").join(comp.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")).drop("root_")
-    rooted = scratch.write("rooted", rooted)
-    short = rooted.where(f"not ({long})").select("shingle", "set_id", "root")
-    other = short.select("shingle", F.col("set_id").alias("other"), F.col("root").alias("other_root"))
-    rest = short.join(other, "shingle").where("set_id < other and root <> other_root").select(F.col("set_id").alias("a"), F.col("other").alias("b")).distinct()
-    far = _blocks(rooted.where(long).join(sigs.select("set_id", "n", "bits"), "set_id"), spark)
-    near2 = scratch.write("near-rest", _near(rest, sigs).union(far).distinct())
-    links2 = scratch.write("links-rest", _verified(docs, near2, scratch))
-    every = links.union(links2)
-    comp = scratch.write("components-all", components(every, scratch, "cc-all"))
-
-    n_links = every.select(F.col("a").alias("set_id")).union(every.select("b")).groupBy("set_id").agg(F.count("*").alias("n_links"))
+    member = member.select("shingle", "set_id")
+    # members of long lists meet their likest ones twice before all that is left of a list is compared
+    for k, best in enumerate((True, True, False)):
+        rest, lists = _open(member, comp, sigs)
+        rest, lists = scratch.write(f"open-{k}", rest), scratch.write(f"lists-{k}", lists)
+        long = lists.where(f"c > {SHORT}")
+        near = _long(rest, long, best)
+        if not k:
+            near = near.union(_short(rest.join(lists.where(f"c <= {SHORT}").select("shingle"), "shingle")))
+            member = rest.join(long.select("shingle"), "shingle").select("shingle", "set_id")
+        near = scratch.write(f"near-{k}", near.distinct())
+        if near.isEmpty():
+            break
+        links = scratch.write(f"links-{k}", links.union(_verified(docs, near, scratch)).distinct())
+        comp = scratch.write(f"components-{k}", components(links, scratch, f"cc-{k}"))
+        scratch.drop(f"near-{k}")
+
+    n_links = links.select(F.col("a").alias("set_id")).union(links.select("b")).groupBy("set_id").agg(F.count("*").alias("n_links"))
     named = sigs.select("set_id", "doc_id").join(comp.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")).join(n_links, "set_id", "left")
     least_id = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least_id, "root").select("set_id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
