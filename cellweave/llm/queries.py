@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from cellweave.llm import decontaminate, line_dedup, ngram_join, toxicity, unigram, url_filter
+from cellweave.llm import decontaminate, importance, line_dedup, ngram_join, order_minhash, secrets, toxicity, training_order, unigram, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
+    "op2_training_order": training_order.op2,
+    "op3_order_minhash": order_minhash.op3,
     "op4_decontamination": decontaminate.op4,
     "op5_ngram_jaccard": ngram_join.op5,
+    "op6_secret_scans": secrets.op6,
     "op7_url_filters": url_filter.op7,
     "op8_line_dedup": line_dedup.op8,
+    "op9_importance_resampling": importance.op9,
     "op10_sentencepiece": unigram.op10,
 }
 SQL = {

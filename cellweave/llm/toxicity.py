@@ -156,7 +156,7 @@ def severity(docs: DataFrame, model: Severity) -> DataFrame:
                 lists = pa.ListArray.from_arrays(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1], pa.array(p.ravel()))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score), lists, pa.array(p.sum(axis=1)), pa.array(p[:, 0] >= REJECT)], names=[*b.schema.names, "score", "p_at_least", "expected_severity", "rejected"])
 
-    schema = docs.schema.add("score", "double").add("p_at_least", T.ArrayType(T.DoubleType())).add("expected_severity", "double").add("rejected", "boolean")
+    schema = T.StructType([*docs.schema]).add("score", "double").add("p_at_least", T.ArrayType(T.DoubleType())).add("expected_severity", "double").add("rejected", "boolean")
     return docs.mapInArrow(run, schema)
 
 

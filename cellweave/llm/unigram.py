@@ -57,20 +57,22 @@ class DoubleArray:
                     to = children[at][b] = len(children) - 1
                 at = to
             ends[at] = v
-        size = 4 * len(children) + 1024
+        size = 8 * len(children) + 1024
         base, check, value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
         used = bytearray(size)
         used[0], value[0] = 1, ends[0]
-        free, todo = 1, deque([(0, 0)])
+        begin, todo = 1, deque([(0, 0)])
         while todo:
             node, state = todo.popleft()
             if not (kids := sorted(children[node])):
                 continue
-            while used[free]:
-                free += 1
-            at = max(0, free - kids[0] - 1)
-            while any(used[at + b + 1] for b in kids):
-                at += 1
+            tries, spot = 0, used.find(0, begin + kids[0])
+            while spot <= kids[0] or any(used[spot - kids[0] + b] for b in kids[1:]):
+                spot, tries = used.find(0, spot + 1), tries + 1
+            at = spot - kids[0] - 1
+            if tries > 50:
+                # what lies before is nearly full: later nodes begin here
+                begin = max(begin, at)
             base[state] = at
             for b in kids:
                 to = at + b + 1
@@ -199,7 +201,7 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([*b.columns, lists, pa.array(n, pa.int64()), pa.array(same, pa.bool_())], names=[*b.schema.names, "token_ids", "n_tokens", "round_trip"])
 
-    return docs.mapInArrow(run, docs.schema.add("token_ids", T.ArrayType(T.IntegerType())).add("n_tokens", "long").add("round_trip", "boolean"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema]).add("token_ids", T.ArrayType(T.IntegerType())).add("n_tokens", "long").add("round_trip", "boolean"))
 
 
 def thaw(state: dict) -> Pieces:
@@ -219,7 +221,7 @@ def decode(rows: DataFrame, pieces: Pieces) -> DataFrame:
             text = [None if x is None else coder.decode(x) for x in batch.column("token_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    return rows.mapInArrow(run, rows.schema.add("decoded", "string"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema]).add("decoded", "string"))
 
 
 def digest(ids: list[int]) -> str:
