@@ -38,11 +38,11 @@ WORDS = 5
 #: bits of a set's parity bitmap
 BITS = 1024
 #: shingles whose frequency orders them last, at most; the rest keep the order of their hashes
-ORDERED = 1 << 18
+ORDERED = 1 << 19
 #: a list of more members goes the way of pivots and blocks
-SHORT = 32
+SHORT = 64
 #: members in a block of a long list
-BLOCK = 512
+BLOCK = 4096
 #: no set of more shingles is light, whatever the cost
 LIGHT_MOST = 12
 _ROWS = 20_000
@@ -214,9 +214,10 @@ def light_links(docs: DataFrame, most: int) -> DataFrame:
 
 def _near(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """Pairs whose sizes and bitmaps allow a link."""
-    left = sigs.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
-    right = sigs.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
-    both = pairs.join(left, "a").join(right, "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)")
+    sizes = [sigs.select(F.col("set_id").alias(c), F.col("n").alias(f"n{c}")) for c in "ab"]
+    bits = [sigs.select(F.col("set_id").alias(c), F.col("bits").alias(f"b{c}")) for c in "ab"]
+    # sizes first: they rule most pairs out before any bitmap moves
+    both = pairs.join(sizes[0], "a").join(sizes[1], "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)").join(bits[1], "b").join(bits[0], "a")
 
     def run(batches):
         for t in batches:
@@ -229,10 +230,9 @@ def _near(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return both.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(run, "a long, b long")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs that link, by their whole sets. Only sets that stand in a pair are shuffled."""
-    nodes = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-    only = docs.sparkSession.sparkContext.broadcast(KeyFilter.build(nodes, "k", 2 * pairs.count()))
+def _pool(docs: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
+    """``(set_id, items)``: the whole sets of ``nodes(k)``, and of few others. Only these are shuffled."""
+    only = docs.sparkSession.sparkContext.broadcast(KeyFilter.build(nodes, "k", count))
 
     def run(batches):
         def chunks():
@@ -244,8 +244,12 @@ def _verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
 
         yield from _rows([("set_id", pa.int64()), ("items", pa.list_(pa.int64()))], chunks())
 
-    sets = docs.select("text").mapInArrow(run, "set_id long, items array<long>").dropDuplicates(["set_id"])
-    both = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("items").alias("y")), "b")
+    return docs.select("text").mapInArrow(run, "set_id long, items array<long>").dropDuplicates(["set_id"])
+
+
+def _verified(pairs: DataFrame, pool: DataFrame) -> DataFrame:
+    """The pairs that link, by their whole sets."""
+    both = pairs.join(pool.select(F.col("set_id").alias("a"), F.col("items").alias("x")), "a").join(pool.select(F.col("set_id").alias("b"), F.col("items").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(100 * shared >= 75 * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
@@ -327,6 +331,10 @@ def _long(members: DataFrame, lists: DataFrame, best: bool) -> DataFrame:
     return laid.groupBy("shingle", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
+
+
 def _open(member: DataFrame, comp: DataFrame, sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members, with root and bitmap, of the lists that reach into several components; and those lists."""
     rooted = member.join(comp.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")).select("shingle", "set_id", "root")
@@ -369,7 +377,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     pivots = lists.where("c = 2").select(*pair("lo", "hi")).union(member.where("set_id <> lo").select(*pair("set_id", "lo"))).union(member.where(f"c > {SHORT} and set_id <> hi").select(*pair("set_id", "hi"))).distinct()
     near = scratch.write("near", _near(pivots, sigs))
-    links = scratch.write("links", light_links(docs, most).union(_verified(docs, near, scratch)))
+    links = scratch.write("links", light_links(docs, most).union(_verified(near, _pool(docs, _nodes(near), 2 * near.count()))))
     comp = scratch.write("components", components(links, scratch, "cc"))
 
     member = member.select("shingle", "set_id")
@@ -385,7 +393,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
         near = scratch.write(f"near-{k}", near.distinct())
         if near.isEmpty():
             break
-        links = scratch.write(f"links-{k}", links.union(_verified(docs, near, scratch)).distinct())
+        if not k:
+            nodes = _nodes(near).union(member.select("set_id")).distinct()
+            pool = scratch.write("pool", _pool(docs, nodes, nodes.count()))
+        links = scratch.write(f"links-{k}", links.union(_verified(near, pool)).distinct())
         comp = scratch.write(f"components-{k}", components(links, scratch, f"cc-{k}"))
         scratch.drop(f"near-{k}")
 
