@@ -29,6 +29,7 @@ SEED = 7
 #: the spread of log weights against the noise of one Gumbel variable
 TEMPERATURE = 0.1
 BINS = 1 << 12
+PRIOR = 10_000.0
 
 
 def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,12 +62,17 @@ def bucket_counts(docs: DataFrame) -> DataFrame:
 
 
 def log_ratio(counts: DataFrame) -> np.ndarray:
-    """log target / raw for each bucket; ``BUCKETS`` rows at most reach the driver."""
-    raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
+    """log target / raw for each bucket; ``BUCKETS`` rows at most reach the driver.
+
+    The target's counts are smoothed by ``PRIOR`` n-grams that follow the raw model, so what the target
+    texts say nothing about has a ratio near 1.
+    """
+    raw, target = np.full(BUCKETS, 0.01), np.zeros(BUCKETS)
     t = counts.toArrow()
     raw[t["bucket"].to_numpy()] += t["raw"].to_numpy()
     target[t["bucket"].to_numpy()] += t["target"].to_numpy()
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+    raw /= raw.sum()
+    return np.log((target + PRIOR * raw) / (target.sum() + PRIOR)) - np.log(raw)
 
 
 def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = SEED, temperature: float = TEMPERATURE) -> DataFrame:

@@ -31,6 +31,7 @@ LEAST_TEXTS = 4
 #: features that a model has, at most, and their least chi-squared statistic
 MOST, CHI = 4096, 12.0
 REJECT = 0.5
+BALANCE = 0.75
 
 
 class Severity:
@@ -45,7 +46,7 @@ class Severity:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         row, bucket, count = features(texts, self.weights != 0)
-        return np.bincount(row, self.weights[bucket] * np.log1p(count), minlength=len(texts))
+        return np.bincount(row, self.weights[bucket] * np.log1p(count), minlength=len(texts)).astype(np.float64)
 
 
 def features(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,7 +73,11 @@ def fit(row: np.ndarray, bucket: np.ndarray, count: np.ndarray, grade: np.ndarra
     row, col, val = row[ok], place[bucket[ok]], np.log1p(count[ok])
     if top < 1 or not len(ids):
         return Severity(np.zeros(BUCKETS), np.full(max(1, top), 20.0))
-    share = np.array([(grade >= k).mean() for k in range(1, top + 1)])
+    # toxic texts are few; together they weigh as much as a ``BALANCE`` power of the others' number asks
+    heavy = max(1.0, (n / max(1, (grade > 0).sum()) - 1) ** BALANCE)
+    each = np.where(grade > 0, heavy, 1.0)
+    each /= each.mean()
+    share = np.array([((grade >= k) * each).mean() for k in range(1, top + 1)])
     theta = np.log((1 - share + 1e-3) / (share + 1e-3))
     above = grade[:, None] >= np.arange(1, top + 1)[None, :]
     param = np.concatenate([np.zeros(len(ids)), theta])
@@ -81,7 +86,7 @@ def fit(row: np.ndarray, bucket: np.ndarray, count: np.ndarray, grade: np.ndarra
         model = Severity(param[: len(ids)], param[len(ids) :])
         score = np.bincount(row, model.weights[col] * val, minlength=n)
         # each threshold is a binary question to the one shared score
-        miss = model.at_least(score) - above
+        miss = (model.at_least(score) - above) * each[:, None]
         g_score = miss.sum(axis=1) / n
         g = np.concatenate([np.bincount(col, g_score[row] * val, minlength=len(ids)) + penalty * model.weights, -miss.mean(axis=0)])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
