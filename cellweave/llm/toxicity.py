@@ -66,7 +66,7 @@ def features(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarr
 def fit(row: np.ndarray, bucket: np.ndarray, count: np.ndarray, grade: np.ndarray, epochs: int = 250, rate: float = 0.08, penalty: float = 2e-4) -> Severity:
     """Full-batch Adam on the ordinal log-likelihood; rows of ``grade`` are 0, 1, ..."""
     n, top = len(grade), int(grade.max(initial=0))
-    ids = telling(row, bucket, grade > 0)
+    ids = telling(row, bucket, grade > 0) if n else np.zeros(0, np.int64)
     place = np.full(BUCKETS, -1)
     place[ids] = np.arange(len(ids))
     ok = place[bucket] >= 0
