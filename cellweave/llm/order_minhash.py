@@ -29,7 +29,11 @@ K = 8
 HASHES = 32
 PICKED = 2
 #: bytes of text that a range of documents has about, for pairing neighbours
-RANGE_BYTES = 24 << 20
+RANGE_BYTES = 16 << 20
+#: ranges at most; past that they get longer, and are still read as streams
+RANGES = 100_000
+#: stands for a null id, and sorts last
+NO_ID = -(1 << 63)
 _SALT = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _SALT32 = (_SALT >> np.uint64(32)).astype(np.uint32)
 _ODD32 = (mix(_SALT) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -125,34 +129,34 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def _neighbours(docs: DataFrame) -> DataFrame:
-    """Rows by range of doc_id, each range followed by a copy of the next range's first row (``lead``).
+def _neighbours(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Rows by range of doc_id, each range followed by a copy of the next range's first row (``lead``); the number of ranges.
 
     Ranges are cut at quantiles of doc_id, so the driver holds one number for each; only the texts of the
     rows at a cut are read twice.
     """
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), "text")
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
     size = ids.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    n = max(1, min(int((size[0] or 0) // RANGE_BYTES) + 1, 100_000))
+    n = max(1, min(int((size[0] or 0) // RANGE_BYTES) + 1, RANGES))
     cuts = sorted(set(ids.approxQuantile("id", [k / n for k in range(1, n)], 0.1 / n))) if n > 1 and size[1] else []
-    bucket = F.lit(len(cuts)) - F.expr("0" if not cuts else f"size(filter(array({', '.join(f'{int(c)}L' for c in cuts)}), c -> id >= c))") if len(cuts) < 200 else None
-    if bucket is None:
-        edges = docs.sparkSession.createDataFrame([(k, int(a), int(b)) for k, (a, b) in enumerate(zip([-(1 << 63), *cuts], [*[c - 1 for c in cuts], (1 << 63) - 1]))], "k long, a long, b long")
-        ids = ids.join(F.broadcast(edges), F.col("id").between(F.col("a"), F.col("b"))).select("id", "text", (F.lit(len(cuts)) - F.col("k")).cast("int").alias("bucket"))
-    else:
-        ids = ids.withColumn("bucket", bucket.cast("int"))
-    # the greatest id and, among equal ids, the least text of each range lead the range before
-    heads = sorted(ids.groupBy("bucket").agg(F.max("id").alias("id")).collect())
-    before = {heads[k].bucket: heads[k - 1].bucket for k in range(len(heads))}
-    lead = docs.sparkSession.createDataFrame([(h.bucket, h.id, before[h.bucket]) for h in heads] or [(-1, 0, -1)], "bucket int, id long, to int")
-    first = ids.join(F.broadcast(lead), ["bucket", "id"]).groupBy("to", "id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select(F.col("to").alias("bucket"), "id", "text", F.lit(True).alias("lead"))
-    return ids.withColumn("lead", F.lit(False)).unionByName(first)
+    held = docs.sparkSession.sparkContext.broadcast(np.array(cuts, np.float64).astype(np.int64))
+
+    def run(batches):
+        for b in batches:
+            bucket = len(held.value) - np.searchsorted(held.value, b.column("id").to_numpy(), "right")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bucket.astype(np.int32))], names=[*b.schema.names, "bucket"])
+
+    # the greatest id of each range leads the range before; of equal ids the least text does
+    heads = sorted(ids.select("id").mapInArrow(run, "id long, bucket int").groupBy("bucket").agg(F.max("id").alias("id")).collect())
+    to = [(h.id, heads[k - 1].bucket) for k, h in enumerate(heads)]
+    lead = docs.sparkSession.createDataFrame(to, "id long, bucket int")
+    first = ids.join(F.broadcast(lead), "id").groupBy("id", "bucket").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("id", "text", "bucket", F.lit(True).alias("lead"))
+    return ids.mapInArrow(run, "id long, text string, bucket int").withColumn("lead", F.lit(False)).union(first), len(cuts) + 1
 
 
 def edited_texts(docs: DataFrame) -> DataFrame:
     """The rows of op3: each text's fingerprint beside those of its edited text and of the next document."""
-    rows = _neighbours(docs)
-    n = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    rows, n = _neighbours(docs)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
@@ -168,7 +172,7 @@ def edited_texts(docs: DataFrame) -> DataFrame:
                         _, before, before_text, sig = last
                         edited = edit(before_text, text)
                         new = signatures(edited)
-                        out.append((None if before == -(1 << 63) else before, len(before_text), hashlib.sha256(edited.encode()).hexdigest(), sig.astype(">u4").tobytes().hex(), new.astype(">u4").tobytes().hex(), likeness(sig, new), likeness(sig, own)))
+                        out.append((None if before == NO_ID else before, len(before_text), hashlib.sha256(edited.encode()).hexdigest(), sig.astype(">u4").tobytes().hex(), new.astype(">u4").tobytes().hex(), likeness(sig, new), likeness(sig, own)))
                     last = None if lead else (bucket, doc_id, text, own)
                 if len(out) >= 1000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
@@ -176,7 +180,7 @@ def edited_texts(docs: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    laid = rows.repartition(int(n), "bucket").sortWithinPartitions("bucket", "lead", F.desc("id"), "text")
+    laid = rows.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "lead", F.desc("id"), "text")
     return laid.select("bucket", "lead", "id", "text").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
