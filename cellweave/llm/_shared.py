@@ -12,11 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of ``sf_dir``. Python workers get the folder of this package on their path, too."""
+def ship(spark: SparkSession) -> None:
+    """Python workers get the folder of this package on their path."""
     env, here = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if here not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [here, env.get("PYTHONPATH")]))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,6 +37,7 @@ class Scratch:
     """Written tables that cut lineage: a lost executor re-reads them and repeats nothing."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
