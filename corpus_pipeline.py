@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm import decontaminate, line_dedup, ngram_join, toxicity, unigram
-from cellweave.llm._shared import Scratch, table
+from cellweave.llm._shared import Scratch, ship, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -43,6 +43,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts become token ids."""
+    ship(spark)
     return unigram.encode(docs.select(COLUMNS), unigram.Pieces.load())
 
 
