@@ -24,10 +24,10 @@ from cellweave.llm._shared import Scratch, table
 from cellweave.llm._text import NOT_SPACE, mix, utf8, word_hashes
 
 BUCKETS = 1 << 16
-KEEP = 0.5
+KEEP = 0.85
 SEED = 7
 #: the spread of log weights against the noise of one Gumbel variable
-TEMPERATURE = 0.1
+TEMPERATURE = 0.05
 BINS = 1 << 12
 PRIOR = 10_000.0
 
