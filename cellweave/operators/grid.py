@@ -13,6 +13,11 @@ FEW_REGIONS = 256
 BLOCK = 256
 
 
+def few_regions(aois: DataFrame, few: int = FEW_REGIONS) -> bool:
+    """Whether there are so few regions that every executor can have them all."""
+    return aois.limit(few + 1).count() <= few
+
+
 def zonal_join(cells: DataFrame, aois: DataFrame, scale: float = 1.0, few: int = FEW_REGIONS) -> DataFrame:
     """Cells with each region that holds their centre, in [minx, maxx) x [miny, maxy).
 
@@ -21,7 +26,7 @@ def zonal_join(cells: DataFrame, aois: DataFrame, scale: float = 1.0, few: int =
     """
     x, y = (F.col("col") + 0.5) * scale, (F.col("row") + 0.5) * scale
     inside = (x >= F.col("minx")) & (x < F.col("maxx")) & (y >= F.col("miny")) & (y < F.col("maxy"))
-    if aois.limit(few + 1).count() <= few:
+    if few_regions(aois, few):
         return cells.join(F.broadcast(aois), inside)
     size = BLOCK * scale
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))
@@ -35,15 +40,34 @@ def touches() -> F.Column:
     return F.expr("t.minx <= a.maxx and t.maxx >= a.minx and t.miny <= a.maxy and t.maxy >= a.miny")
 
 
-def tile_hits(tiles: DataFrame, aois: DataFrame) -> DataFrame:
-    """``(aoi, n_tiles, n_hits)``: how many tiles there are and how many meet each region, in one pass."""
-    pairs = tiles.alias("t").join(F.broadcast(aois.alias("a")))
-    return pairs.groupBy("a.aoi").agg(F.count("*").alias("n_tiles"), F.count_if(touches()).alias("n_hits"))
+def tile_pairs(tiles: DataFrame, aois: DataFrame, few: int = FEW_REGIONS, size: float = 8.0) -> DataFrame:
+    """Tiles (as t) with each region (as a) that they overlap or touch.
+
+    Many regions meet the tiles in an equi-join on squares of that size; a pair counts in the square that
+    holds the lower left corner of what both cover.
+    """
+    if few_regions(aois, few):
+        return tiles.alias("t").join(F.broadcast(aois.alias("a")), touches())
+
+    def laid(df: DataFrame) -> DataFrame:
+        span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))
+        return df.where("minx <= maxx and miny <= maxy").withColumn("bx", F.explode(span("minx", "maxx"))).withColumn("by", F.explode(span("miny", "maxy")))
+
+    same = F.expr("t.bx = a.bx and t.by = a.by") & touches()
+    corner = (F.floor(F.greatest("t.minx", "a.minx") / size) == F.col("t.bx")) & (F.floor(F.greatest("t.miny", "a.miny") / size) == F.col("t.by"))
+    return laid(tiles).alias("t").join(laid(aois).alias("a"), same).where(corner)
+
+
+def tile_hits(tiles: DataFrame, aois: DataFrame, few: int = FEW_REGIONS) -> DataFrame:
+    """``(aoi, n_tiles, n_hits)``: how many tiles there are and how many meet each region."""
+    hits = tile_pairs(tiles, aois, few).groupBy("a.aoi").agg(F.count("*").alias("n_hits"))
+    total = tiles.agg(F.count("*").alias("n_tiles"))
+    return aois.select("aoi").join(hits, "aoi", "left").crossJoin(F.broadcast(total)).select("aoi", "n_tiles", F.coalesce("n_hits", F.lit(0)).alias("n_hits"))
 
 
 def tile_hit_list(tiles: DataFrame, aois: DataFrame) -> DataFrame:
     """``(aoi, position, tile_id)``: the tiles of each region, numbered from 0."""
-    hits = tiles.alias("t").join(F.broadcast(aois.alias("a")), touches()).select("a.aoi", "t.tile_id")
+    hits = tile_pairs(tiles, aois).select("a.aoi", "t.tile_id")
     return hits.withColumn("position", F.row_number().over(W.partitionBy("aoi").orderBy("tile_id")) - 1)
 
 
@@ -51,7 +75,7 @@ def tile_rank(tiles: DataFrame, aois: DataFrame, metres: float = 10.0, by_year:
     """``(aoi, year, tile_id, area, rank)``: tiles that meet a region by falling area of overlap, then id."""
     width = "greatest(0.0D, least(t.maxx, a.maxx) - greatest(t.minx, a.minx))"
     height = "greatest(0.0D, least(t.maxy, a.maxy) - greatest(t.miny, a.miny))"
-    hits = tiles.alias("t").join(F.broadcast(aois.alias("a")), touches()).select("a.aoi", "t.year", "t.tile_id", F.expr(f"{width} * {height} * {metres * metres}D").alias("area"))
+    hits = tile_pairs(tiles, aois).select("a.aoi", "t.year", "t.tile_id", F.expr(f"{width} * {height} * {metres * metres}D").alias("area"))
     keys = ["aoi", "year"] if by_year else ["aoi"]
     return hits.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("area"), "tile_id"))).withColumn("area", rounded(F.col("area")))
 
@@ -62,7 +86,7 @@ def best_tile(tiles: DataFrame, aois: DataFrame, by_year: bool = False) -> DataF
 
 def require_tiles(tiles: DataFrame, aois: DataFrame, year: int) -> DataFrame:
     """The year's tiles that meet a region; ValueError if there is none."""
-    hits = tiles.where(F.col("year") == year).alias("t").join(F.broadcast(aois.alias("a")), touches(), "left_semi")
+    hits = tiles.where(F.col("year") == year).alias("t").join(aois.alias("a"), touches(), "left_semi")
     if hits.isEmpty():
         raise ValueError(f"no tile of {year} meets the region")
     return hits

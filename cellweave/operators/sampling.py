@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cellweave.functions.columns import finite, statistics, strata_of, unit_hash
-from cellweave.operators.grid import zonal_join
+from cellweave.operators.grid import few_regions, zonal_join
 
 
 def strata(cells: DataFrame, v: str, threshold: float = 5.0) -> DataFrame:
@@ -41,7 +41,9 @@ def random_points(aois: DataFrame, n: int = 5000, seed: int = 42, scale: float =
     at = lambda axis: unit_hash(F.concat_ws(":", F.lit(seed), F.lit(axis), "point_id"))
     x = F.col("minx") + at("x") * (F.col("maxx") - F.col("minx"))
     y = F.col("miny") + at("y") * (F.col("maxy") - F.col("miny"))
-    laid = ids.join(F.broadcast(aois.where("maxx > minx and maxy > miny"))).select("aoi", "pos", "point_id", x.alias("x"), y.alias("y"))
+    # many regions are dealt out, and each makes its own points
+    held = aois.where("maxx > minx and maxy > miny")
+    laid = (ids.join(F.broadcast(held)) if few_regions(aois) else held.repartition("aoi").withColumn("point_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))).select("aoi", "pos", "point_id", x.alias("x"), y.alias("y"))
     return laid.withColumns({"col": F.floor(F.col("x") / scale).cast("int"), "row": F.floor(F.col("y") / scale).cast("int")})
 
 

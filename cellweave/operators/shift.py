@@ -11,17 +11,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cellweave.functions.columns import finite, rounded
+from cellweave.operators.grid import few_regions
+
+
+def _sent(df: DataFrame, aois: DataFrame) -> DataFrame:
+    """To every executor if regions are few; else Spark decides by size."""
+    return F.broadcast(df) if few_regions(aois) else df
 
 
 def _pairs(aois: DataFrame) -> DataFrame:
     a, b = aois.select(F.col("aoi").alias("aoi_a"), F.col("pos").alias("pa")), aois.select(F.col("aoi").alias("aoi_b"), F.col("pos").alias("pb"))
-    return a.join(F.broadcast(b), F.col("pa") < F.col("pb")).select("aoi_a", "aoi_b")
+    return a.join(_sent(b, aois), F.col("pa") < F.col("pb")).select("aoi_a", "aoi_b")
 
 
 def _sided(samples: DataFrame, v: str, aois: DataFrame) -> DataFrame:
     """``(aoi_a, aoi_b, v, na, nb)``: how often each value stands in either sample of each pair."""
     counts = samples.where(finite(F.col(v))).groupBy("aoi", F.col(v).alias("v")).agg(F.count("*").alias("k"))
-    pairs = F.broadcast(_pairs(aois))
+    pairs = _sent(_pairs(aois), aois)
     a = counts.join(pairs, F.col("aoi") == F.col("aoi_a")).select("aoi_a", "aoi_b", "v", F.col("k").alias("na"), F.lit(0).cast("long").alias("nb"))
     b = counts.join(pairs, F.col("aoi") == F.col("aoi_b")).select("aoi_a", "aoi_b", "v", F.lit(0).cast("long").alias("na"), F.col("k").alias("nb"))
     return a.unionByName(b).groupBy("aoi_a", "aoi_b", "v").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
@@ -49,7 +55,7 @@ def psi(samples: DataFrame, v: str, aois: DataFrame, bins: int = 20, eps: float
     edges = sided.groupBy("aoi_a", "aoi_b").agg(
         F.array_sort(F.array_distinct(F.transform(F.percentile("v", points, F.col("na") + F.col("nb")), lambda e: F.round(e, 9)))).alias("edges"),
         F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
-    laid = sided.join(F.broadcast(edges.select("aoi_a", "aoi_b", "edges")), ["aoi_a", "aoi_b"])
+    laid = sided.join(_sent(edges.select("aoi_a", "aoi_b", "edges"), aois), ["aoi_a", "aoi_b"])
     bin_of = F.least(F.size(F.filter("edges", lambda e: e <= F.col("v"))), F.size("edges") - 1) - 1
     inside = (F.col("v") >= F.col("edges")[0]) & (F.col("v") <= F.element_at("edges", -1))
     counts = laid.where(inside).groupBy("aoi_a", "aoi_b", bin_of.alias("bin")).agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))

@@ -141,3 +141,11 @@ def test_empty_tables(spark):
     assert temporal.dense(cells).count() == 0
     assert sampling.at_points(sampling.random_points(aois, 5), cells, ["v"]).count() == 0
     assert rows(grid.coarsen_to_budget(cells, "v", 10), "v") == []
+
+
+def test_tile_pairs_by_squares_are_the_same(spark):
+    tiles = spark.createDataFrame([(i, 2000, i * 3.0, i % 4 * 5.0, i * 3.0 + 9.5, i % 4 * 5.0 + 6.0) for i in range(20)], "tile_id int, year int, minx double, miny double, maxx double, maxy double")
+    aois = spark.createDataFrame([(f"a{i}", i, i * 4.0, 2.0, i * 4.0 + 12.0, 9.0) for i in range(9)] + [("far", 9, 900.0, 0.0, 901.0, 1.0)], BOX)
+    few, many = (sorted(rows(grid.tile_pairs(tiles, aois, k).select("a.aoi", "t.tile_id"), "aoi", "tile_id")) for k in (256, 2))
+    assert few == many and len(few) == len(set(few)) > 20
+    assert sorted(map(tuple, grid.tile_hits(tiles, aois).collect())) == sorted(map(tuple, grid.tile_hits(tiles, aois, 2).collect()))
