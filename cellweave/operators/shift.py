@@ -27,10 +27,11 @@ def _pairs(aois: DataFrame) -> DataFrame:
 def _sided(samples: DataFrame, v: str, aois: DataFrame) -> DataFrame:
     """``(aoi_a, aoi_b, v, na, nb)``: how often each value stands in either sample of each pair."""
     counts = samples.where(finite(F.col(v))).groupBy("aoi", F.col(v).alias("v")).agg(F.count("*").alias("k"))
-    pairs = _sent(_pairs(aois), aois)
-    a = counts.join(pairs, F.col("aoi") == F.col("aoi_a")).select("aoi_a", "aoi_b", "v", F.col("k").alias("na"), F.lit(0).cast("long").alias("nb"))
-    b = counts.join(pairs, F.col("aoi") == F.col("aoi_b")).select("aoi_a", "aoi_b", "v", F.lit(0).cast("long").alias("na"), F.col("k").alias("nb"))
-    return a.unionByName(b).groupBy("aoi_a", "aoi_b", "v").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    side = lambda c, is_a: F.struct(F.col(c).alias("aoi"), F.lit(is_a).alias("is_a"))
+    sides = _pairs(aois).select("aoi_a", "aoi_b", F.explode(F.array(side("aoi_a", True), side("aoi_b", False))).alias("s")).select("aoi_a", "aoi_b", "s.aoi", "s.is_a")
+    held = counts.join(_sent(sides, aois), "aoi")
+    n = lambda cond: F.sum(F.when(cond, F.col("k")).otherwise(0))
+    return held.groupBy("aoi_a", "aoi_b", "v").agg(n(F.col("is_a")).alias("na"), n(~F.col("is_a")).alias("nb"))
 
 
 def wasserstein(samples: DataFrame, v: str, aois: DataFrame) -> DataFrame:
