@@ -377,7 +377,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     pivots = lists.where("c = 2").select(*pair("lo", "hi")).union(member.where("set_id <> lo").select(*pair("set_id", "lo"))).union(member.where(f"c > {SHORT} and set_id <> hi").select(*pair("set_id", "hi"))).distinct()
     near = scratch.write("near", _near(pivots, sigs))
-    links = scratch.write("links", light_links(docs, most).union(_verified(near, _pool(docs, _nodes(near), 2 * near.count()))))
+    pool = scratch.write("pool-pivots", _pool(docs, _nodes(near), 2 * near.count()))
+    links = scratch.write("links", light_links(docs, most).union(_verified(near, pool)))
+    scratch.drop("pool-pivots")
     comp = scratch.write("components", components(links, scratch, "cc"))
 
     member = member.select("shingle", "set_id")
