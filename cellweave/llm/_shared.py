@@ -12,8 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: rows of an Arrow batch at most: texts are long, and a batch of them is held by Spark and by Python at once
+BATCH_ROWS = 500
+
+
 def ship(spark: SparkSession) -> None:
-    """Python workers get the folder of this package on their path."""
+    """Python workers get the folder of this package on their path, and batches of a size that suits long texts."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(size)) <= BATCH_ROWS:
+        spark.conf.set(size, BATCH_ROWS)
     env, here = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if here not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [here, env.get("PYTHONPATH")]))
