@@ -34,8 +34,8 @@ MARK = "▁"
 LOG_NORM = math.log(11.0)
 #: log score of a byte piece
 BYTE_SCORE = -25.0
-#: parts whose solution a task keeps
-MEMO = 400_000
+#: parts whose solution a task keeps, in either of two generations
+MEMO = 100_000
 
 
 class DoubleArray:
@@ -119,7 +119,8 @@ class Encoder:
         self.base, self.check, self.value = pieces.trie.base.tolist(), pieces.trie.check.tolist(), pieces.trie.value.tolist()
         self.scores, self.byte_id, self.bytes_of = pieces.scores.tolist(), pieces.byte_id.tolist(), pieces.bytes_of
         self.cut = re.compile(rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if pieces.newline else rf"{MARK}*[^{MARK}]+|{MARK}+")
-        self.memo: dict[str, list[int]] = {}
+        self.young: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
 
     def solve(self, part: bytes) -> list[int]:
         n = len(part)
@@ -163,13 +164,16 @@ class Encoder:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        memo, out = self.memo, []
+        young, out = self.young, []
         for part in self.cut.findall(MARK + text.replace(" ", MARK)):
-            ids = memo.get(part)
+            ids = young.get(part)
             if ids is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                ids = memo[part] = self.solve(part.encode())
+                ids = self.old.get(part) or self.solve(part.encode())
+                if len(young) >= MEMO:
+                    # parts that were used since the last change stay
+                    self.old, young = young, {}
+                    self.young = young
+                young[part] = ids
             out += ids
         return out
 
