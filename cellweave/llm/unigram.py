@@ -31,11 +31,12 @@ from cellweave.llm._shared import table
 #: folder of the public vocabulary files, and the file
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+_NONE = -math.inf
 LOG_NORM = math.log(11.0)
 #: log score of a byte piece
 BYTE_SCORE = -25.0
 #: parts whose solution a task keeps, in either of two generations
-MEMO = 100_000
+MEMO = 150_000
 
 
 class DoubleArray:
@@ -116,7 +117,9 @@ class Encoder:
     """Viterbi in one task, with the solutions of parts kept."""
 
     def __init__(self, pieces: Pieces):
-        self.base, self.check, self.value = pieces.trie.base.tolist(), pieces.trie.check.tolist(), pieces.trie.value.tolist()
+        self.first, self.check, self.value = (pieces.trie.base + 1).tolist(), pieces.trie.check.tolist(), pieces.trie.value.tolist()
+        #: characters that are pieces by themselves
+        self.alone = {b for i, b in enumerate(pieces.bytes_of) if b and pieces.byte_id[b[0]] != i and len(b.decode("utf-8", "replace")) == 1}
         self.scores, self.byte_id, self.bytes_of = pieces.scores.tolist(), pieces.byte_id.tolist(), pieces.bytes_of
         self.cut = re.compile(rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if pieces.newline else rf"{MARK}*[^{MARK}]+|{MARK}+")
         self.young: dict[str, list[int]] = {}
@@ -124,28 +127,27 @@ class Encoder:
 
     def solve(self, part: bytes) -> list[int]:
         n = len(part)
-        best, prev, how = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best, prev, how = [_NONE] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
-        base, check, value, scores = self.base, self.check, self.value, self.scores
-        top = len(check)
-        for i in range(n):
+        first, check, value, scores, alone = self.first, self.check, self.value, self.scores, self.alone
+        for i, c in enumerate(part):
             here = best[i]
-            if here == -math.inf:
+            if here == _NONE:
                 continue
-            state, width = 0, 1 if part[i] < 0x80 else 2 if part[i] < 0xE0 else 3 if part[i] < 0xF0 else 4
-            alone = False
-            for j in range(i, n):
-                to = base[state] + part[j] + 1
-                if to >= top or check[to] != state:
+            state, j = 0, i
+            while j < n:
+                to = first[state] + part[j]
+                if check[to] != state:
                     break
                 state = to
+                j += 1
                 v = value[to]
                 if v >= 0:
-                    alone |= j + 1 == i + width
                     s = here + scores[v]
-                    if s > best[j + 1]:
-                        best[j + 1], prev[j + 1], how[j + 1] = s, i, v
-            if not alone:
+                    if s > best[j]:
+                        best[j], prev[j], how[j] = s, i, v
+            width = 1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4
+            if part[i : i + width] not in alone:
                 # byte fallback of one whole character
                 to = min(n, i + width)
                 s = here + BYTE_SCORE * (to - i)
