@@ -36,7 +36,7 @@ from cellweave.llm.components import components
 #: words in a shingle
 WORDS = 5
 #: bits of a set's parity bitmap
-BITS = 1024
+BITS = 2048
 #: shingles whose frequency orders them last, at most; the rest keep the order of their hashes
 ORDERED = 1 << 19
 #: a list of more members goes the way of pivots and blocks
