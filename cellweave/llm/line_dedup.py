@@ -3,9 +3,10 @@
 A line (trimmed of spaces) is boilerplate when it stands on at least ``MIN_SITES`` distinct sites. Lines
 that occur less often than that are out at once; the others get a HyperLogLog sketch of their sites, which
 merges map-side and again after the shuffle. Sketches within ``BAND`` of the threshold are settled by an
-exact distinct count. Boilerplate lines go from every document, except where they make up more than
-``MAX_SHARE`` of its characters: such a text is a copied document, not a page with boilerplate, and is left
-whole for the near-duplicate stage.
+exact distinct count. Boilerplate lines go from every document whatever their share of it, except from a proven
+copy, which is left whole for the near-duplicate stage: a text of nothing but boilerplate lines whose set of
+lines another row has too. The pipeline cleans that way (``max_share`` None). op8 and its SQL leave every
+text whole of whose characters boilerplate lines make up more than ``MAX_SHARE``.
 
 Null texts stay null, empty lines are never boilerplate, a null site is one site of its own. Repeated rows
 are each cleaned alike. Input columns named like results are replaced; all others are kept.
@@ -40,25 +41,43 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return spread.where(f"sites > {high}").select("line").union(near.where(f"sites >= {min_sites}").select("line"))
 
 
-def clean(docs: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
-    """``docs(doc_id, text, source, ...)`` with the text cleaned, and n_lines, n_removed."""
+def _hits(docs: DataFrame, bad: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(hit_id, hit_key, lines, copied_)``: the boilerplate lines of a text, and whether it is a proven copy."""
+    own = F.array_distinct(F.filter(_lines(F.col("text")), lambda x: x != ""))
+    held = docs.select("doc_id", F.xxhash64("text").alias("key"), own.alias("own")).select("doc_id", "key", F.size("own").alias("n_own"), F.explode("own").alias("own")).select("doc_id", "key", "n_own", F.xxhash64("own").alias("line"))
+    hits = held.join(bad, "line").groupBy(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key")).agg(F.collect_set("line").alias("lines"), F.max("n_own").alias("n_own"), F.count("*").alias("c"))
+    # each of the repeated rows behind a group brings every line once
+    hits = hits.select("hit_id", "hit_key", "lines", F.when(F.size("lines") == F.col("n_own"), F.xxhash64(F.array_sort("lines"))).alias("set_"), (F.col("c") / F.size("lines")).alias("rows_"))
+    hits = scratch.write("hits", hits)
+    copies = hits.where("set_ is not null").groupBy("set_").agg(F.sum("rows_").alias("rows_")).where("rows_ > 1").select("set_", F.lit(True).alias("copied_"))
+    return hits.drop("rows_").join(copies, "set_", "left").select("hit_id", "hit_key", "lines", F.coalesce("copied_", F.lit(False)).alias("copied_"))
+
+
+def clean(docs: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES, max_share: float | None = MAX_SHARE) -> DataFrame:
+    """``docs(doc_id, text, source, ...)`` with the text cleaned, and n_lines, n_removed.
+
+    Without ``max_share`` only proven copies stay whole.
+    """
     bad = scratch.write("boilerplate", boilerplate(docs.select("text", F.col("source").alias("site")), min_sites))
     key = F.xxhash64("text")
-    held = docs.select("doc_id", key.alias("key"), F.explode(F.array_distinct(_lines(F.col("text")))).alias("own")).where("own <> ''").select("doc_id", "key", F.xxhash64("own").alias("line"))
-    hits = held.join(bad, "line").groupBy(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key")).agg(F.collect_set("line").alias("lines"))
-    docs = docs.drop("n_lines", "n_removed", "hit_id", "hit_key", "lines").withColumn("key_", key)
+    if max_share is None:
+        hits = _hits(docs, bad, scratch)
+    else:
+        held = docs.select("doc_id", key.alias("key"), F.explode(F.array_distinct(_lines(F.col("text")))).alias("own")).where("own <> ''").select("doc_id", "key", F.xxhash64("own").alias("line"))
+        hits = held.join(bad, "line").groupBy(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key")).agg(F.collect_set("line").alias("lines"))
+    docs = docs.drop("n_lines", "n_removed", "hit_id", "hit_key", "lines", "copied_").withColumn("key_", key)
     joined = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("key_") == F.col("hit_key")), "left")
     all_lines = F.split("text", "\n")
     is_bad = lambda x: F.array_contains("lines", F.xxhash64(F.trim(x)))
     gone = F.aggregate(F.filter(all_lines, is_bad), F.lit(0), lambda n, x: n + F.length(x))
-    cut = F.col("lines").isNotNull() & (gone <= max_share * F.length("text"))
+    cut = F.col("lines").isNotNull() & (~F.col("copied_") if max_share is None else gone <= max_share * F.length("text"))
     joined = joined.withColumn("cut_", cut)
     kept = F.filter(all_lines, lambda x: ~is_bad(x))
     return joined.withColumns({
         "n_lines": F.coalesce(F.size(all_lines), F.lit(0)).cast("long"),
         "n_removed": F.when(F.col("cut_"), F.size(all_lines) - F.size(kept)).otherwise(0).cast("long"),
         "text": F.when(F.col("cut_"), F.array_join(kept, "\n")).otherwise(F.col("text")),
-    }).drop("key_", "hit_id", "hit_key", "lines", "cut_")
+    }).drop("key_", "hit_id", "hit_key", "lines", "copied_", "cut_")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -209,6 +209,24 @@ def test_lines(spark):
     assert line_dedup.clean(odd(spark).limit(0), scratch(spark)).count() == 0
 
 
+def test_boilerplate_goes_whatever_its_share(spark):
+    import corpus_pipeline as p
+
+    passage, r = " ".join(f"shared{i}" for i in range(60)), random.Random(11)
+    own = [" ".join(r.choices(WORDS, k=40)) for _ in range(12)]
+    rows = [(i, f"{passage}\n{t}", f"s{i}") for i, t in enumerate(own)] + [(50, f"{passage}\n{own[3]}", "s3")]
+    rows += [(100 + i, "copied body one\ncopied body two", f"s{i}") for i in range(12)] + [(200, passage, "s1"), (201, "copied body two", "s2"), (202, None, "s"), (203, "", "s")]
+    got = {x.doc_id: x for x in p.lines(spark, docs(spark, rows), SF).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i].text == t and got[i].n_chars == len(t) for i, t in enumerate(own)) and got[50].text == own[3]
+    assert all(got[100 + i].text == "copied body one\ncopied body two" for i in range(12))
+    assert got[200].text == got[201].text == got[203].text == "" and got[202].text is None
+    # a repeated row is a copy too
+    twice = docs(spark, rows + [(200, passage, "s1")])
+    assert [x.text for x in p.lines(spark, twice, SF).where("doc_id = 200").collect()] == [passage] * 2
+    assert line_dedup.clean(odd(spark).withColumn("copied_", F.lit(-1)), scratch(spark), max_share=None).where("n_removed > 0").count() == 0
+
+
 def test_spread_by_sketch_and_exactly(spark):
     rows = [(i, "wide\n" + ("near\n" if i % 40 < 8 else "") + f"own {i}", f"s{i % 40}") for i in range(400)]
     d = docs(spark, rows).select("text", F.col("source").alias("site"))
