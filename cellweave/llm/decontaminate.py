@@ -8,7 +8,9 @@ groups of bounded size, long and short ones apart so that a short item does not
 each group is one more scan of the texts, and only hits are shuffled.
 
 Null and wordless texts and items have no words, hit nothing and aren't contaminated. Repeated documents
-are separate rows; repeated items count once. Columns other than id and text aren't read.
+are separate rows; repeated items count once. Columns other than id and text aren't read. Items with a null
+item_id are searched with ``nameless`` (the pipeline does): their windows count in n_hit, and no name of theirs
+in n_items and the digest. op4 and its SQL leave them out.
 """
 
 from __future__ import annotations
@@ -135,7 +137,7 @@ def _verdict(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n_words", "spans", "items").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
-def _groups(items: DataFrame, size: int, group_bytes: int) -> Iterator[list[tuple[list[bytes], list[list[str]]]]]:
+def _groups(items: DataFrame, size: int, group_bytes: int, nameless: bool) -> Iterator[list[tuple[list[bytes], list[list[str]]]]]:
     """Pattern groups of bounded size; the driver holds one at a time."""
 
     def run(batches):
@@ -147,7 +149,9 @@ def _groups(items: DataFrame, size: int, group_bytes: int) -> Iterator[list[tupl
                     k.append(name)
             yield pa.RecordBatch.from_arrays([pa.array(p, pa.binary()), pa.array(k, pa.string())], names=["p", "item"])
 
-    found = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null").mapInArrow(run, "p binary, item string").groupBy("p").agg(F.collect_set("item").alias("items")).orderBy("p")
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    # a null name is not collected
+    found = (items if nameless else items.where("item_id is not null")).mapInArrow(run, "p binary, item string").groupBy("p").agg(F.collect_set("item").alias("items")).orderBy("p")
     held, n = [], 0
     for row in found.toLocalIterator():
         held.append((bytes(row.p), sorted(row["items"])))
@@ -164,11 +168,11 @@ def _laid(held: list) -> list[tuple[list[bytes], list[list[str]]]]:
     return [([p for p, _ in x], [i for _, i in x]) for x in parts if x]
 
 
-def contamination(docs: DataFrame, items: DataFrame, scratch: Scratch, size: int = WINDOW, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, scratch: Scratch, size: int = WINDOW, group_bytes: int = GROUP_BYTES, nameless: bool = False) -> DataFrame:
     """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)`` for each row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
-    groups = _groups(items, size, group_bytes)
+    groups = _groups(items, size, group_bytes, nameless)
     first = next(groups, [])
     rows = _scan(docs, spark.sparkContext.broadcast(first))
     second = next(groups, None)
@@ -177,7 +181,7 @@ def contamination(docs: DataFrame, items: DataFrame, scratch: Scratch, size: int
     # more groups than one: a scan each, of which only rows with hits are kept, and one join of all hits
     hits, k = [], 0
     for g in _chain(first, second, groups):
-        hits.append(scratch.write(f"hits-{k}", _scan(docs, spark.sparkContext.broadcast(g)).where("size(items) > 0")))
+        hits.append(scratch.write(f"hits-{k}", _scan(docs, spark.sparkContext.broadcast(g)).where("size(spans) > 0")))
         k += 1
     every = hits[0]
     for h in hits[1:]:

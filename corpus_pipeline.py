@@ -1,7 +1,8 @@
 """Documents to training data: five stages, each of which works on all that the one before kept.
 
-Null doc_ids are rows of their own everywhere; null and empty texts pass every stage (they are neither
-toxic, boilerplate, copies nor contaminated) and have no tokens in the end.
+Null doc_ids are rows of their own everywhere, judged like any other: a verdict on copies or leaks belongs to
+a row, not to a doc_id. Null and empty texts pass every stage (they are neither toxic, boilerplate, copies nor
+contaminated) and have no tokens in the end.
 """
 
 from __future__ import annotations
@@ -27,18 +28,32 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 
+def _keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows with a key of their own in ``row``, written so that it stays the same."""
+    return scratch.write("input", docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+
+
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest doc_id."""
-    found = ngram_join.near_duplicates(docs.select("doc_id", "text"), Scratch(spark, "pipeline-copies"))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """One row of each group of near duplicates stays: the one with the smallest doc_id, a null one last.
+
+    Of rows with equal doc_ids the one with the smallest hash of all columns stays; equal rows are one as good as the other.
+    """
+    scratch = Scratch(spark, "pipeline-copies")
+    docs = _keyed(docs, scratch)
+    found = ngram_join.near_duplicates(docs.select(F.col("row").alias("doc_id"), "text"), scratch)
+    rank = docs.select("row", F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", F.xxhash64(*COLUMNS).alias("hash"), "row").alias("rank"))
+    ranked = found.select(F.col("doc_id").alias("row"), "component_id").join(rank, "row")
+    kept = ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank.row")
+    return docs.join(kept, "row", "left_semi").select(COLUMNS)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents contaminated with benchmark passages go."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), Scratch(spark, "pipeline-leaks"))
-    gone = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """Rows contaminated with benchmark passages go; items without an item_id count too."""
+    scratch = Scratch(spark, "pipeline-leaks")
+    docs = _keyed(docs, scratch)
+    found = decontaminate.contamination(docs.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), scratch, nameless=True)
+    gone = found.where("contaminated").select(F.col("doc_id").alias("row"))
+    return docs.join(gone, "row", "left_anti").select(COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -424,6 +424,25 @@ def test_secrets_odd(spark):
 # pipeline
 
 
+def test_verdicts_belong_to_rows(spark, tmp_path):
+    import corpus_pipeline as p
+
+    r = random.Random(12)
+    text = [" ".join(r.choices(WORDS, k=60)) for _ in range(5)]
+    rows = [(None, text[0], "a"), (None, text[0], "b"), (None, text[1], "a"), (7, text[1], "a"), (9, text[1], "a"), (9, text[2], "a"), (3, text[3], "a"), (3, text[3], "a"), (4, None, "a"), (4, None, "a"), (None, "", "a")]
+    got = p.copies(spark, docs(spark, rows), SF).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(None, text[0]), (7, text[1]), (9, text[2]), (3, text[3]), (4, None), (4, None), (None, "")], key=repr)
+
+    spark.createDataFrame([(1, text[0]), (None, text[1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, text[0], "a"), (None, text[2], "a"), (5, "x " + text[1], "a"), (5, text[3], "a"), (6, text[4], "a"), (6, text[4], "a"), (8, None, "a")]
+    got = p.leaks(spark, docs(spark, rows), str(tmp_path)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(None, text[2]), (5, text[3]), (6, text[4]), (6, text[4]), (8, None)], key=repr)
+    items = spark.read.parquet(f"{tmp_path}/benchmark.parquet")
+    for size in (8 << 20, 200):
+        found = {x.doc_id: x for x in decontaminate.contamination(docs(spark, [(0, text[1], "a"), (1, text[0], "a")]), items, scratch(spark), group_bytes=size, nameless=True).collect()}
+        assert (found[0].n_hit, found[0].n_items, found[0].contaminated) == (60, 0, True) and (found[1].n_hit, found[1].n_items) == (60, 1)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
