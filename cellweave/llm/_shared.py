@@ -51,8 +51,8 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+    def write(self, name: str, df: DataFrame, codec: str = "snappy") -> DataFrame:
+        df.write.mode("overwrite").parquet(self.path(name), compression=codec)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

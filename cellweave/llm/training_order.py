@@ -5,7 +5,9 @@ cut into sequences of ``LENGTH`` ids; the last one is padded with the end token.
 0 in the order of files, and a keyed Feistel network with cycle-walking maps each number to its slot, a
 bijection of 0 .. n-1 that no one needs to store. Slots are dealt to shards by range: shard s holds the
 slots from s * PER_SHARD on, each of LENGTH * 2 bytes, so any slot's bytes are found by arithmetic and a
-reader resumes at any slot. ``write_shards`` writes the files; a repeated task writes the same bytes again.
+reader resumes at any slot. ``write_shards`` writes the files, and beside each an index of equal stride with the
+sequences' documents; a repeated task writes the same bytes again. op2 writes all shards and returns what it
+reads back from the files.
 
 Null and empty texts have no sequence. Repeated rows have sequences of their own. Null ids are kept.
 Columns other than the id and the text aren't read.
@@ -31,6 +33,8 @@ END = 50256
 LENGTH = 512
 PER_SHARD = 8192
 ROUNDS = 6
+#: a sequence's record in the index beside its shard; ``named`` is 0 for a null doc_id
+INDEX = np.dtype([("doc_id", "<i8"), ("sequence", "<i4"), ("n_tokens", "<i4"), ("named", "u1")])
 
 
 def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -107,7 +111,7 @@ def training_order(docs: DataFrame, scratch: Scratch, key: int = 20_240_601, len
 
     ``place`` is the byte at which the sequence starts in its shard, ``sequence`` its number in its text.
     """
-    held = scratch.write("tokens", sequences(docs, length, path))
+    held = scratch.write("tokens", sequences(docs, length, path), codec="zstd")
     # one number for each input partition reaches the driver: how many sequences stand before it
     starts, n = {}, 0
     for c in sorted(held.groupBy("part").agg(F.max(F.col("first") + F.ceil(F.col("n_tokens") / length)).alias("n")).collect()):
@@ -142,11 +146,13 @@ def training_order(docs: DataFrame, scratch: Scratch, key: int = 20_240_601, len
 def write_shards(rows: DataFrame, folder: str, length: int = LENGTH) -> DataFrame:
     """Write each shard of ``training_order`` to ``folder``/shard-NNNNNN.bin; ``(shard, path, sequences, sha256)``.
 
-    ``folder`` is a path or an address that pyarrow opens. A task writes a shard beside its name and then
-    moves it, so a task that runs again leaves one whole file.
+    ``folder`` is a path or an address that pyarrow opens. A task writes a shard and its index (.idx) beside
+    their names and then moves them, so a task that runs again leaves whole files.
     """
 
     def run(batches):
+        import uuid
+
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(folder)
@@ -156,28 +162,68 @@ def write_shards(rows: DataFrame, folder: str, length: int = LENGTH) -> DataFram
 
         def close():
             sink.close()
+            with store.open_output_stream(f"{out['own']}.idx") as f:
+                f.write(np.array(out["index"], INDEX).tobytes())
+            store.move(f"{out['own']}.idx", out["path"].removesuffix(".bin") + ".idx")
             store.move(out["own"], out["path"])
-            done.append((out["shard"], out["path"], out["n"], out["sha"].hexdigest()))
-
-        import uuid
+            done.append((out["shard"], out["path"], len(out["index"]), out["sha"].hexdigest()))
 
         for batch in batches:
-            for shard, slot, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "slot", "ids"))):
+            for shard, doc_id, sequence, n_tokens, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "sequence", "n_tokens", "ids"))):
                 if out is None or out["shard"] != shard:
                     if out:
                         close()
                     path = f"{base}/shard-{shard:06d}.bin"
-                    out = {"shard": shard, "path": path, "own": f"{path}.{uuid.uuid4().hex}", "n": 0, "sha": hashlib.sha256()}
+                    out = {"shard": shard, "path": path, "own": f"{path}.{uuid.uuid4().hex}", "index": [], "sha": hashlib.sha256()}
                     sink = store.open_output_stream(out["own"])
                 sink.write(ids)
                 out["sha"].update(ids)
-                out["n"] += 1
+                out["index"].append((doc_id or 0, sequence, n_tokens, doc_id is not None))
         if out:
             close()
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), (pa.int32(), pa.string(), pa.int64(), pa.string()))], names=["shard", "path", "sequences", "sha256"])
 
-    return rows.select("shard", "slot", "ids").mapInArrow(run, "shard int, path string, sequences long, sha256 string")
+    return rows.select("shard", "doc_id", "sequence", "n_tokens", "ids").mapInArrow(run, "shard int, path string, sequences long, sha256 string")
+
+
+def read_shards(files: DataFrame, folder: str, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
+    """The sequences in the files that ``write_shards`` names, each with the digest of its bytes; a file that differs from its entry is an error."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, _ = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for shard, path, n, digest in zip(*(batch.column(c).to_pylist() for c in ("shard", "path", "sequences", "sha256"))):
+                with store.open_input_file(path.removesuffix(".bin") + ".idx") as f:
+                    index = np.frombuffer(f.read(), INDEX)
+                whole = hashlib.sha256()
+                with store.open_input_file(path) as f:
+                    if f.size() != 2 * length * n or len(index) != n:
+                        raise ValueError(f"{path} has {f.size()} bytes and {len(index)} index records for {n} sequences")
+                    for at in range(0, n, 256):
+                        x = index[at : at + 256]
+                        block = f.read(2 * length * len(x))
+                        whole.update(block)
+                        ids = [block[k : k + 2 * length] for k in range(0, len(block), 2 * length)]
+                        place = np.arange(at, at + len(x), dtype=np.int64)
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(shard * per_shard + place), pa.array(np.full(len(x), shard, np.int32)), pa.array(place * length * 2), pa.array(x["doc_id"].astype(np.int64), mask=x["named"] == 0),
+                            pa.array(x["sequence"].astype(np.int32)), pa.array(x["n_tokens"].astype(np.int32)), pa.array(ids, pa.binary()), pa.array([hashlib.sha256(i).hexdigest() for i in ids]),
+                        ], names=["slot", "shard", "place", "doc_id", "sequence", "n_tokens", "ids", "sha256"])
+                if whole.hexdigest() != digest:
+                    raise ValueError(f"{path} isn't what was written")
+
+    return files.mapInArrow(run, "slot long, shard int, place long, doc_id long, sequence int, n_tokens int, ids binary, sha256 string")
+
+
+def stored_order(docs: DataFrame, scratch: Scratch, key: int = 20_240_601, length: int = LENGTH, per_shard: int = PER_SHARD, path: str = VOCABULARY) -> DataFrame:
+    """The columns of ``training_order`` and ``sha256``, all from the shard files in the scratch folder ``shards``."""
+    folder = scratch.path("shards")
+    files = scratch.write("files", write_shards(training_order(docs, scratch, key, length, per_shard, path), folder, length))
+    scratch.drop("tokens")
+    return read_shards(files.repartitionById(max(1, files.count()), F.col("shard")), folder, length, per_shard)
 
 
 def read_from(folder: str, slot: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> np.ndarray:
@@ -190,4 +236,4 @@ def read_from(folder: str, slot: int, length: int = LENGTH, per_shard: int = PER
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order(table(spark, sf_dir, "documents"), Scratch(spark, "op2"))
+    return stored_order(table(spark, sf_dir, "documents"), Scratch(spark, "op2"))

@@ -356,6 +356,24 @@ def test_training_order(spark, tmp_path):
     assert training_order.training_order(d.limit(0), scratch(spark)).count() == 0
 
 
+def test_order_comes_from_files(spark):
+    d, kept = odd(spark).repartition(3).persist(), scratch(spark)
+    want = {r.slot: r for r in training_order.training_order(d, scratch(spark), length=64, per_shard=100).collect()}
+    rows = training_order.stored_order(d, kept, length=64, per_shard=100)
+    got = rows.collect()
+    assert sorted(r.slot for r in got) == sorted(want) and None in {r.doc_id for r in got}
+    for r in got:
+        assert tuple(r)[:-1] == tuple(want[r.slot]) and r.sha256 == hashlib.sha256(r["ids"]).hexdigest()
+        assert r.slot % 97 or training_order.read_from(kept.path("shards"), r.slot, 64, 100).tobytes() == bytes(r["ids"])
+    first = f"{kept.path('shards').removeprefix('file://')}/shard-000000.bin"
+    with open(first, "r+b") as f:
+        f.write(b"\xff\xff\xff")
+    with pytest.raises(Exception, match="isn't what was written"):
+        rows.collect()
+    assert training_order.stored_order(d.limit(0), scratch(spark)).count() == 0
+    assert "sha256" in training_order.op2(spark, SF).columns
+
+
 # 1
 
 
