@@ -13,6 +13,10 @@ between components, and longer ones are compared block by block, twice for each
 then for all that is left. Pairs pass size and parity-bitmap bounds, both exact, and then the intersection
 itself. The sizes up to which a set is light come from the cost of both ways on the sizes at hand.
 
+The join keeps links enough to span the components, which are exact. As every link lies within a component,
+links are then counted there: the two sets of a pair link; the whole sets of larger components are compared
+block by block, each with each, and only counts leave a block.
+
 Null texts and texts without words have an empty set and link with nothing. Repeated rows are rows of
 their own with the same component. Columns other than the id and the text aren't read.
 """
@@ -43,6 +47,9 @@ ORDERED = 1 << 19
 SHORT = 64
 #: members in a block of a long list
 BLOCK = 4096
+#: members, and shingles in all, of a block in which the links of a component are counted
+COUNT_BLOCK = 1024
+COUNT_SHINGLES = 1 << 19
 #: no set of more shingles is light, whatever the cost
 LIGHT_MOST = 12
 _ROWS = 20_000
@@ -342,17 +349,54 @@ def _open(member: DataFrame, comp: DataFrame, sigs: DataFrame) -> tuple[DataFram
     return rooted.join(lists.select("shingle"), "shingle").join(sigs.select("set_id", "n", "bits"), "set_id"), lists
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def _count_links(docs: DataFrame, sigs: DataFrame, comp: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(set_id, n_links)``: the rows of other sets that each set of ``comp(node, root)`` links with."""
+    rooted = comp.withColumnRenamed("node", "set_id").join(sigs.select("set_id", "n", "copies"), "set_id")
+    sizes = rooted.groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("weight"), F.sum("copies").alias("all_copies"))
+    rooted = scratch.write("count", rooted.join(sizes, "root").withColumn("nb", F.expr(f"cast(greatest(ceil(c / {COUNT_BLOCK}), ceil(weight / {COUNT_SHINGLES})) as int)")))
+    two = rooted.where("c = 2").select("set_id", (F.col("all_copies") - F.col("copies")).alias("n_links"))
+    many = rooted.where("c > 2").select("set_id", "root", "copies", "nb", F.expr("cast(pmod(xxhash64(set_id), nb) as int)").alias("mine"))
+    pool = _pool(docs, many.select(F.col("set_id").alias("k")), many.count())
+    laid = many.join(pool, "set_id").withColumn("other", F.explode(F.expr("sequence(0, nb - 1)"))).select(
+        "root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "set_id", "copies", "items")
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        x = {c: t.column(c).to_numpy() for c in ("i", "j", "mine", "set_id", "copies")}
+        items = pa.concat_arrays(t.column("items").chunks)
+        ends = np.cumsum(items.value_lengths().to_numpy().astype(np.int64))
+        starts = np.concatenate([[0], ends[:-1]])
+        known, at = np.unique(items.flatten().to_numpy(), return_inverse=True)
+        rows, cols = (np.flatnonzero(x["mine"] == x[c]) for c in "ij")
+        size, mark, n = ends - starts, np.zeros(len(known), bool), np.zeros(t.num_rows, np.int64)
+        laid = np.concatenate([at[starts[c] : ends[c]] for c in cols]) if len(cols) else at[:0]
+        first = np.concatenate([[0], np.cumsum(size[cols])[:-1]]).astype(np.int64)
+        same = x["i"][0] == x["j"][0]
+        for r in rows if len(cols) else ():
+            own = at[starts[r] : ends[r]]
+            mark[own] = True
+            both = np.add.reduceat(mark[laid], first, dtype=np.int64)
+            mark[own] = False
+            linked = cols[100 * both >= 75 * (size[r] + size[cols] - both)]
+            n[r] += x["copies"][linked[linked != r]].sum()
+            if not same:
+                n[linked] += x["copies"][r]
+        return pa.table({"set_id": x["set_id"], "n_links": n})
+
+    return laid.groupBy("root", "i", "j").applyInArrow(compare, "set_id long, n_links long").groupBy("set_id").agg(F.sum("n_links").alias("n_links")).union(two)
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch, count: bool = True) -> DataFrame:
     """``(doc_id, n_shingles, n_links, component_id)``, one row for each row of ``docs(doc_id, text)``.
 
-    ``n_links`` counts the verified links that the join kept of the row's set: enough to span its component.
+    ``n_links`` counts the other rows that the row links with, copies included; without ``count`` it is left out.
     A row without shingles has no link and its own doc_id; a null doc_id never names a component.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = scratch.write("rows", describe(docs))
     # one row for each set; copies meet in the map-side aggregation
-    sigs = scratch.write("sets", rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("bits").alias("bits")))
+    sigs = scratch.write("sets", rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.count("*").alias("copies")))
 
     counted = scratch.write("counts", lower_half(docs).groupBy("shingle").agg(F.sum("c").alias("c")).where("c > 2"))
     levels = {int(r.level): (r.k, r.e) for r in counted.groupBy(F.floor(F.log2("c") * 8).alias("level")).agg(F.count("*").alias("k"), F.sum("c").alias("e")).collect()}
@@ -402,13 +446,16 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
         comp = scratch.write(f"components-{k}", components(links, scratch, f"cc-{k}"))
         scratch.drop(f"near-{k}")
 
-    n_links = links.select(F.col("a").alias("set_id")).union(links.select("b")).groupBy("set_id").agg(F.count("*").alias("n_links"))
-    named = sigs.select("set_id", "doc_id").join(comp.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")).join(n_links, "set_id", "left")
+    named = sigs.select("set_id", "doc_id", "copies").join(comp.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     least_id = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least_id, "root").select("set_id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = named.join(least_id, "root")
+    if count:
+        named = named.join(_count_links(docs, sigs, comp, scratch), "set_id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1)
+    named = named.drop("root", "doc_id", "copies")
+    n_links = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count else []
     return rows.select("doc_id", "n", "set_id").join(named, "set_id", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), *n_links, F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op5")).drop("n_links")
+    return near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op5"))

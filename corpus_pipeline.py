@@ -40,7 +40,7 @@ def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     scratch = Scratch(spark, "pipeline-copies")
     docs = _keyed(docs, scratch)
-    found = ngram_join.near_duplicates(docs.select(F.col("row").alias("doc_id"), "text"), scratch)
+    found = ngram_join.near_duplicates(docs.select(F.col("row").alias("doc_id"), "text"), scratch, count=False)
     rank = docs.select("row", F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", F.xxhash64(*COLUMNS).alias("hash"), "row").alias("rank"))
     ranked = found.select(F.col("doc_id").alias("row"), "component_id").join(rank, "row")
     kept = ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank.row")

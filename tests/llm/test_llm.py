@@ -133,6 +133,19 @@ def test_near_duplicates(spark, monkeypatch, short, block):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows)
 
 
+@pytest.mark.parametrize("block", [1024, 3])
+def test_links_are_counted(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "COUNT_BLOCK", block)
+    base = " ".join(f"w{i}" for i in range(80))
+    rows = edits(8, 14, [1, 5, 9, 12, 40, 90], 7) + [(500 + i, f"{base} end{i}") for i in range(3)] + [(600, f"{base} end0"), (601, f"{base} end0"), (602, None), (603, "")]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for _, t in rows]
+    want = {i: sum(k != m and 100 * len(sets[k] & s) >= 75 * len(sets[k] | s) for m, s in enumerate(sets) if s) if sets[k] else 0 for k, (i, _) in enumerate(rows)}
+    got = ngram_join.near_duplicates(docs(spark, [(i, t, "s") for i, t in rows]), scratch(spark)).collect()
+    assert {r.doc_id: r.n_links for r in got} == want
+    assert [want[i] for i in (500, 501, 502, 600, 602)] == [4, 4, 4, 4, 0]
+    assert block == 3 or "n_links" in ngram_join.op5(spark, SF).columns
+
+
 def test_near_duplicates_odd(spark):
     got = ngram_join.near_duplicates(odd(spark), scratch(spark)).collect()
     by = {r.doc_id: r for r in got}
