@@ -3,19 +3,19 @@
 Two texts link when 100 * |A & B| >= 75 * |A | B|. Texts with equal sets are one node from the start.
 
 *Light* sets (few shingles) are joined by enumerating subsets: two sets of n and m shingles link exactly
-when they share a subset of the o = ceil(3 (n + m) / 7) shingles that the threshold asks for. Members of a
-subset's group are linked with its smallest member, which leaves the components as they are.
+when they share a subset of the o = ceil(3 (n + m) / 7) shingles that the threshold asks for. *Heavy* sets are
+joined by scanning inverted lists of their n - ceil(0.75 n) + 1 first shingles in one global order. Any order
+is exact; the one taken puts frequent shingles last. The size up to which a set is light comes from the cost
+of both ways on the sizes at hand.
 
-*Heavy* sets are joined by scanning inverted lists of their n - ceil(0.75 n) + 1 first shingles in one
-global order. Any order is exact; the one taken puts frequent shingles last. The members of a list first meet its
-pivots; of lists that still reach into several components, those of up to ``SHORT`` members give all pairs
-between components, and longer ones are compared block by block, twice for each member's likest one and
-then for all that is left. Pairs pass size and parity-bitmap bounds, both exact, and then the intersection
-itself. The sizes up to which a set is light come from the cost of both ways on the sizes at hand.
+Subsets and shingles are keys of one kind of list, dealt out once and read as streams. An entry carries its
+set's size and a bound on what the set can share with another from there on, so most pairs of a list are ruled
+out where they meet, exactly; parity bitmaps, exact too, rule out nearly all others. What is left joins sets to
+candidate components. The members of a list first meet those that are next in size; lists that still reach
+into several components are then compared in full, short ones member by member, long ones block by block.
 
-The join keeps links enough to span the components, which are exact. As every link lies within a component,
-links are then counted there: the two sets of a pair link; the whole sets of larger components are compared
-block by block, each with each, and only counts leave a block.
+Every link lies within a candidate component. There the whole sets meet block by block, each with each, once:
+that counts every link and leaves links enough to span the true components.
 
 Null texts and texts without words have an empty set and link with nothing. Repeated rows are rows of
 their own with the same component. Columns other than the id and the text aren't read.
@@ -39,19 +39,25 @@ from cellweave.llm.components import components
 
 #: words in a shingle
 WORDS = 5
-#: bits of a set's parity bitmap
-BITS = 2048
 #: shingles whose frequency orders them last, at most; the rest keep the order of their hashes
 ORDERED = 1 << 19
-#: a list of more members goes the way of pivots and blocks
+#: following members that each member of a list meets at first
+NEXT = 3
+#: a list of more members is compared block by block
 SHORT = 64
 #: members in a block of a long list
 BLOCK = 4096
-#: members, and shingles in all, of a block in which the links of a component are counted
+#: members, and shingles in all, of a block in which whole sets are compared
 COUNT_BLOCK = 1024
 COUNT_SHINGLES = 1 << 19
 #: no set of more shingles is light, whatever the cost
 LIGHT_MOST = 12
+#: sets that a task knows again, shingles that it counts at once, and texts to a bucket of counts
+REMEMBERED = 1 << 18
+RUN = 1 << 20
+BUCKET_TEXTS = 512
+#: where the upper half of the hashes begins
+UPPER = np.uint64(1 << 63)
 _ROWS = 20_000
 
 
@@ -90,21 +96,30 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
             yield part, shingles(words, first, WORDS)
 
 
-def _unlike(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-    """Each set that has shingles, once."""
-    seen = set()
-    for s in sets:
-        if len(s) and (k := set_id(s)) not in seen:
-            seen.add(k)
-            yield k, s
+class Unlike:
+    """Lets each set that has shingles through once, as far as a task's bounded memory of them goes."""
+
+    def __init__(self):
+        self.seen: set[int] = set()
+
+    def __call__(self, sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        for s in sets:
+            if len(s) and (k := set_id(s)) not in self.seen:
+                if len(self.seen) >= REMEMBERED:
+                    self.seen.clear()
+                self.seen.add(k)
+                yield k, s
 
 
 def _rows(columns: list[tuple[str, pa.DataType]], chunks: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    """Tuples of equally long arrays as record batches of a bounded size."""
+    """Tuples of equally long arrays as record batches of a bounded size; None stands for a column of nulls."""
     schema, held, n = pa.schema(columns), [], 0
 
     def flush() -> pa.RecordBatch:
-        cols = [pa.array(np.concatenate(x), kind) if isinstance(x[0], np.ndarray) else pa.array([y for z in x for y in z], kind) for x, (_, kind) in zip(zip(*held), columns)]
+        cols = []
+        for x, (_, kind) in zip(zip(*held), columns):
+            parts = [pa.nulls(len(h[0]), kind) if y is None else pa.array(y, kind) for y, h in zip(x, held)]
+            cols.append(pa.concat_arrays(parts))
         return pa.RecordBatch.from_arrays(cols, schema=schema)
 
     for c in chunks:
@@ -118,287 +133,387 @@ def _rows(columns: list[tuple[str, pa.DataType]], chunks: Iterator[tuple]) -> It
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Parities of the set's shingles by bin; two bitmaps differ in no more bits than their sets in shingles."""
-    bits = np.bincount((s >> np.uint64(20)).astype(np.int64) & (BITS - 1), minlength=BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    """Parities of the set's shingles by bin, with two bins and more to a shingle; folded to one length, two
+    bitmaps differ in no more bits than their sets in shingles."""
+    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+class Bitmaps:
+    """Bitmaps of several lengths, compared many at once."""
+
+    def __init__(self, column: pa.ChunkedArray | pa.Array):
+        values = column.to_pylist()
+        size = np.array([len(v) for v in values], np.int64)
+        self.size, self.at, self.of = size, np.zeros(len(values), np.int64), {}
+        for k in np.unique(size).tolist():
+            own = np.flatnonzero(size == k)
+            self.at[own] = np.arange(len(own))
+            self.of[k] = np.frombuffer(b"".join([values[i] for i in own]), np.uint64).reshape(len(own), -1)
+
+    def apart(self, i: np.ndarray, other: Bitmaps, j: np.ndarray) -> np.ndarray:
+        """The differing bits of bitmap i[k] here and j[k] there."""
+        out, pair = np.zeros(len(i), np.int64), self.size[i] << 32 | other.size[j]
+        for p in np.unique(pair).tolist():
+            here = np.flatnonzero(pair == p)
+            x, y = self.of[p >> 32], other.of[p & 0xFFFFFFFF]
+            for at in range(0, len(here), 4096):
+                k = here[at : at + 4096]
+                a, b = x[self.at[i[k]]], y[other.at[j[k]]]
+                while a.shape[1] != b.shape[1]:
+                    # the bins of the longer one meet again
+                    if a.shape[1] > b.shape[1]:
+                        a = a[:, : a.shape[1] // 2] ^ a[:, a.shape[1] // 2 :]
+                    else:
+                        b = b[:, : b.shape[1] // 2] ^ b[:, b.shape[1] // 2 :]
+                out[k] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def describe(docs: DataFrame, bits: int) -> DataFrame:
+    """Two kinds of rows from one pass: ``(doc_id, set_id, n, bitmap)`` of every text (set_id null for an empty
+    set), and ``(bucket, codes, counts)``: how many sets hold each shingle of the lower half of the hashes, in
+    runs of many sets, by the bucket of the hash (its first ``bits`` bits)."""
+    shift, edges = np.uint64(31 - bits), np.arange(1 << bits, dtype=np.uint64) << np.uint64(32)
 
+    def run(batches):
+        unlike, held, n = Unlike(), [], 0
 
-def describe(docs: DataFrame) -> DataFrame:
-    """``(doc_id, set_id, n, bits)`` of every row; set_id is null for an empty set."""
+        def counted():
+            code, count = np.unique(np.concatenate(held) >> shift, return_counts=True)
+            ends = np.append(np.searchsorted(code, edges), len(code))
+            some = np.flatnonzero(np.diff(ends)).tolist()
+            low = code.astype(np.uint32)
+            parts = [(low[ends[b] : ends[b + 1]].tobytes(), count[ends[b] : ends[b + 1]].astype(np.uint32).tobytes()) for b in some]
+            return None, None, None, None, some, [c for c, _ in parts], [c for _, c in parts]
 
-    def run(batches):
         def chunks():
+            nonlocal held, n
             for part, sets in _sets(batches):
                 ids = [set_id(s) if len(s) else None for s in sets]
-                yield part.column("doc_id").to_pylist(), ids, [len(s) for s in sets], [bitmap(s) if len(s) else None for s in sets]
+                yield part.column("doc_id").to_pylist(), ids, [len(s) for s in sets], [bitmap(s) if len(s) else None for s in sets], None, None, None
+                for _, s in unlike(sets):
+                    lower = s[: np.searchsorted(s, UPPER)]
+                    held.append(lower)
+                    n += len(lower)
+                if n >= RUN:
+                    yield counted()
+                    held, n = [], 0
+            if n:
+                yield counted()
+
+        kinds = [("doc_id", pa.int64()), ("set_id", pa.int64()), ("n", pa.int32()), ("bitmap", pa.binary()), ("bucket", pa.int32()), ("codes", pa.binary()), ("counts", pa.binary())]
+        for batch in _rows(kinds, ((c[0] if c[0] is not None else [None] * len(c[4]), *c[1:]) for c in chunks())):
+            yield batch
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_id long, n int, bitmap binary, bucket int, codes binary, counts binary")
+
 
-        yield from _rows([("doc_id", pa.int64()), ("set_id", pa.int64()), ("n", pa.int32()), ("bits", pa.binary())], chunks())
+def frequent(runs: DataFrame) -> DataFrame:
+    """``(code, c)``: the shingles that more than two sets hold, by bucket of the hash."""
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_id long, n int, bits binary")
+    def count(t: pa.Table) -> pa.Table:
+        code, c = (np.frombuffer(b"".join(t.column(x).to_pylist()), np.uint32) for x in ("codes", "counts"))
+        code, at = np.unique(code, return_inverse=True)
+        c = np.bincount(at, c).astype(np.int64)
+        ok = c > 2
+        return pa.table({"code": (np.int64(t.column("bucket")[0].as_py()) << 32) + code[ok].astype(np.int64), "c": c[ok]})
+
+    return runs.groupBy("bucket").applyInArrow(count, "code long, c long")
 
 
 class Order:
-    """The global order of shingles: lower half of the hashes, then the frequent ones of it, then the upper half."""
+    """The global order of shingles: the lower half of the hashes, then the frequent ones of it by frequency, then the upper half."""
 
-    def __init__(self, shingle: np.ndarray, count: np.ndarray):
-        by = np.argsort(shingle)
-        self.shingle, self.level = shingle[by], np.minimum(np.ceil(np.log2(np.maximum(count[by], 1)) * 8), 1000).astype(np.uint64)
+    def __init__(self, code: np.ndarray, count: np.ndarray, bits: int):
+        by = np.argsort(code)
+        self.code, self.level, self.shift = code[by].astype(np.uint64), np.floor(np.log2(np.maximum(count[by], 1)) * 8).astype(np.int16), np.uint64(31 - bits)
 
-    def rank(self, s: np.ndarray) -> np.ndarray:
-        upper = s >> np.uint64(63)
-        r = s >> np.uint64(2)
-        if len(self.shingle):
-            at = np.minimum(np.searchsorted(self.shingle, s), len(self.shingle) - 1)
-            known = self.shingle[at] == s
-            r = np.where(known, (np.uint64(1) << np.uint64(61)) + (self.level[at] << np.uint64(50)) + (s >> np.uint64(14)), r)
-        return r | upper << np.uint64(63)
+    def level_of(self, s: np.ndarray) -> np.ndarray:
+        """The level of frequent shingles, -1 for others."""
+        if not len(self.code):
+            return np.full(len(s), -1, np.int16)
+        code = s >> self.shift
+        at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
+        return np.where(self.code[at] == code, self.level[at], -1)
 
     def prefix(self, s: np.ndarray) -> np.ndarray:
+        """The first shingles of a sorted set, in order: as many as its linking partners can't all lack."""
         k = len(s) - -(-3 * len(s) // 4) + 1
-        return s[np.argpartition(self.rank(s), k - 1)[:k]] if k < len(s) else s
-
-
-def lower_half(docs: DataFrame) -> DataFrame:
-    """``(shingle, c)``: the shingles of the lower half of the hashes, with the number of distinct sets in each batch."""
+        half = int(np.searchsorted(s, UPPER))
+        for take in (k + k // 4 + 8, half):
+            head = s[: min(take, half)]
+            level = self.level_of(head)
+            rare = head[level < 0]
+            if len(rare) >= k:
+                return rare[:k]
+        often = level >= 0
+        return np.concatenate([rare, head[often][np.argsort(level[often], kind="stable")], s[half:]])[:k]
+
+
+def entries(docs: DataFrame, order, most: int) -> DataFrame:
+    """``(key, meta, set_id)``: what sets are listed under, meta being size << 32 | bound.
+
+    Sets that can have a partner of more than ``most`` shingles stand under their prefix, those of up to ``most``
+    under their hashed subsets. Two sets listed under the first key that they share have no more shingles in
+    common than the lesser of their bounds.
+    """
 
     def run(batches):
+        unlike = Unlike()
+
         def chunks():
             for _, sets in _sets(batches):
-                if found := [s[: np.searchsorted(s, np.uint64(1 << 63))] for _, s in _unlike(sets)]:
-                    u, c = np.unique(np.concatenate(found), return_counts=True)
-                    yield u.view(np.int64), c.astype(np.int32)
-
-        yield from _rows([("shingle", pa.int64()), ("c", pa.int32())], chunks())
+                for k, s in unlike(sets):
+                    n = len(s)
+                    if 4 * n // 3 > most:
+                        p = order.value.prefix(s).view(np.int64)
+                        yield p, (n << 32) + n - np.arange(len(p)), np.full(len(p), k, np.int64)
+                    if n <= most:
+                        for o in light_sizes(n):
+                            part = mix(mix(np.array(list(combinations(s.tolist(), o)), np.uint64)).sum(axis=1) + np.uint64(o)).view(np.int64)
+                            yield part, np.full(len(part), n << 32 | o, np.int64), np.full(len(part), k, np.int64)
 
-    return docs.select("text").mapInArrow(run, "shingle long, c int")
+        yield from _rows([("key", pa.int64()), ("meta", pa.int64()), ("set_id", pa.int64())], chunks())
 
+    return docs.select("text").mapInArrow(run, "key long, meta long, set_id long")
 
-def entries(docs: DataFrame, order, above: int, only=None) -> DataFrame:
-    """``(shingle, set_id)``: list entries of the sets that can have a partner of more than ``above`` shingles."""
 
-    def run(batches):
-        def chunks():
-            for _, sets in _sets(batches):
-                for k, s in _unlike(sets):
-                    if 4 * len(s) // 3 > above:
-                        p = order.value.prefix(s).view(np.int64)
-                        if only is not None:
-                            p = p[only.value.has(p)]
-                        if len(p):
-                            yield p, np.full(len(p), k, np.int64)
+def _can(meta: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether sizes and bounds allow listed sets i[k] and j[k] to link."""
+    n, bound = meta >> 32, meta & 0xFFFFFFFF
+    return 7 * np.minimum(bound[i], bound[j]) >= 3 * (n[i] + n[j])
 
-        yield from _rows([("shingle", pa.int64()), ("set_id", pa.int64())], chunks())
 
-    return docs.select("text").mapInArrow(run, "shingle long, set_id long")
+def _pairs(k: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair once, the lesser id first."""
+    both = np.unique(np.stack([np.minimum(k[i], k[j]), np.maximum(k[i], k[j])], axis=1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
+    return both[:, 0], both[:, 1]
 
 
-def subsets(docs: DataFrame, most: int) -> DataFrame:
-    """``(part, o, n, set_id)``: hashed subsets of o shingles of the sets of up to ``most``."""
+def _near_in_list(key: np.ndarray, gaps: range) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, i + gap) of one list, gap by gap; ``key`` is sorted."""
+    for gap in gaps:
+        i = np.flatnonzero(key[gap:] == key[:-gap]) if gap < len(key) else ()
+        if not len(i):
+            return
+        yield i, i + gap
 
-    def run(batches):
-        def chunks():
-            for _, sets in _sets(batches):
-                for k, s in _unlike(sets):
-                    if len(s) <= most:
-                        for o in light_sizes(len(s)):
-                            part = mix(mix(np.array(list(combinations(s.tolist(), o)), np.uint64)).sum(axis=1) + np.uint64(o)).view(np.int64)
-                            yield part, np.full(len(part), o, np.int32), np.full(len(part), len(s), np.int32), np.full(len(part), k, np.int64)
 
-        yield from _rows([("part", pa.int64()), ("o", pa.int32()), ("n", pa.int32()), ("set_id", pa.int64())], chunks())
+def lists(listed: DataFrame) -> DataFrame:
+    """``(key, a, b)``: pairs of sets a and b with a null key, and members a with meta b of the lists under a key.
 
-    return docs.select("text").mapInArrow(run, "part long, o int, n int, set_id long")
+    Members of a list meet their ``NEXT`` following ones in order of size. Of lists that this doesn't exhaust
+    those members are kept that can link with others; lists are read as streams, and long ones never held whole.
+    """
 
+    def found(key, meta, k, told: int, long_key: int | None):
+        """``told`` first rows were met before; the list ``long_key`` is long whatever of it is here."""
+        twin = np.zeros(len(key), bool)
+        twin[1:] = key[1:] == key[:-1]
+        twin[:-1] |= twin[1:]
+        keep = np.flatnonzero(twin)
+        told = int(np.searchsorted(keep, told))
+        key, meta, k = key[keep], meta[keep], k[keep]
+        if not len(key):
+            return
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        length = np.repeat(np.diff(np.append(first, len(key))), np.diff(np.append(first, len(key))))
+        if long_key is not None:
+            length[key == long_key] = SHORT + NEXT + 2
+        pair = [(i[ok], j[ok]) for i, j in _near_in_list(key, range(1, NEXT + 1)) if (ok := _can(meta, i, j) & (j >= told)).any()]
+        if pair:
+            a, b = _pairs(k, *map(np.concatenate, zip(*pair)))
+            yield None, a, b
+        open_ = (length > SHORT) & (length > NEXT + 1)
+        some = np.flatnonzero((length > NEXT + 1) & ~open_)
+        for i, j in _near_in_list(key[some], range(NEXT + 1, SHORT)):
+            i, j = some[i], some[j]
+            ok = _can(meta, i, j)
+            open_[i[ok]] = open_[j[ok]] = True
+        open_[:told] = False
+        if open_.any():
+            yield key[open_], k[open_], meta[open_]
 
-def light_links(docs: DataFrame, most: int) -> DataFrame:
-    """Links between light sets: each member of a subset's group with the group's smallest member."""
-    rows = subsets(docs, most).distinct()
-    first = rows.groupBy("part", "o").agg(F.min(F.struct("n", "set_id")).alias("p"), F.count("*").alias("c")).where("c > 1")
-    return (
-        rows.join(first, ["part", "o"]).where("set_id <> p.set_id and 7 * o >= 3 * (n + p.n)")
-        .select(F.col("p.set_id").alias("a"), F.col("set_id").alias("b")).distinct()
-    )
+    def run(batches):
+        def chunks():
+            held, told, long_key = [np.zeros(0, np.int64)] * 3, 0, None
+            for batch in batches:
+                x = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("key", "meta", "set_id"))]
+                new = np.ones(len(x[0]), bool)
+                new[1:] = (x[0][1:] != x[0][:-1]) | (x[2][1:] != x[2][:-1])
+                x = [c[new] for c in x]
+                if not len(x[0]):
+                    continue
+                # the last list may go on in the next batch
+                cut = int(np.searchsorted(x[0], x[0][-1]))
+                if len(x[0]) - cut <= 4 * SHORT and not (cut == 0 and long_key is not None):
+                    yield from found(*(c[:cut] for c in x), told, long_key)
+                    held, told, long_key = [c[cut:] for c in x], 0, None
+                else:
+                    now = int(x[0][-1])
+                    yield from found(*(c[:cut] for c in x), told, long_key) if cut else ()
+                    yield from found(*(c[cut:] for c in x), 0 if cut else told, now)
+                    held, told, long_key = [c[max(cut, len(c) - NEXT) :] for c in x], min(NEXT, len(x[0]) - cut), now
+            yield from found(*held, told, long_key)
+
+        yield from _rows([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())], ((c[0], c[1], c[2]) if c[0] is not None else ([None] * len(c[1]), c[1], c[2]) for c in chunks()))
+
+    return listed.repartition("key").sortWithinPartitions("key", "meta", "set_id").select("key", "meta", "set_id").mapInArrow(run, "key long, a long, b long")
 
 
 def _near(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """Pairs whose sizes and bitmaps allow a link."""
-    sizes = [sigs.select(F.col("set_id").alias(c), F.col("n").alias(f"n{c}")) for c in "ab"]
-    bits = [sigs.select(F.col("set_id").alias(c), F.col("bits").alias(f"b{c}")) for c in "ab"]
-    # sizes first: they rule most pairs out before any bitmap moves
-    both = pairs.join(sizes[0], "a").join(sizes[1], "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)").join(bits[1], "b").join(bits[0], "a")
+    side = lambda c: sigs.select(F.col("set_id").alias(c), F.col("n").alias(f"n{c}"), F.col("bitmap").alias(f"b{c}"))
 
     def run(batches):
         for t in batches:
             if t.num_rows:
-                na, nb = (t.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
-                x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("ba", "bb"))
-                ok = 7 * np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= na + nb
-                yield pa.RecordBatch.from_arrays([t.column("a").filter(pa.array(ok)), t.column("b").filter(pa.array(ok))], names=["a", "b"])
+                k = np.arange(t.num_rows)
+                both = t.column("na").to_numpy().astype(np.int64) + t.column("nb").to_numpy()
+                ok = pa.array(7 * Bitmaps(t.column("ba")).apart(k, Bitmaps(t.column("bb")), k) <= both)
+                yield pa.RecordBatch.from_arrays([t.column(c).filter(ok) for c in "ab"], names=["a", "b"])
 
-    return both.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(run, "a long, b long")
 
 
-def _pool(docs: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
-    """``(set_id, items)``: the whole sets of ``nodes(k)``, and of few others. Only these are shuffled."""
-    only = docs.sparkSession.sparkContext.broadcast(KeyFilter.build(nodes, "k", count))
+def _short(members: DataFrame) -> DataFrame:
+    """Pairs in different components from lists of up to ``SHORT`` of ``members(key, set_id, meta, root)``."""
 
     def run(batches):
-        def chunks():
-            for _, sets in _sets(batches):
-                if found := [(k, s) for k, s in _unlike(sets)]:
-                    ok = only.value.has(np.array([k for k, _ in found], np.int64))
-                    if ok.any():
-                        yield [k for (k, _), x in zip(found, ok) if x], [s.view(np.int64) for (_, s), x in zip(found, ok) if x]
+        held = [np.zeros(0, np.int64)] * 4
 
-        yield from _rows([("set_id", pa.int64()), ("items", pa.list_(pa.int64()))], chunks())
+        def found(key, meta, k, root):
+            for i, j in _near_in_list(key, range(1, SHORT)):
+                ok = (root[i] != root[j]) & _can(meta, i, j)
+                if ok.any():
+                    yield _pairs(k, i[ok], j[ok])
 
-    return docs.select("text").mapInArrow(run, "set_id long, items array<long>").dropDuplicates(["set_id"])
+        def chunks():
+            nonlocal held
+            for batch in batches:
+                x = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("key", "meta", "set_id", "root"))]
+                cut = int(np.searchsorted(x[0], x[0][-1])) if len(x[0]) else 0
+                held = [c[cut:] for c in x]
+                yield from found(*(c[:cut] for c in x))
+            yield from found(*held)
 
+        yield from _rows([("a", pa.int64()), ("b", pa.int64())], chunks())
 
-def _verified(pairs: DataFrame, pool: DataFrame) -> DataFrame:
-    """The pairs that link, by their whole sets."""
-    both = pairs.join(pool.select(F.col("set_id").alias("a"), F.col("items").alias("x")), "a").join(pool.select(F.col("set_id").alias("b"), F.col("items").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * shared >= 75 * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    return members.repartition("key").sortWithinPartitions("key").select("key", "meta", "set_id", "root").mapInArrow(run, "a long, b long").distinct()
 
 
-def _alike(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of members i[k] and j[k], those in different components whose sizes and bitmaps allow a link; their bits apart per shingle."""
-    n = x["n"]
-    ok = np.flatnonzero((x["root"][i] != x["root"][j]) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])))
-    apart = np.bitwise_count(x["bits"][i[ok]] ^ x["bits"][j[ok]]).sum(axis=1, dtype=np.int64)
-    both = n[i[ok]] + n[j[ok]]
-    fine = 7 * apart <= both
-    return ok[fine], apart[fine] / both[fine]
+def _joined(root: np.ndarray, at: int, near: np.ndarray) -> np.ndarray:
+    """Of the places ``near``, one for each component that isn't that of ``at``; ``root`` is brought up to date."""
+    _, one = np.unique(root[near], return_index=True)
+    one = near[one]
+    one = one[root[one] != root[at]]
+    if len(one):
+        root[np.isin(root, root[one])] = root[at]
+    return one
 
 
-def _arrays(t: pa.RecordBatch | pa.Table) -> dict[str, np.ndarray]:
-    x = {c: t.column(c).to_numpy() for c in t.schema.names if c != "bits"}
-    return x | {"n": x["n"].astype(np.int64), "bits": np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)}
+def _long(members: DataFrame, sizes: DataFrame, sigs: DataFrame) -> DataFrame:
+    """From long lists, compared block by block: pairs enough to join what their bitmaps allow to link."""
+    nb = sizes.select("key", F.expr(f"cast(ceil(c / {BLOCK}) as int)").alias("nb"))
+    here = members.join(nb, "key").join(sigs.select("set_id", "bitmap"), "set_id").withColumn("mine", F.expr("cast(pmod(xxhash64(set_id, key), nb) as int)"))
+    laid = here.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)"))).select(
+        "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "set_id", "root", "meta", "bitmap")
 
+    def compare(t: pa.Table) -> pa.Table:
+        k, root, meta, mine = (t.column(c).to_numpy().copy() for c in ("set_id", "root", "meta", "mine"))
+        bits, n, out = Bitmaps(t.column("bitmap")), meta >> 32, [(k[:0], k[:0])]
+        rows, cols = (np.flatnonzero(mine == t.column(c)[0].as_py()) for c in "ij")
+        for r in rows:
+            c = cols[root[cols] != root[r]]
+            c = c[_can(meta, np.full(len(c), r), c)]
+            c = c[7 * bits.apart(np.full(len(c), r), bits, c) <= n[r] + n[c]]
+            if len(c):
+                one = _joined(root, r, c)
+                out.append(_pairs(k, np.full(len(one), r), one))
+        return pa.table({"a": np.concatenate([a for a, _ in out]), "b": np.concatenate([b for _, b in out])})
 
-def _pairs(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> dict[str, np.ndarray]:
-    k = x["set_id"]
-    return {"a": np.minimum(k[i], k[j]), "b": np.maximum(k[i], k[j])}
+    return laid.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def _short(members: DataFrame) -> DataFrame:
-    """Pairs in different components from lists of up to ``SHORT`` of ``members(shingle, set_id, root, n, bits)``."""
+def _pool(docs: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
+    """``(set_id, items)``: the whole sets of ``nodes(set_id)``, and of few others. Only these are shuffled."""
+    only = docs.sparkSession.sparkContext.broadcast(KeyFilter.build(nodes, "set_id", count))
 
     def run(batches):
-        held = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            # the last list may go on in the next batch
-            key = t.column("shingle").to_numpy()
-            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
-            held = t.slice(cut)
-            yield from found(t.slice(0, cut))
-        if held is not None:
-            yield from found(held)
-
-    def found(t):
-        for at in range(0, t.num_rows, 8192):
-            # a list belongs to the step that it begins in
-            x = _arrays(t.slice(at, 8192 + SHORT).combine_chunks())
-            key, out = x["shingle"], []
-            first = np.searchsorted(key, key)
-            begun = first < 8192
-            if at:
-                begun &= key != t.column("shingle")[at - 1].as_py()
-            for gap in range(1, SHORT):
-                i = np.flatnonzero((key[gap:] == key[:-gap]) & begun[:-gap]) if gap < len(key) else np.zeros(0, np.int64)
-                if not len(i):
-                    break
-                ok, _ = _alike(x, i, i + gap)
-                out.append(_pairs(x, i[ok], i[ok] + gap))
-            if out:
-                yield pa.RecordBatch.from_pydict({c: np.concatenate([o[c] for o in out]) for c in "ab"})
-
-    return members.repartition("shingle").sortWithinPartitions("shingle").select("shingle", "set_id", "root", "n", "bits").mapInArrow(run, "a long, b long").distinct()
-
-
-def _long(members: DataFrame, lists: DataFrame, best: bool) -> DataFrame:
-    """The same from long lists, compared block by block; with ``best`` only each member's likest one in a block."""
-    nb = lists.select("shingle", F.expr(f"cast(ceil(c / {BLOCK}) as int)").alias("nb"))
-    here = members.join(nb, "shingle").withColumn("mine", F.expr("cast(pmod(xxhash64(set_id, shingle), nb) as int)"))
-    laid = here.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)"))).select(
-        "shingle", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "set_id", "root", "n", "bits")
-
-    def compare(t: pa.Table) -> pa.Table:
-        x, out = _arrays(t.combine_chunks()), [{"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)}]
-        rows, cols = (np.flatnonzero(x["mine"] == x[c]) for c in "ij")
-        for r in rows:
-            r = np.full(len(cols), r)
-            ok, apart = _alike(x, r, cols)
-            if len(ok) and best:
-                ok = ok[[np.argmin(apart)]]
-            out.append(_pairs(x, r[ok], cols[ok]))
-        return pa.table({c: np.concatenate([o[c] for o in out]) for c in "ab"})
-
-    return laid.groupBy("shingle", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+        unlike = Unlike()
 
+        def chunks():
+            for _, sets in _sets(batches):
+                if found := list(unlike(sets)):
+                    ok = only.value.has(np.array([k for k, _ in found], np.int64))
+                    if ok.any():
+                        yield [k for (k, _), x in zip(found, ok) if x], [s.view(np.int64) for (_, s), x in zip(found, ok) if x]
 
-def _nodes(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
+        yield from _rows([("set_id", pa.int64()), ("items", pa.list_(pa.int64()))], chunks())
 
+    return docs.select("text").mapInArrow(run, "set_id long, items array<long>").dropDuplicates(["set_id"])
 
-def _open(member: DataFrame, comp: DataFrame, sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members, with root and bitmap, of the lists that reach into several components; and those lists."""
-    rooted = member.join(comp.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")).select("shingle", "set_id", "root")
-    lists = rooted.groupBy("shingle").agg(F.count("*").alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("shingle", "c")
-    return rooted.join(lists.select("shingle"), "shingle").join(sigs.select("set_id", "n", "bits"), "set_id"), lists
 
+def settle(docs: DataFrame, sigs: DataFrame, comp: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(a, b, n_links)``: links a - b enough to span the true components, and with a null b the number of rows
+    of other sets that set a links with. All links lie within the components ``comp(node, root)``.
 
-def _count_links(docs: DataFrame, sigs: DataFrame, comp: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(set_id, n_links)``: the rows of other sets that each set of ``comp(node, root)`` links with."""
+    Each part of a component meets each, as whole sets, in blocks; only counts and spanning links leave a block.
+    """
     rooted = comp.withColumnRenamed("node", "set_id").join(sigs.select("set_id", "n", "copies"), "set_id")
-    sizes = rooted.groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("weight"), F.sum("copies").alias("all_copies"))
-    rooted = scratch.write("count", rooted.join(sizes, "root").withColumn("nb", F.expr(f"cast(greatest(ceil(c / {COUNT_BLOCK}), ceil(weight / {COUNT_SHINGLES})) as int)")))
-    two = rooted.where("c = 2").select("set_id", (F.col("all_copies") - F.col("copies")).alias("n_links"))
-    many = rooted.where("c > 2").select("set_id", "root", "copies", "nb", F.expr("cast(pmod(xxhash64(set_id), nb) as int)").alias("mine"))
-    pool = _pool(docs, many.select(F.col("set_id").alias("k")), many.count())
-    laid = many.join(pool, "set_id").withColumn("other", F.explode(F.expr("sequence(0, nb - 1)"))).select(
+    sizes = rooted.groupBy("root").agg(F.expr(f"cast(greatest(ceil(count(*) / {COUNT_BLOCK}), ceil(sum(n) / {COUNT_SHINGLES})) as int)").alias("nb"))
+    rooted = scratch.write("candidates", rooted.join(sizes, "root").select("set_id", "root", "copies", "nb", F.expr("cast(pmod(xxhash64(set_id), nb) as int)").alias("mine")))
+    laid = rooted.join(_pool(docs, rooted, rooted.count()), "set_id").withColumn("other", F.explode(F.expr("sequence(0, nb - 1)"))).select(
         "root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "set_id", "copies", "items")
 
     def compare(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        x = {c: t.column(c).to_numpy() for c in ("i", "j", "mine", "set_id", "copies")}
+        k, copies, mine = (t.column(c).to_numpy() for c in ("set_id", "copies", "mine"))
         items = pa.concat_arrays(t.column("items").chunks)
         ends = np.cumsum(items.value_lengths().to_numpy().astype(np.int64))
         starts = np.concatenate([[0], ends[:-1]])
         known, at = np.unique(items.flatten().to_numpy(), return_inverse=True)
-        rows, cols = (np.flatnonzero(x["mine"] == x[c]) for c in "ij")
-        size, mark, n = ends - starts, np.zeros(len(known), bool), np.zeros(t.num_rows, np.int64)
+        block = [t.column(c)[0].as_py() for c in "ij"]
+        rows, cols = (np.flatnonzero(mine == b) for b in block)
+        size, mark, n, root, out = ends - starts, np.zeros(len(known), bool), np.zeros(t.num_rows, np.int64), np.arange(t.num_rows), [(k[:0], k[:0])]
         laid = np.concatenate([at[starts[c] : ends[c]] for c in cols]) if len(cols) else at[:0]
         first = np.concatenate([[0], np.cumsum(size[cols])[:-1]]).astype(np.int64)
-        same = x["i"][0] == x["j"][0]
         for r in rows if len(cols) else ():
             own = at[starts[r] : ends[r]]
             mark[own] = True
             both = np.add.reduceat(mark[laid], first, dtype=np.int64)
             mark[own] = False
             linked = cols[100 * both >= 75 * (size[r] + size[cols] - both)]
-            n[r] += x["copies"][linked[linked != r]].sum()
-            if not same:
-                n[linked] += x["copies"][r]
-        return pa.table({"set_id": x["set_id"], "n_links": n})
+            linked = linked[linked != r]
+            n[r] += copies[linked].sum()
+            if block[0] != block[1]:
+                n[linked] += copies[r]
+            if len(linked):
+                one = _joined(root, r, linked)
+                out.append(_pairs(k, np.full(len(one), r), one))
+        a, b = (np.concatenate([o[c] for o in out]) for c in (0, 1))
+        return pa.table({"a": np.concatenate([a, k]), "b": pa.concat_arrays([pa.array(b), pa.nulls(len(k), pa.int64())]), "n_links": np.concatenate([np.zeros(len(a), np.int64), n])})
 
-    return laid.groupBy("root", "i", "j").applyInArrow(compare, "set_id long, n_links long").groupBy("set_id").agg(F.sum("n_links").alias("n_links")).union(two)
+    return laid.groupBy("root", "i", "j").applyInArrow(compare, "a long, b long, n_links long")
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, count: bool = True) -> DataFrame:
+def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``(doc_id, n_shingles, n_links, component_id)``, one row for each row of ``docs(doc_id, text)``.
 
-    ``n_links`` counts the other rows that the row links with, copies included; without ``count`` it is left out.
-    A row without shingles has no link and its own doc_id; a null doc_id never names a component.
+    ``n_links`` counts the other rows that the row links with, copies included. A row without shingles has no
+    link and its own doc_id; a null doc_id never names a component.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = scratch.write("rows", describe(docs))
+    # some hundred texts to a bucket of the hashes, so that what a bucket holds doesn't grow with the input
+    bits = min(20, max(4, (docs.count() // BUCKET_TEXTS).bit_length()))
+    described = scratch.write("described", describe(docs, bits))
+    rows = described.where("bucket is null").select("doc_id", "set_id", "n", "bitmap")
     # one row for each set; copies meet in the map-side aggregation
-    sigs = scratch.write("sets", rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.count("*").alias("copies")))
+    sigs = scratch.write("sets", rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("bitmap").alias("bitmap"), F.count("*").alias("copies")))
 
-    counted = scratch.write("counts", lower_half(docs).groupBy("shingle").agg(F.sum("c").alias("c")).where("c > 2"))
+    counted = scratch.write("counts", frequent(described.where("bucket is not null").select("bucket", "codes", "counts")))
     levels = {int(r.level): (r.k, r.e) for r in counted.groupBy(F.floor(F.log2("c") * 8).alias("level")).agg(F.count("*").alias("k"), F.sum("c").alias("e")).collect()}
     least, kept = 0, 0
     for level in sorted(levels, reverse=True):
@@ -407,54 +522,34 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, count: bool = True) -> Da
             break
         kept += levels[level][0]
     top = counted.where(F.floor(F.log2("c") * 8) >= least).toArrow()
-    order = spark.sparkContext.broadcast(Order(top["shingle"].to_numpy().view(np.uint64), top["c"].to_numpy().astype(np.float64)))
+    order = spark.sparkContext.broadcast(Order(top["code"].to_numpy(), top["c"].to_numpy().astype(np.float64), bits))
     scratch.drop("counts")
 
     sizes = {r.n: r.k for r in sigs.where(f"n <= {LIGHT_MOST}").groupBy("n").agg(F.count("*").alias("k")).collect()}
     most = light_boundary(sizes, sum(e for _, e in levels.values()) / max(1, sum(k for k, _ in levels.values())))
 
-    lists = scratch.write("lists", entries(docs, order, most).groupBy("shingle").agg(F.count("*").alias("c"), F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo <> hi"))
-    only = spark.sparkContext.broadcast(KeyFilter.build(lists.where("c > 2"), "shingle", lists.where("c > 2").count()))
-    member = scratch.write("members", entries(docs, order, most, only).distinct().join(lists.where("c > 2"), "shingle"))
-
-    # lists of two are a pair; the members of others first meet their pivots
-    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    pivots = lists.where("c = 2").select(*pair("lo", "hi")).union(member.where("set_id <> lo").select(*pair("set_id", "lo"))).union(member.where(f"c > {SHORT} and set_id <> hi").select(*pair("set_id", "hi"))).distinct()
-    near = scratch.write("near", _near(pivots, sigs))
-    pool = scratch.write("pool-pivots", _pool(docs, _nodes(near), 2 * near.count()))
-    links = scratch.write("links", light_links(docs, most).union(_verified(near, pool)))
-    scratch.drop("pool-pivots")
-    comp = scratch.write("components", components(links, scratch, "cc"))
-
-    member = member.select("shingle", "set_id")
-    # members of long lists meet their likest ones twice before all that is left of a list is compared
-    for k, best in enumerate((True, True, False)):
-        rest, lists = _open(member, comp, sigs)
-        rest, lists = scratch.write(f"open-{k}", rest), scratch.write(f"lists-{k}", lists)
-        long = lists.where(f"c > {SHORT}")
-        near = _long(rest, long, best)
-        if not k:
-            near = near.union(_short(rest.join(lists.where(f"c <= {SHORT}").select("shingle"), "shingle")))
-            member = rest.join(long.select("shingle"), "shingle").select("shingle", "set_id")
-        near = scratch.write(f"near-{k}", near.distinct())
-        if near.isEmpty():
-            break
-        if not k:
-            nodes = _nodes(near).union(member.select("set_id")).distinct()
-            pool = scratch.write("pool", _pool(docs, nodes, nodes.count()))
-        links = scratch.write(f"links-{k}", links.union(_verified(near, pool)).distinct())
-        comp = scratch.write(f"components-{k}", components(links, scratch, f"cc-{k}"))
-        scratch.drop(f"near-{k}")
-
+    listed = scratch.write("lists", lists(entries(docs, order, most)))
+    near = scratch.write("near", _near(listed.where("key is null").select("a", "b").distinct(), sigs))
+    comp = scratch.write("components", components(near, scratch, "cc"))
+
+    # lists that still reach into several components: all that sizes, bounds and bitmaps allow is joined
+    members = listed.where("key is not null").select("key", F.col("a").alias("set_id"), F.col("b").alias("meta"))
+    rooted = members.join(comp.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    open_ = scratch.write("open", rooted.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key", "c"))
+    rooted = scratch.write("open-members", rooted.join(open_, "key"))
+    more = scratch.write("near-open", _near(_short(rooted.where(f"c <= {SHORT}")), sigs).union(_long(rooted.where(f"c > {SHORT}").drop("c"), open_.where(f"c > {SHORT}"), sigs)))
+    if not more.isEmpty():
+        comp = scratch.write("components-open", components(near.union(more), scratch, "cc-open"))
+    scratch.drop("lists", "open", "open-members")
+
+    settled = scratch.write("settled", settle(docs, sigs, comp, scratch))
+    comp = components(settled.where("b is not null").select("a", "b"), scratch, "cc-links")
+    n_links = settled.where("b is null").groupBy(F.col("a").alias("set_id")).agg(F.sum("n_links").alias("n_links"))
     named = sigs.select("set_id", "doc_id", "copies").join(comp.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    least_id = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least_id, "root")
-    if count:
-        named = named.join(_count_links(docs, sigs, comp, scratch), "set_id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1)
-    named = named.drop("root", "doc_id", "copies")
-    n_links = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count else []
+    named = named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").join(n_links, "set_id", "left")
+    named = named.select("set_id", "component_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return rows.select("doc_id", "n", "set_id").join(named, "set_id", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), *n_links, F.coalesce("component_id", "doc_id").alias("component_id"))
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
