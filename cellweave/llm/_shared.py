@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 
 #: rows of an Arrow batch at most: texts are long, and a batch of them is held by Spark and by Python at once
-BATCH_ROWS = 500
+BATCH_ROWS = 250
 
 
 def ship(spark: SparkSession) -> None:
@@ -32,14 +32,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where none is set (tests)."""
+    """``spark.checkpoint.dir`` of the session. Where none is set a local session (tests) gets a temporary folder;
+    on a cluster that is an error, as machines don't share their folders."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def spare(columns: list[str], name: str) -> str:
+    """A column name like ``name`` that none of ``columns`` has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Written tables that cut lineage: a lost executor re-reads them and repeats nothing."""
 
@@ -51,8 +62,11 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, name: str, df: DataFrame, codec: str = "snappy") -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name), compression=codec)
+    def write(self, name: str, df: DataFrame, codec: str = "snappy", level: int | None = None) -> DataFrame:
+        to = df.write.mode("overwrite")
+        if level is not None:
+            to = to.option(f"parquet.compression.codec.{codec}.level", level)
+        to.parquet(self.path(name), compression=codec)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -74,7 +88,6 @@ class KeyFilter:
     def __init__(self, words: np.ndarray):
         self.words = words
 
-
     @classmethod
     def build(cls, df: DataFrame, key: str, count: int) -> KeyFilter:
         n = 1 << 10

@@ -1,15 +1,14 @@
 """Operator 8. Boilerplate lines by their spread over sites.
 
-A line (trimmed of spaces) is boilerplate when it stands on at least ``MIN_SITES`` distinct sites. Lines
-that occur less often than that are out at once; the others get a HyperLogLog sketch of their sites, which
-merges map-side and again after the shuffle. Sketches within ``BAND`` of the threshold are settled by an
-exact distinct count. Boilerplate lines go from every document whatever their share of it, except from a proven
-copy, which is left whole for the near-duplicate stage: a text of nothing but boilerplate lines whose set of
-lines another row has too. The pipeline cleans that way (``max_share`` None). op8 and its SQL leave every
-text whole of whose characters boilerplate lines make up more than ``MAX_SHARE``.
+A line (trimmed of spaces) is boilerplate when it stands on at least ``MIN_SITES`` distinct sites. One
+aggregation counts each line and merges HyperLogLog sketches of its sites, map-side and again after the shuffle,
+so that a line of many rows reaches the reducer as one row from each task. Sketches within ``BAND`` of the
+threshold are settled by an exact distinct count. Boilerplate lines go from every document whatever their share
+of it, except from a proven copy, which is left whole for the near-duplicate stage: a text of nothing but
+boilerplate lines whose set of lines another row has too.
 
 Null texts stay null, empty lines are never boilerplate, a null site is one site of its own. Repeated rows
-are each cleaned alike. Input columns named like results are replaced; all others are kept.
+are each cleaned alike. Input columns named like results are replaced; all others are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,10 +19,11 @@ from pyspark.sql import functions as F
 from cellweave.llm._shared import Scratch, table
 
 MIN_SITES = 8
-MAX_SHARE = 0.5
 #: log2 of a sketch's registers, and the relative distance from the threshold at which its error can matter
 LOG_K = 10
 BAND = 0.15
+#: so many boilerplate lines (8 bytes each) go to every executor; more meet the texts' lines in a shuffle
+BROADCAST_LINES = 1 << 20
 
 
 def _lines(text: Column) -> Column:
@@ -33,51 +33,38 @@ def _lines(text: Column) -> Column:
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """``(line)``: hashes of the lines on at least ``min_sites`` sites of ``docs(text, site)``."""
     lines = docs.select(F.coalesce("site", F.lit("")).alias("site"), F.explode(F.array_distinct(_lines(F.col("text")))).alias("own")).where("own <> ''").select(F.xxhash64("own").alias("line"), "site")
-    often = lines.groupBy("line").agg(F.count("*").alias("c")).where(F.col("c") >= min_sites).select("line")
-    able = lines.join(often, "line")
-    spread = able.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LOG_K)).alias("sketch")).select("line", F.hll_sketch_estimate("sketch").alias("sites"))
+    spread = lines.groupBy("line").agg(F.count("*").alias("c"), F.hll_sketch_agg("site", F.lit(LOG_K)).alias("sketch")).where(F.col("c") >= min_sites).select("line", F.hll_sketch_estimate("sketch").alias("sites"))
     low, high = min_sites * (1 - BAND) - 1, min_sites * (1 + BAND) + 1
-    near = able.join(spread.where(f"sites between {low} and {high}").select("line"), "line").distinct().groupBy("line").agg(F.count("*").alias("sites"))
+    # made distinct first: a line near the threshold then has few rows, however many it had
+    near = lines.distinct().join(spread.where(f"sites between {low} and {high}").select("line"), "line").groupBy("line").agg(F.count("*").alias("sites"))
     return spread.where(f"sites > {high}").select("line").union(near.where(f"sites >= {min_sites}").select("line"))
 
 
 def _hits(docs: DataFrame, bad: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(hit_id, hit_key, lines, copied_)``: the boilerplate lines of a text, and whether it is a proven copy."""
+    """``(hit_id, hit_key, lines, copied)``: the boilerplate lines of a text, and whether it is a proven copy."""
     own = F.array_distinct(F.filter(_lines(F.col("text")), lambda x: x != ""))
     held = docs.select("doc_id", F.xxhash64("text").alias("key"), own.alias("own")).select("doc_id", "key", F.size("own").alias("n_own"), F.explode("own").alias("own")).select("doc_id", "key", "n_own", F.xxhash64("own").alias("line"))
-    hits = held.join(bad, "line").groupBy(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key")).agg(F.collect_set("line").alias("lines"), F.max("n_own").alias("n_own"), F.count("*").alias("c"))
+    hits = held.join(F.broadcast(bad) if bad.count() <= BROADCAST_LINES else bad, "line").groupBy(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key")).agg(F.collect_set("line").alias("lines"), F.max("n_own").alias("n_own"), F.count("*").alias("c"))
     # each of the repeated rows behind a group brings every line once
-    hits = hits.select("hit_id", "hit_key", "lines", F.when(F.size("lines") == F.col("n_own"), F.xxhash64(F.array_sort("lines"))).alias("set_"), (F.col("c") / F.size("lines")).alias("rows_"))
+    hits = hits.select("hit_id", "hit_key", "lines", F.when(F.size("lines") == F.col("n_own"), F.xxhash64(F.array_sort("lines"))).alias("set"), (F.col("c") / F.size("lines")).alias("rows"))
     hits = scratch.write("hits", hits)
-    copies = hits.where("set_ is not null").groupBy("set_").agg(F.sum("rows_").alias("rows_")).where("rows_ > 1").select("set_", F.lit(True).alias("copied_"))
-    return hits.drop("rows_").join(copies, "set_", "left").select("hit_id", "hit_key", "lines", F.coalesce("copied_", F.lit(False)).alias("copied_"))
+    copies = hits.where("set is not null").groupBy("set").agg(F.sum("rows").alias("rows")).where("rows > 1").select("set", F.lit(True).alias("copied"))
+    return hits.drop("rows").join(copies, "set", "left").select("hit_id", "hit_key", "lines", F.coalesce("copied", F.lit(False)).alias("copied"))
 
 
-def clean(docs: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES, max_share: float | None = MAX_SHARE) -> DataFrame:
-    """``docs(doc_id, text, source, ...)`` with the text cleaned, and n_lines, n_removed.
-
-    Without ``max_share`` only proven copies stay whole.
-    """
+def clean(docs: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES) -> DataFrame:
+    """``docs(doc_id, text, source, ...)`` with the text cleaned, and n_lines, n_removed."""
     bad = scratch.write("boilerplate", boilerplate(docs.select("text", F.col("source").alias("site")), min_sites))
-    key = F.xxhash64("text")
-    if max_share is None:
-        hits = _hits(docs, bad, scratch)
-    else:
-        held = docs.select("doc_id", key.alias("key"), F.explode(F.array_distinct(_lines(F.col("text")))).alias("own")).where("own <> ''").select("doc_id", "key", F.xxhash64("own").alias("line"))
-        hits = held.join(bad, "line").groupBy(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key")).agg(F.collect_set("line").alias("lines"))
-    docs = docs.drop("n_lines", "n_removed", "hit_id", "hit_key", "lines", "copied_").withColumn("key_", key)
-    joined = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("key_") == F.col("hit_key")), "left")
-    all_lines = F.split("text", "\n")
-    is_bad = lambda x: F.array_contains("lines", F.xxhash64(F.trim(x)))
-    gone = F.aggregate(F.filter(all_lines, is_bad), F.lit(0), lambda n, x: n + F.length(x))
-    cut = F.col("lines").isNotNull() & (~F.col("copied_") if max_share is None else gone <= max_share * F.length("text"))
-    joined = joined.withColumn("cut_", cut)
-    kept = F.filter(all_lines, lambda x: ~is_bad(x))
-    return joined.withColumns({
-        "n_lines": F.coalesce(F.size(all_lines), F.lit(0)).cast("long"),
-        "n_removed": F.when(F.col("cut_"), F.size(all_lines) - F.size(kept)).otherwise(0).cast("long"),
-        "text": F.when(F.col("cut_"), F.array_join(kept, "\n")).otherwise(F.col("text")),
-    }).drop("key_", "hit_id", "hit_key", "lines", "copied_", "cut_")
+    hits = _hits(docs.select("doc_id", "text"), bad, scratch)
+    docs = docs.drop("n_lines", "n_removed")
+    # the input's columns travel in one, so no name of theirs can meet one of ours
+    held = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("key"))
+    joined = held.join(hits, F.col("row.doc_id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left")
+    all_lines, cut = F.split("row.text", "\n"), F.col("lines").isNotNull() & ~F.col("copied")
+    kept = F.filter(all_lines, lambda x: ~F.array_contains("lines", F.xxhash64(F.trim(x))))
+    made = joined.select("row", F.coalesce(F.size(all_lines), F.lit(0)).cast("long").alias("n_lines"), F.size(all_lines).alias("n"), F.when(cut, kept).alias("kept"))
+    text = F.when(F.col("kept").isNotNull(), F.array_join("kept", "\n")).otherwise(F.col("row.text"))
+    return made.select(*[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns], "n_lines", F.coalesce(F.col("n") - F.size("kept"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,17 +72,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean(docs, Scratch(spark, "op8")).select("doc_id", "text", "n_lines", "n_removed")
 
 
-def sql(docs: str = "documents", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> str:
+def sql(docs: str = "documents", min_sites: int = MIN_SITES) -> str:
     """The cleaned rows of a table ``docs`` with columns doc_id, text, source, in DuckDB's SQL."""
     return f"""
 with lines as (select doc_id, text, source, unnest(string_split(text, chr(10))) as raw from {docs}),
 bad as (select trim(raw, ' ') as line from lines where trim(raw, ' ') <> '' group by 1 having count(distinct coalesce(source, '')) >= {min_sites}),
 badset as (select coalesce(list(line), []) as b from bad),
-cut as (select d.*, string_split(text, chr(10)) as parts, list_filter(string_split(text, chr(10)), lambda x: list_contains(b, trim(x, ' '))) as gone,
-               list_filter(string_split(text, chr(10)), lambda x: not list_contains(b, trim(x, ' '))) as kept from {docs} d, badset),
-done as (select *, len(gone) > 0 and list_sum(list_transform(gone, lambda x: length(x))) <= {max_share} * length(text) as go from cut)
+cut as (select d.*, string_split(text, chr(10)) as parts, list_filter(string_split(text, chr(10)), lambda x: not list_contains(b, trim(x, ' '))) as kept,
+               list_sort(list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''))) as own from {docs} d, badset),
+proven as (select own from cut where len(own) > 0 and len(list_filter(kept, lambda x: trim(x, ' ') <> '')) = 0 group by own having count(*) > 1),
+done as (select c.*, len(parts) > len(kept) and o.own is null as go from cut c left join proven o on o.own = c.own)
 select doc_id, case when go then array_to_string(kept, chr(10)) else text end as text, cast(coalesce(len(parts), 0) as bigint) as n_lines,
-       cast(case when go then len(gone) else 0 end as bigint) as n_removed from done
+       cast(case when go then len(parts) - len(kept) else 0 end as bigint) as n_removed from done
 """
 
 
