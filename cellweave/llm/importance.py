@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.llm._shared import Scratch, table
+from cellweave.llm._shared import Scratch, spare, table
 from cellweave.llm._text import NOT_SPACE, mix, utf8, word_hashes
 
 BUCKETS = 1 << 16
@@ -30,6 +30,8 @@ SEED = 7
 TEMPERATURE = 0.05
 BINS = 1 << 12
 PRIOR = 10_000.0
+#: so many ids of target texts go to every executor; more meet the documents in a shuffle
+BROADCAST_LABELS = 1_000_000
 
 
 def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +80,9 @@ def log_ratio(counts: DataFrame) -> np.ndarray:
 def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = SEED, temperature: float = TEMPERATURE) -> DataFrame:
     """``docs`` with log_weight and the Gumbel key."""
     held = docs.sparkSession.sparkContext.broadcast(ratio.astype(np.float32))
-    docs = docs.drop("log_weight", "gumbel_key", "hash_").withColumn("hash_", F.xxhash64(F.lit(seed), "doc_id", "text"))
+    docs = docs.drop("log_weight", "gumbel_key")
+    own_hash = spare(docs.columns, "hash")
+    docs = docs.withColumn(own_hash, F.xxhash64(F.lit(seed), "doc_id", "text"))
 
     def run(batches):
         own = held.value.astype(np.float64)
@@ -88,12 +92,12 @@ def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = SEED, temperature: flo
                 row, bucket = ngrams(b.column("text"))
                 n = np.bincount(row, minlength=b.num_rows)
                 w = np.bincount(row, own[bucket], minlength=b.num_rows) / np.maximum(n, 1)
-                u = (mix(b.column("hash_").to_numpy().view(np.uint64)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+                u = (mix(b.column(own_hash).to_numpy().view(np.uint64)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
                 key = w / temperature - np.log(-np.log(np.clip(u, 1e-16, 1 - 1e-16)))
-                keep = [c for c in b.schema.names if c != "hash_"]
+                keep = [c for c in b.schema.names if c != own_hash]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(w), pa.array(key)], names=[*keep, "log_weight", "gumbel_key"])
 
-    schema = T.StructType([*docs.drop("hash_").schema]).add("log_weight", "double").add("gumbel_key", "double")
+    schema = T.StructType([*docs.drop(own_hash).schema]).add("log_weight", "double").add("gumbel_key", "double")
     return docs.mapInArrow(run, schema)
 
 
@@ -121,9 +125,9 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> float | None:
 def resample(docs: DataFrame, labels: DataFrame, scratch: Scratch, keep: float = KEEP, seed: int = SEED) -> DataFrame:
     """``docs`` with log_weight, gumbel_key and selected; ``labels(doc_id, quality)`` names the target texts."""
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("good", F.lit(True))
-    ids = docs.select("doc_id").join(good, "doc_id", "left_semi")
-    n_good = ids.count()
-    marked = docs.select("doc_id", "text").join(F.broadcast(good) if n_good <= 1_000_000 else good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    # what is sent is what is counted
+    sent = F.broadcast(good) if good.count() <= BROADCAST_LABELS else good
+    marked = docs.select("doc_id", "text").join(sent, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     rows = weigh(docs, log_ratio(bucket_counts(marked)), seed)
     keys = scratch.write("keys", rows.select("doc_id", "log_weight", "gumbel_key"))
     cut = kth_largest(keys, "gumbel_key", int(keep * keys.count()))

@@ -6,7 +6,8 @@ rule's path. Expressions meet rules in an equi-join on the first 8 hex digits of
 digest then confirms, and of the rules that fit the longest wins (then the longer host, then block).
 
 Null urls and urls without ``://`` have an empty host and path, fit no rule and get the default verdict.
-Every input row gives one row, repeated ones too. Input columns named like results are replaced.
+Every input row gives one row, repeated ones too. Input columns named like results are replaced; all others
+are kept, whatever their names. A url is judged whole however long it is.
 """
 
 from __future__ import annotations
@@ -50,9 +51,10 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     n_rules = rules.count()
 
     h, p = host_and_path(F.col(url))
-    pages = pages.drop("host", "path", "rule", "verdict").withColumns({"host": h, "path": p})
+    # the input's columns travel in one, so no name of theirs can meet one of ours
+    pages = pages.select(F.struct(*[c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]).alias("row"), h.alias("host"), p.alias("path"))
     if not n_rules:
-        return pages.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+        return pages.select("row.*", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     parts = F.split("host", "[.]")
     suffixes = F.transform(F.filter(F.array(*map(F.lit, labels)), lambda k: k <= F.size(parts)), lambda k: F.array_join(F.slice(parts, F.size(parts) - k + 1, k), "."))
     prefixes = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda k: k <= F.length("path")), lambda k: F.substring(F.col("path"), F.lit(1), k))
@@ -70,10 +72,8 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
         wanted.withColumnRenamed("digest", "own").join(listed, "short").where("own = digest")
         .groupBy(F.col("host").alias("h"), F.col("path").alias("p")).agg(F.max("fit").alias("fit"))
     )
-    return (
-        pages.join(fits, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
-        .withColumns({"rule": F.col("fit.rule"), "verdict": F.coalesce("fit.verdict", F.lit(default))}).drop("h", "p", "fit")
-    )
+    joined = pages.join(fits, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
+    return joined.select("row.*", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", F.lit(default)).alias("verdict"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
