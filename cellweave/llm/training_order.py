@@ -3,14 +3,14 @@
 Texts are tokenised (byte-level BPE of a public vocabulary file, a parameter), closed with the end token and
 cut into sequences of ``LENGTH`` ids; the last one is padded with the end token. Sequences are numbered from
 0 in the order of files, and a keyed Feistel network with cycle-walking maps each number to its slot, a
-bijection of 0 .. n-1 that no one needs to store. Slots are dealt to shards by range: shard s holds the
-slots from s * PER_SHARD on, each of LENGTH * 2 bytes, so any slot's bytes are found by arithmetic and a
+bijection of 0 .. n-1 that no one needs to store. Slots are dealt to shards by range, and runs of neighbouring
+shards to tasks, which write one after the other: shard s holds the slots from s * PER_SHARD on, each of LENGTH * 2 bytes, so any slot's bytes are found by arithmetic and a
 reader resumes at any slot. ``write_shards`` writes the files, and beside each an index of equal stride with the
 sequences' documents; a repeated task writes the same bytes again. op2 writes all shards and returns what it
 reads back from the files.
 
 Null and empty texts have no sequence. Repeated rows have sequences of their own. Null ids are kept.
-Columns other than the id and the text aren't read.
+Columns other than the id and the text aren't read. A vocabulary with ids beyond 16 bits is an error.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ END = 50256
 LENGTH = 512
 PER_SHARD = 8192
 ROUNDS = 6
+#: shards that a task writes one after the other, where there are more than ``TASKS`` of them
+SHARD_RUN, TASKS = 16, 64
 #: a sequence's record in the index beside its shard; ``named`` is 0 for a null doc_id
 INDEX = np.dtype([("doc_id", "<i8"), ("sequence", "<i4"), ("n_tokens", "<i4"), ("named", "u1")])
 
@@ -76,6 +78,8 @@ def _encoder(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    if max(ranks.values(), default=0) >= 1 << 16:
+        raise ValueError(f"{path} has ids that 16 bits can't hold")
     return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -106,12 +110,17 @@ def sequences(docs: DataFrame, length: int = LENGTH, path: str = VOCABULARY) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "part int, first long, doc_id long, n_tokens int, ids binary")
 
 
+def tasks(shards: int) -> int:
+    """Tasks that write so many shards."""
+    return min(shards, max(TASKS, -(-shards // SHARD_RUN)))
+
+
 def training_order(docs: DataFrame, scratch: Scratch, key: int = 20_240_601, length: int = LENGTH, per_shard: int = PER_SHARD, path: str = VOCABULARY) -> DataFrame:
     """``(slot, shard, place, doc_id, sequence, n_tokens, ids)``, shard by shard and in slot order within.
 
     ``place`` is the byte at which the sequence starts in its shard, ``sequence`` its number in its text.
     """
-    held = scratch.write("tokens", sequences(docs, length, path), codec="zstd")
+    held = scratch.write("tokens", sequences(docs, length, path), codec="zstd", level=9)
     # one number for each input partition reaches the driver: how many sequences stand before it
     starts, n = {}, 0
     for c in sorted(held.groupBy("part").agg(F.max(F.col("first") + F.ceil(F.col("n_tokens") / length)).alias("n")).collect()):
@@ -119,28 +128,37 @@ def training_order(docs: DataFrame, scratch: Scratch, key: int = 20_240_601, len
         n += int(c.n)
     known = docs.sparkSession.sparkContext.broadcast((starts, n))
 
-    def run(batches):
+    def deal(batches):
         start, total = known.value
+        pack = pa.Codec("zstd").compress
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 b = batch.slice(a, 256)
                 index, doc, number, size, ids = [], [], [], [], []
                 for part, first, doc_id, n_tokens, blob in zip(*(b.column(c).to_pylist() for c in ("part", "first", "doc_id", "n_tokens", "ids"))):
-                    k = -(-n_tokens // length)
                     first += start[part]
-                    blob += np.full(k * length - n_tokens, END, "<u2").tobytes()
-                    for j in range(k):
+                    for j in range(-(-n_tokens // length)):
                         index.append(first + j)
                         doc.append(doc_id)
                         number.append(j)
                         size.append(min(length, n_tokens - j * length))
-                        ids.append(blob[2 * j * length : 2 * (j + 1) * length])
+                        ids.append(pack(blob[2 * j * length : 2 * (j + 1) * length], asbytes=True))
                 slot = permute(np.array(index, np.int64), total, key)
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array((slot // per_shard).astype(np.int32)), pa.array(slot % per_shard * length * 2), pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.array(size, pa.int32()), pa.array(ids, pa.binary())], names=["slot", "shard", "place", "doc_id", "sequence", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.array(size, pa.int32()), pa.array(ids, pa.binary())], names=["slot", "doc_id", "sequence", "n_tokens", "packed"])
+
+    def lay(batches):
+        unpack, pad = pa.Codec("zstd").decompress, np.full(length, END, "<u2").tobytes()
+        for b in batches:
+            slot, size = b.column("slot").to_numpy(), b.column("n_tokens").to_pylist()
+            ids = [unpack(x, 2 * n, asbytes=True) + pad[2 * n :] for x, n in zip(b.column("packed").to_pylist(), size)]
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array((slot // per_shard).astype(np.int32)), pa.array(slot % per_shard * length * 2), *(b.column(c) for c in ("doc_id", "sequence", "n_tokens")), pa.array(ids, pa.binary())], names=["slot", "shard", "place", "doc_id", "sequence", "n_tokens", "ids"])
 
-    dealt = held.mapInArrow(run, "slot long, shard int, place long, doc_id long, sequence int, n_tokens int, ids binary")
     shards = max(1, -(-n // per_shard))
-    return dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
+    count = tasks(shards)
+    dealt = held.mapInArrow(deal, "slot long, doc_id long, sequence int, n_tokens int, packed binary")
+    run = F.expr(f"cast((slot div {per_shard}) * {count} div {shards} as int)")
+    laid = dealt.repartitionById(count, run).sortWithinPartitions("slot")
+    return laid.mapInArrow(lay, "slot long, shard int, place long, doc_id long, sequence int, n_tokens int, ids binary")
 
 
 def write_shards(rows: DataFrame, folder: str, length: int = LENGTH) -> DataFrame:
@@ -223,7 +241,8 @@ def stored_order(docs: DataFrame, scratch: Scratch, key: int = 20_240_601, lengt
     folder = scratch.path("shards")
     files = scratch.write("files", write_shards(training_order(docs, scratch, key, length, per_shard, path), folder, length))
     scratch.drop("tokens")
-    return read_shards(files.repartitionById(max(1, files.count()), F.col("shard")), folder, length, per_shard)
+    n = tasks(max(1, files.count()))
+    return read_shards(files.repartitionById(n, F.col("shard") % n), folder, length, per_shard)
 
 
 def read_from(folder: str, slot: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> np.ndarray:
