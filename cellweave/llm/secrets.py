@@ -1,13 +1,18 @@
 """Operator 6. Secrets: candidate strings, and a random forest that removes false findings.
 
-Candidates are runs of ``LEAST`` and more characters of keys and tokens. Features are the candidate's length,
-its transitions between character classes and their shares, how much of it dictionary words cover (words
-that stand in many texts), whether it is part of a path or address, and its neighbouring words. A forest
-(Spark's own) is fitted on labelled findings, a bounded sample of them (``SAMPLE``), and judges every candidate.
+Candidates are runs of ``LEAST`` and more characters of keys and tokens, and values of ``LEAST_NAMED`` and more
+that stand behind a credential's name and a sign. Features are the candidate's length, its transitions between
+character classes and their shares, how much of it dictionary words cover, whether it is part of a path or
+address, and its neighbouring words that the dictionary knows. A forest (Spark's own) is fitted on labelled
+findings, a bounded sample of them (``SAMPLE``), and judges every candidate.
 
-The query's labels come from formats: a finding is a true secret where an issuer's format or an assignment
-to a credential's name proves it, and false where it is letters only. Neither proof is a feature by itself,
-so the forest also judges what no format names. ``classify`` takes any labelled findings instead.
+``labels`` may hold labelled findings from elsewhere. The given tables have none, so the query's labels come from
+what no feature looks at: a finding is true where it has an issuer's prefix and form, or where a credential's
+name is assigned a value with a digit; it is false where it has neither name nor anything but letters and marks.
+All others, such as values without digits behind a credential's name, have no label and are judged.
+
+The dictionary is a part of the model with a documented bound: words of any length that stand in one text in
+``ONE_IN``, and of more than ``WORDS`` of these the most frequent ones, counted over all texts.
 
 Null and empty texts have no candidates. Repeated rows have findings of their own. A candidate is whole
 however long it is. Columns other than the id and the text aren't read.
@@ -16,6 +21,7 @@ however long it is. Columns other than the id and the text aren't read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +33,8 @@ from pyspark.sql import functions as F
 from cellweave.llm._shared import Scratch, table
 
 LEAST = 16
+#: of a value behind a credential's name
+LEAST_NAMED = 8
 #: labelled findings that a fit uses, at most
 SAMPLE = 20_000
 #: a word of the dictionary stands in one text in so many; the dictionary has so many words at most
@@ -34,10 +42,11 @@ ONE_IN, WORDS = 500, 20_000
 TREES, DEPTH, SEED = 20, 8, 11
 _CANDIDATE = re.compile(rb"[A-Za-z0-9+/=_.~\-\x80-\xff]{%d,}" % LEAST)
 _PROVEN = re.compile(rb"^(AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|xox[abprs]-[0-9A-Za-z-]{10,}|eyJ[\w-]+\.eyJ[\w-]+\.[\w-]+)$")
-_NAMED = re.compile(rb"(?i)(password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\W{0,4}$")
-_NAME_HINT = re.compile(rb"(?i)(pass|pwd|secret|token|key|auth|cred)")
+_NAME = rb"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)"
+_NAMED = re.compile(rb"(?i)%s\W{0,4}$" % _NAME)
+_ASSIGNED = re.compile(rb"(?i)%s[\"']?\s{0,2}[=:]\s{0,2}[\"']?([^\s\"'`<>,;]{%d,})" % (_NAME, LEAST_NAMED))
 _WORD = re.compile(rb"[A-Za-z\x80-\xff]{3,}")
-NAMES = ["length", "transitions", "upper", "lower", "digit", "other", "hex", "entropy", "dictionary", "path", "assigned", "quoted", "hint", "words_before", "words_after"]
+NAMES = ["length", "transitions", "upper", "lower", "digit", "other", "hex", "entropy", "dictionary", "path", "quoted", "words_before", "words_after"]
 
 
 def _kind(c: int) -> int:
@@ -49,45 +58,65 @@ _HEX = np.zeros(256, bool)
 _HEX[[*range(48, 58), *range(97, 103)]] = True
 
 
-def covered(candidate: bytes, words: frozenset[bytes]) -> float:
-    """The share of the candidate that dictionary words of three and more bytes cover, the longest first from the left."""
-    low, n, at, out = candidate.lower(), len(candidate), 0, 0
-    while at < n:
-        for to in range(min(n, at + 12), at + 2, -1):
-            if low[at:to] in words:
-                out += to - at
-                at = to
-                break
-        else:
-            at += 1
-    return out / n
+class Dictionary:
+    """Lower-case words, and their lengths from the longest on."""
+
+    def __init__(self, words: frozenset[bytes]):
+        self.words, self.lengths = words, sorted({len(w) for w in words if len(w) > 2}, reverse=True)
+
+    def covered(self, candidate: bytes) -> float:
+        """The share of the candidate that words of three and more bytes cover, the longest first from the left."""
+        low, n, at, out = candidate.lower(), len(candidate), 0, 0
+        while at < n:
+            for k in self.lengths:
+                if k <= n - at and low[at : at + k] in self.words:
+                    out += k
+                    at += k
+                    break
+            else:
+                at += 1
+        return out / n
+
+    def known(self, s: bytes) -> int:
+        return sum(w.lower() in self.words for w in _WORD.findall(s))
 
 
-def features(text: bytes, start: int, end: int, words: frozenset[bytes]) -> list[float]:
+def places(text: bytes) -> list[tuple[int, int]]:
+    """Start and end of the candidates; a named value that a run of key characters meets is part of that."""
+    runs = [m.span() for m in _CANDIDATE.finditer(text)]
+    ends, starts = [b for _, b in runs], [a for a, _ in runs]
+    named = []
+    for m in _ASSIGNED.finditer(text):
+        a, b = m.span(1)
+        k = bisect_right(ends, a)
+        if k == len(runs) or starts[k] >= b:
+            named.append((a, b))
+    return sorted(runs + named) if named else runs
+
+
+def features(text: bytes, start: int, end: int, words: Dictionary) -> list[float]:
     x = text[start:end]
     a = np.frombuffer(x, np.uint8)
     kind, n = _KIND[a], len(a)
     counts = np.bincount(a)
     p = counts[counts > 0] / n
     before, after = text[max(0, start - 40) : start], text[end : end + 40]
-    # a name and an equals sign may be inside the run
-    name, sign, _ = x.partition(b"=")
-    known = lambda s: sum(w.lower() in words for w in _WORD.findall(s))
     return [
-        min(n, 10_000), int((kind[1:] != kind[:-1]).sum()) / n, *(np.bincount(kind, minlength=4) / n), float(_HEX[a].mean()), float(-(p * np.log2(p)).sum()),
-        covered(x[:2000], words), float(b"/" in x or b"://" in before[-12:] or b"www." in x or b"@" in before[-1:] + after[:1]),
-        float(bool(sign and name) or before.rstrip(b" \"'")[-1:] in (b"=", b":")), float(before[-1:] in (b'"', b"'", b"`")),
-        float(bool(_NAME_HINT.search(before[-20:]) or _NAME_HINT.search(name) and sign)), known(before), known(after),
+        n, int((kind[1:] != kind[:-1]).sum()) / n, *(np.bincount(kind, minlength=4) / n), float(_HEX[a].mean()), float(-(p * np.log2(p)).sum()),
+        words.covered(x), float(b"/" in x or b"://" in before[-12:] or b"www." in x or b"@" in before[-1:] + after[:1]),
+        float(before[-1:] in (b'"', b"'", b"`")), words.known(before), words.known(after),
     ]
 
 
 def proof(text: bytes, start: int, end: int) -> int | None:
-    """1 where a format proves a secret, 0 where letters alone say that it is none, else unknown."""
+    """1 where an issuer's form or a credential's name proves a secret, 0 where letters and marks alone say that it is none, else unknown."""
     x = text[start:end]
     name, sign, value = x.partition(b"=")
-    if _PROVEN.match(x) or _NAMED.search(text[max(0, start - 20) : start]) and re.search(rb"\d", x) or sign and value and _NAMED.search(name) and re.search(rb"\d", value):
+    named = bool(_NAMED.search(text[max(0, start - 20) : start]))
+    inside = bool(sign and value and _NAMED.search(name))
+    if _PROVEN.match(x) or re.search(rb"\d", value if inside else x) and (named or inside):
         return 1
-    return 0 if not re.search(rb"[0-9+=_~]", x) else None
+    return 0 if not (named or inside or re.search(rb"[0-9+=_~]", x)) else None
 
 
 def dictionary(docs: DataFrame, one_in: int = ONE_IN, most: int = WORDS) -> frozenset[bytes]:
@@ -98,8 +127,7 @@ def dictionary(docs: DataFrame, one_in: int = ONE_IN, most: int = WORDS) -> froz
             seen: dict[bytes, int] = {}
             for text in batch.column("text").cast(pa.large_binary()):
                 for w in set(_WORD.findall((text.as_py() or b"").lower())):
-                    if len(w) <= 12:
-                        seen[w] = seen.get(w, 0) + 1
+                    seen[w] = seen.get(w, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int32())], names=["w", "c"])
 
     least = max(2, docs.count() // one_in)
@@ -112,13 +140,13 @@ def candidates(docs: DataFrame, words: frozenset[bytes]) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches):
-        own = held.value
+        own = Dictionary(held.value)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.large_binary())):
                 text = text.as_py() or b""
-                for m in _CANDIDATE.finditer(text):
-                    rows.append((doc_id, m.start(), m.end() - m.start(), features(text, m.start(), m.end(), own), proof(text, m.start(), m.end())))
+                for a, b in places(text):
+                    rows.append((doc_id, a, b - a, features(text, a, b, own), proof(text, a, b)))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.int32()]
             cols = zip(*rows) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["doc_id", "start", "length", "features", "label"])
@@ -147,10 +175,16 @@ def classify(findings: DataFrame, model: RandomForestClassificationModel | None)
     return out.withColumn("probability", vector_to_array("probability")[1]).withColumn("is_secret", F.col("probability") >= 0.5).drop("x", "rawPrediction", "prediction")
 
 
-def scan(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(doc_id, start, length, label, probability, is_secret)``: every candidate and what the forest says."""
-    found = scratch.write("candidates", candidates(docs, dictionary(docs)))
-    return classify(found, fit(found)).drop("features")
+def scan(docs: DataFrame, scratch: Scratch, labels: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, start, length, label, probability, is_secret)``: every candidate and what the forest says.
+
+    ``labels(doc_id, start, length, label)``, one row for a finding, takes the place of the formats' proofs.
+    """
+    found = candidates(docs, dictionary(docs))
+    if labels is not None:
+        found = found.drop("label").join(labels.select("doc_id", "start", "length", F.col("label").cast("int").alias("label")), ["doc_id", "start", "length"], "left")
+    found = scratch.write("candidates", found)
+    return classify(found, fit(found)).select("doc_id", "start", "length", "label", "probability", "is_secret")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
