@@ -16,7 +16,6 @@ are kept in ``encode``; same-named ones are replaced.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import deque
@@ -230,9 +229,6 @@ def decode(rows: DataFrame, pieces: Pieces) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([*rows.schema]).add("decoded", "string"))
 
 
-def digest(ids: list[int]) -> str:
-    return hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest()
-
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

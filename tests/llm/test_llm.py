@@ -193,12 +193,12 @@ def test_contamination_in_groups(spark):
 # 7
 
 
-def test_urls(spark):
+def test_urls(spark, monkeypatch):
     urls = [None, "", "no scheme", "http://", "HTTP://Sub.Example.ORG/es/x", "http://example.org", "http://example.org/en/12?q#f", "https://a.com/de/", "x://a.com/de", "http://org/", "http://notexample.org/es/", "http://a.com:80/de/", "http://b?x/y", "http://example.org/en/1"]
     pages = spark.createDataFrame(list(enumerate(urls)) + [(13, urls[13])], "page_id long, url string").withColumn("verdict", F.lit("old"))
     rules = spark.createDataFrame(url_filter.RULES, "verdict string, host string, path string")
     for few in (100_000, 0):
-        url_filter.BROADCAST_RULES = few
+        monkeypatch.setattr(url_filter, "BROADCAST_RULES", few)
         got = url_filter.judge(pages, rules)
         assert got.count() == len(urls) + 1
         by = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got.collect()}
@@ -237,7 +237,7 @@ def test_boilerplate_goes_whatever_its_share(spark):
     # a repeated row is a copy too
     twice = docs(spark, rows + [(200, passage, "s1")])
     assert [x.text for x in p.lines(spark, twice, SF).where("doc_id = 200").collect()] == [passage] * 2
-    assert line_dedup.clean(odd(spark).withColumn("copied_", F.lit(-1)), scratch(spark), max_share=None).where("n_removed > 0").count() == 0
+    assert line_dedup.clean(odd(spark).withColumn("copied_", F.lit(-1)), scratch(spark)).where("n_removed > 0").count() == 0
 
 
 def test_spread_by_sketch_and_exactly(spark):
