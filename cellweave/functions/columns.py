@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: kilometres in a degree of latitude
 KM_PER_DEGREE = 111.32
 EARTH_RADIUS = 6378137.0
+#: degrees of latitude that Web Mercator reaches to
+MERCATOR_LIMIT = 85.06
 DIGITS = 6
 
 
@@ -27,13 +29,20 @@ def share(cond: Column) -> Column:
     return F.avg(cond.cast("double"))
 
 
-def statistics(v: Column, names: tuple[str, ...], prefix: str = "") -> list[Column]:
-    """Aggregates of one band by name, for one ``agg`` over one scan."""
-    made = {
-        "count": F.count(v), "mean": F.avg(v), "median": F.median(v), "min": F.min(v), "max": F.max(v), "std": F.stddev_pop(v),
-        "p05": F.percentile(v, F.lit(0.05)), "p25": F.percentile(v, F.lit(0.25)), "p75": F.percentile(v, F.lit(0.75)), "p95": F.percentile(v, F.lit(0.95)),
-        "pct_gt0": share(v > 0),
-    }
+QUANTILES = {"median": 0.5, "p05": 0.05, "p25": 0.25, "p75": 0.75, "p95": 0.95}
+
+
+def statistics(v: Column, names: tuple[str, ...], prefix: str = "", accuracy: int | None = None) -> list[Column]:
+    """Aggregates of one band by name, for one ``agg`` over one scan.
+
+    All quantiles come from one aggregate: exact and interpolated, which holds each group's distinct values, or
+    with an ``accuracy`` a sketch of bounded size whose ranks are off by at most one part in so many.
+    """
+    wanted = [n for n in names if n in QUANTILES]
+    points = F.array(*[F.lit(QUANTILES[n]) for n in wanted])
+    quantiles = F.percentile(v, points) if accuracy is None else F.percentile_approx(v, points, accuracy)
+    made = {"count": F.count(v), "mean": F.avg(v), "min": F.min(v), "max": F.max(v), "std": F.stddev_pop(v), "pct_gt0": share(v > 0)}
+    made |= {n: quantiles[k] for k, n in enumerate(wanted)}
     return [(made[n] if n == "count" else rounded(made[n])).alias(f"{prefix}{n}") for n in names]
 
 
@@ -43,8 +52,9 @@ def degrees_east(km: Column | float, lat: Column) -> Column:
 
 
 def mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """Web Mercator metres of longitude and latitude."""
-    return F.radians(lon) * EARTH_RADIUS, F.log(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2)) * EARTH_RADIUS
+    """Web Mercator metres of longitude and latitude; y is null beyond the projection's range."""
+    y = F.log(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2)) * EARTH_RADIUS
+    return F.radians(lon) * EARTH_RADIUS, F.when(F.abs(lat) <= MERCATOR_LIMIT, y)
 
 
 def unit_hash(text: Column) -> Column:

@@ -18,6 +18,11 @@ def few_regions(aois: DataFrame, few: int = FEW_REGIONS) -> bool:
     return aois.limit(few + 1).count() <= few
 
 
+def sent_if_few(df: DataFrame, aois: DataFrame, few: int = FEW_REGIONS) -> DataFrame:
+    """A table of some rows for each region: to every executor if regions are few, else Spark decides by size."""
+    return F.broadcast(df) if few_regions(aois, few) else df
+
+
 def zonal_join(cells: DataFrame, aois: DataFrame, scale: float = 1.0, few: int = FEW_REGIONS) -> DataFrame:
     """Cells with each region that holds their centre, in [minx, maxx) x [miny, maxy).
 
@@ -35,6 +40,18 @@ def zonal_join(cells: DataFrame, aois: DataFrame, scale: float = 1.0, few: int =
     return held.join(laid, ["bx", "by"]).where(inside).drop("bx", "by")
 
 
+def zonal_overlap(cells: DataFrame, aois: DataFrame, scale: float = 1.0, few: int = FEW_REGIONS) -> DataFrame:
+    """Cells with each region that they overlap, and ``weight``, the share of the cell that lies in the region."""
+    x, y = F.col("col") * scale, F.col("row") * scale
+    width = F.least(x + scale, F.col("maxx")) - F.greatest(x, F.col("minx"))
+    height = F.least(y + scale, F.col("maxy")) - F.greatest(y, F.col("miny"))
+    # a region as wide as its outermost cells holds the centres of all that it overlaps
+    wide = aois.select(*[c for c in aois.columns if c not in ("minx", "maxx", "miny", "maxy")], F.struct("minx", "maxx", "miny", "maxy").alias("box"),
+                       *[(F.floor(F.col(c) / scale) * scale).alias(c) for c in ("minx", "miny")], *[(F.ceil(F.col(c) / scale) * scale).alias(c) for c in ("maxx", "maxy")])
+    held = zonal_join(cells, wide, scale, few).drop("minx", "maxx", "miny", "maxy").withColumns({c: F.col(f"box.{c}") for c in ("minx", "maxx", "miny", "maxy")}).drop("box")
+    return held.withColumn("weight", width * height / (scale * scale)).where("weight > 0")
+
+
 def touches() -> F.Column:
     """Footprint t and region a overlap or touch."""
     return F.expr("t.minx <= a.maxx and t.maxx >= a.minx and t.miny <= a.maxy and t.maxy >= a.miny")
@@ -71,17 +88,24 @@ def tile_hit_list(tiles: DataFrame, aois: DataFrame) -> DataFrame:
     return hits.withColumn("position", F.row_number().over(W.partitionBy("aoi").orderBy("tile_id")) - 1)
 
 
-def tile_rank(tiles: DataFrame, aois: DataFrame, metres: float = 10.0, by_year: bool = False) -> DataFrame:
-    """``(aoi, year, tile_id, area, rank)``: tiles that meet a region by falling area of overlap, then id."""
+def tile_areas(tiles: DataFrame, aois: DataFrame, metres: float = 10.0) -> DataFrame:
+    """``(aoi, year, tile_id, area)``: tiles that meet a region with the area of their overlap."""
     width = "greatest(0.0D, least(t.maxx, a.maxx) - greatest(t.minx, a.minx))"
     height = "greatest(0.0D, least(t.maxy, a.maxy) - greatest(t.miny, a.miny))"
-    hits = tile_pairs(tiles, aois).select("a.aoi", "t.year", "t.tile_id", F.expr(f"{width} * {height} * {metres * metres}D").alias("area"))
-    keys = ["aoi", "year"] if by_year else ["aoi"]
-    return hits.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("area"), "tile_id"))).withColumn("area", rounded(F.col("area")))
+    return tile_pairs(tiles, aois).select("a.aoi", "t.year", "t.tile_id", F.expr(f"{width} * {height} * {metres * metres}D").alias("area"))
 
 
-def best_tile(tiles: DataFrame, aois: DataFrame, by_year: bool = False) -> DataFrame:
-    return tile_rank(tiles, aois, by_year=by_year).where("rank = 1").drop("rank")
+def tile_rank(tiles: DataFrame, aois: DataFrame, metres: float = 10.0) -> DataFrame:
+    """``(aoi, year, tile_id, area, rank)``: tiles that meet a region by falling area of overlap, then id."""
+    order = W.partitionBy("aoi").orderBy(F.desc("area"), "tile_id")
+    return tile_areas(tiles, aois, metres).withColumn("rank", F.row_number().over(order)).withColumn("area", rounded(F.col("area")))
+
+
+def best_tile(tiles: DataFrame, aois: DataFrame, by_year: bool = False, metres: float = 10.0) -> DataFrame:
+    """``(aoi, year, tile_id, area)``: the first of that order for each region, or region and year; one aggregation, no sort of a region's tiles."""
+    keys = ["aoi", "year"] if by_year else ["aoi"]
+    best = tile_areas(tiles, aois, metres).groupBy(*keys).agg(F.min(F.struct((-F.col("area")).alias("less"), "tile_id", "year")).alias("b"))
+    return best.select("aoi", "b.year", "b.tile_id", rounded(-F.col("b.less")).alias("area"))
 
 
 def require_tiles(tiles: DataFrame, aois: DataFrame, year: int) -> DataFrame:
@@ -116,6 +140,11 @@ def to_web_mercator(boxes: DataFrame) -> DataFrame:
     return boxes.withColumns({"minx": rounded(x0), "miny": rounded(y0), "maxx": rounded(x1), "maxy": rounded(y1)})
 
 
+def band_names(cells: DataFrame, keys: list[str], band: str) -> DataFrame:
+    """The names of the bands of each raster, one row each."""
+    return cells.select(*keys, band).distinct()
+
+
 def metadata(cells: DataFrame, keys: list[str], band: str, v: str) -> DataFrame:
     """Width, height, number of bands and value range of each raster."""
     return cells.groupBy(*keys).agg(

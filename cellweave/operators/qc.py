@@ -10,14 +10,17 @@ from cellweave.operators.zonal import zonal
 
 NODATA = (-32768.0, -9999.0)
 #: fixed values: the six cover types in order, and the lower-case name parts that mean each
+#: ("shr" also meets the longer word for its type, which is left out)
 PATTERNS = [
-    ("AFG", ["afg", "annual"]),
-    ("PFG", ["pfg", "perennial"]),
-    ("SHR", ["shr", "shrub"]),
+    ("AFG", ["afg", "annual_forb", "annual forb", "annual grass", "annual_forbs", "annual_grasses"]),
+    ("PFG", ["pfg", "perennial_forb", "perennial forb", "perennial grass", "perennial_forbs", "perennial_grasses"]),
+    ("SHR", ["shr"]),
     ("TRE", ["tre", "tree"]),
     ("LTR", ["ltr", "litter"]),
-    ("BG", ["bgr", "bg", "bare"]),
+    ("BGR", ["bg", "bare", "bareground", "bare_ground"]),
 ]
+#: fixed values: the bands of a sum besides bare ground, and the two names of that, the first one preferred
+COVER, BARE = ["AFG", "PFG", "SHR", "TRE", "LTR"], ["BG", "BGR"]
 
 
 def range_coverage(cells: DataFrame, band: str, aois: DataFrame, lo: float = 0.0, hi: float = 100.0) -> DataFrame:
@@ -27,19 +30,28 @@ def range_coverage(cells: DataFrame, band: str, aois: DataFrame, lo: float = 0.0
     return made.na.fill(0, ["n_valid", "n_below", "n_above"])
 
 
-def distribution(cells: DataFrame, band: str, aois: DataFrame) -> DataFrame:
-    return zonal(cells, aois, statistics(F.col(band), ("mean", "median", "min", "max", "p05", "p25", "p75", "p95", "pct_gt0")))
+def distribution(cells: DataFrame, band: str, aois: DataFrame, accuracy: int | None = None) -> DataFrame:
+    return zonal(cells, aois, statistics(F.col(band), ("mean", "median", "min", "max", "p05", "p25", "p75", "p95", "pct_gt0"), accuracy=accuracy))
 
 
-def band_sum(cells: DataFrame, bands: list[str], aois: DataFrame) -> DataFrame:
-    """Mean, least and greatest sum of the bands by region; a cell without any valid band has no sum."""
-    names = list(bands)
-    if "bg" not in names and "bgr" not in names:
-        raise ValueError("neither a bg nor a bgr band is there")
+def cover_bands(columns: list[str]) -> list[str]:
+    """The columns of the six cover types, bare ground under either of its names; letter case doesn't matter. ValueError if one is missing."""
+    known = {c.upper(): c for c in reversed(columns)}
+    bare = [b for b in BARE if b in known]
+    missing = [b for b in COVER if b not in known]
+    if not bare or missing:
+        raise ValueError(f"no {' or '.join(BARE)} band" if not bare else f"no band {', '.join(missing)}")
+    return [known[b] for b in [*COVER, bare[0]]]
+
+
+def band_sum(cells: DataFrame, aois: DataFrame, bands: list[str] | None = None) -> DataFrame:
+    """``(aoi, sum_mean, sum_min, sum_max, bands_used)``: the sum of the bands, by default of ``cover_bands``, by region;
+    a cell without any valid band has no sum. ``bands_used`` is an array of names."""
+    names = cover_bands(cells.columns) if bands is None else list(bands)
     total = sum((F.coalesce(F.col(b), F.lit(0.0)) for b in names), F.lit(0.0))
     v = F.when(F.coalesce(*names).isNotNull(), total)
     made = zonal(cells, aois, [rounded(F.avg(v)).alias("sum_mean"), rounded(F.min(v)).alias("sum_min"), rounded(F.max(v)).alias("sum_max")])
-    return made.withColumn("bands_used", F.array_join(F.array(*map(F.lit, names)), ","))
+    return made.withColumn("bands_used", F.array(*map(F.lit, names)))
 
 
 def resolve_bands(bands: DataFrame) -> DataFrame:
@@ -76,7 +88,7 @@ def finite_only(df: DataFrame, v: str) -> DataFrame:
 def describe(df: DataFrame, v: str) -> DataFrame:
     """count, mean, sample deviation, minimum, quartiles and maximum of the finite values: exact, and numbers."""
     c = F.col(v)
-    q = lambda p: rounded(F.percentile(c, F.lit(p)))
+    q = lambda p: rounded(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))[round(4 * p) - 1])
     return finite_only(df, v).agg(F.count(c).alias("count"), rounded(F.avg(c)).alias("mean"), rounded(F.stddev_samp(c)).alias("std"), F.min(c).alias("min"), q(0.25).alias("p25"), q(0.5).alias("p50"), q(0.75).alias("p75"), F.max(c).alias("max"))
 
 
@@ -84,3 +96,9 @@ def elevation(cloud: DataFrame) -> DataFrame:
     """Points, dimensions and elevation range of each file of a cloud."""
     n = len([c for c in cloud.columns if c != "file"])
     return cloud.groupBy("file").agg(F.count("*").alias("n_points"), F.min("z").alias("min_z"), F.max("z").alias("max_z")).withColumn("n_dimensions", F.lit(n))
+
+
+def dimensions(cloud: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:
+    """``(position, dimension)``: the names of a cloud's dimensions in order."""
+    names = [c for c in cloud.columns if c not in keys]
+    return cloud.limit(1).select(F.posexplode(F.array(*map(F.lit, names))).alias("position", "dimension"))

@@ -7,31 +7,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cellweave.functions.columns import finite, statistics, strata_of, unit_hash
-from cellweave.operators.grid import few_regions, zonal_join
+from cellweave.operators.grid import few_regions, sent_if_few, zonal_join
 
 
 def strata(cells: DataFrame, v: str, threshold: float = 5.0) -> DataFrame:
     return cells.withColumn("strata", strata_of(F.col(v), threshold))
 
 
-def stratified_sample(cells: DataFrame, v: str, aois: DataFrame, seed: int = 42, n: int = 500, by_class: dict[int, int] | None = None) -> DataFrame:
+def stratified_sample(cells: DataFrame, v: str, aois: DataFrame, seed: int = 42, n: int = 500, by_class: dict[int, int] | None = None, bins: int = 1 << 14) -> DataFrame:
     """``(aoi, strata, col, row, v)``: up to n cells of each class in each region, or as many as by_class says.
 
-    The rank is taken after a cheap cut: of a class of m cells only those whose hash is small enough to be
-    among the first by a wide margin are ordered; where that leaves too few, all are.
+    Cells are counted by bins of their hash first; of a class only the bins up to the one that fills its sample
+    are put in order, so no class is sorted whole.
     """
     held = zonal_join(strata(cells, v).where("strata is not null").select("col", "row", v, "strata"), aois)
     want = F.lit(n)
     if by_class:
         want = F.coalesce(F.create_map(*[F.lit(x) for pair in by_class.items() for x in pair])[F.col("strata")], want)
-    order = F.md5(F.concat_ws(":", F.lit(seed), "col", "row"))
-    keyed = held.select("aoi", "strata", "col", "row", v, order.alias("h"), want.alias("want")).withColumn("u", F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / 4294967296.0)
-    sizes = keyed.groupBy("aoi", "strata").agg(F.count("*").alias("m"), F.max("want").alias("w"))
-    bound = sizes.select("aoi", "strata", ((F.col("w") + 10 * F.sqrt(F.col("w")) + 50) / F.col("m")).alias("bound"))
-    near = keyed.join(F.broadcast(bound), ["aoi", "strata"]).where("u <= bound")
-    short = near.groupBy("aoi", "strata").agg(F.count("*").alias("k")).join(sizes, ["aoi", "strata"], "right").where("coalesce(k, 0) < least(w, m)").select("aoi", "strata")
-    rest = keyed.join(F.broadcast(short), ["aoi", "strata"]).join(F.broadcast(bound), ["aoi", "strata"]).where("u > bound")
-    some = near.unionByName(rest)
+    keyed = held.select("aoi", "strata", "col", "row", v, F.md5(F.concat_ws(":", F.lit(seed), "col", "row")).alias("h"), want.alias("want"))
+    keyed = keyed.withColumn("bin", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / 4294967296.0 * bins).cast("int"))
+    counts = keyed.groupBy("aoi", "strata", "want", "bin").agg(F.count("*").alias("m"))
+    below = F.sum("m").over(W.partitionBy("aoi", "strata").orderBy("bin")) - F.col("m")
+    last = counts.withColumn("below", below).where("below < want").groupBy("aoi", "strata").agg(F.max("bin").alias("last"))
+    some = keyed.join(sent_if_few(last, aois), ["aoi", "strata"]).where("bin <= last")
     return some.withColumn("k", F.row_number().over(W.partitionBy("aoi", "strata").orderBy("h", "col", "row"))).where("k <= want").select("aoi", "strata", "col", "row", v)
 
 
@@ -56,5 +54,3 @@ def sample_summary(samples: DataFrame, v: str, aois: DataFrame) -> DataFrame:
     """Statistics of the finite sampled values by region; regions without any have n = 0 and nulls."""
     made = samples.where(finite(F.col(v))).groupBy("aoi").agg(*statistics(F.col(v), ("count", "mean", "median", "p05", "p25", "p75", "p95", "min", "max", "pct_gt0")))
     return aois.select("aoi").join(made, "aoi", "left").withColumn("count", F.coalesce("count", F.lit(0)))
-
-

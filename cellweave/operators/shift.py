@@ -6,22 +6,20 @@ repeats. Pairs are those of regions in their declared order.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cellweave.functions.columns import finite, rounded
-from cellweave.operators.grid import few_regions
-
-
-def _sent(df: DataFrame, aois: DataFrame) -> DataFrame:
-    """To every executor if regions are few; else Spark decides by size."""
-    return F.broadcast(df) if few_regions(aois) else df
+from cellweave.operators import sampling, zonal
+from cellweave.operators.grid import sent_if_few
 
 
 def _pairs(aois: DataFrame) -> DataFrame:
     a, b = aois.select(F.col("aoi").alias("aoi_a"), F.col("pos").alias("pa")), aois.select(F.col("aoi").alias("aoi_b"), F.col("pos").alias("pb"))
-    return a.join(_sent(b, aois), F.col("pa") < F.col("pb")).select("aoi_a", "aoi_b")
+    return a.join(sent_if_few(b, aois), F.col("pa") < F.col("pb")).select("aoi_a", "aoi_b")
 
 
 def _sided(samples: DataFrame, v: str, aois: DataFrame) -> DataFrame:
@@ -29,7 +27,7 @@ def _sided(samples: DataFrame, v: str, aois: DataFrame) -> DataFrame:
     counts = samples.where(finite(F.col(v))).groupBy("aoi", F.col(v).alias("v")).agg(F.count("*").alias("k"))
     side = lambda c, is_a: F.struct(F.col(c).alias("aoi"), F.lit(is_a).alias("is_a"))
     sides = _pairs(aois).select("aoi_a", "aoi_b", F.explode(F.array(side("aoi_a", True), side("aoi_b", False))).alias("s")).select("aoi_a", "aoi_b", "s.aoi", "s.is_a")
-    held = counts.join(_sent(sides, aois), "aoi")
+    held = counts.join(sent_if_few(sides, aois), "aoi")
     n = lambda cond: F.sum(F.when(cond, F.col("k")).otherwise(0))
     return held.groupBy("aoi_a", "aoi_b", "v").agg(n(F.col("is_a")).alias("na"), n(~F.col("is_a")).alias("nb"))
 
@@ -56,7 +54,7 @@ def psi(samples: DataFrame, v: str, aois: DataFrame, bins: int = 20, eps: float
     edges = sided.groupBy("aoi_a", "aoi_b").agg(
         F.array_sort(F.array_distinct(F.transform(F.percentile("v", points, F.col("na") + F.col("nb")), lambda e: F.round(e, 9)))).alias("edges"),
         F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
-    laid = sided.join(_sent(edges.select("aoi_a", "aoi_b", "edges"), aois), ["aoi_a", "aoi_b"])
+    laid = sided.join(sent_if_few(edges.select("aoi_a", "aoi_b", "edges"), aois), ["aoi_a", "aoi_b"])
     bin_of = F.least(F.size(F.filter("edges", lambda e: e <= F.col("v"))), F.size("edges") - 1) - 1
     inside = (F.col("v") >= F.col("edges")[0]) & (F.col("v") <= F.element_at("edges", -1))
     counts = laid.where(inside).groupBy("aoi_a", "aoi_b", bin_of.alias("bin")).agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
@@ -72,3 +70,18 @@ def psi(samples: DataFrame, v: str, aois: DataFrame, bins: int = 20, eps: float
 
 def shift_table(samples: DataFrame, v: str, aois: DataFrame) -> DataFrame:
     return wasserstein(samples, v, aois).join(psi(samples, v, aois), ["aoi_a", "aoi_b"])
+
+
+class Comparison(NamedTuple):
+    summary: DataFrame
+    shift: DataFrame
+    histogram: DataFrame
+    samples: DataFrame
+
+
+def compare(cells: DataFrame, v: str, aois: DataFrame, n: int = 5000, seed: int = 42, psi_bins: int = 20, hist_bins: int = 50, hist_range: tuple[float, float] = (0.0, 100.0)) -> Comparison:
+    """One band's distribution across regions, from n random points in each: summary, shift table, histogram and the samples."""
+    samples = sampling.at_points(sampling.random_points(aois, n, seed), cells, [v]).where(finite(F.col(v)))
+    return Comparison(
+        sampling.sample_summary(samples, v, aois), wasserstein(samples, v, aois).join(psi(samples, v, aois, psi_bins), ["aoi_a", "aoi_b"]),
+        zonal.histogram(samples, v, *hist_range, hist_bins, closed=True, keys=("aoi",)), samples)

@@ -7,29 +7,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cellweave.functions.columns import rounded
-from cellweave.operators.grid import best_tile
+from cellweave.operators.grid import best_tile, sent_if_few
 
-#: which observation of a cell and year lies on top, the last one first
-TOP = ["tile_id", "l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate"]
+#: which observation of a cell and year lies on top: the one of the greatest tile number
+ORDER = "tile_id"
 CELL = ["col", "row"]
 
 
-def mosaic(pixels: DataFrame, bands: list[str], order: list[str] = TOP) -> DataFrame:
+def _on_top(bands: list[str], order: str | Column | list[str]) -> list[Column]:
+    """Of each band the valid value that comes last in the order.
+
+    One column (a number, also a packed one) is a key that a hash aggregate can hold; a list of columns makes
+    a struct, which Spark aggregates by sorting.
+    """
+    key = F.struct(*order) if isinstance(order, (list, tuple)) else F.col(order) if isinstance(order, str) else order
+    return [F.max_by(F.col(b), F.when(F.col(b).isNotNull(), key)).alias(b) for b in bands]
+
+
+def mosaic(pixels: DataFrame, bands: list[str], order: str | Column | list[str] = ORDER) -> DataFrame:
     """One row for each (year, col, row): of every band the valid value that lies on top, else null.
 
     One aggregation with map-side combining; each band keeps a mask of its own.
     """
-    key = F.struct(*order)
-    on_top = [F.max_by(F.col(b), F.when(F.col(b).isNotNull(), key)).alias(b) for b in bands]
-    return pixels.groupBy("year", *CELL).agg(*on_top)
+    return pixels.groupBy("year", *CELL).agg(*_on_top(bands, order))
 
 
-def from_best_tile(pixels: DataFrame, tiles: DataFrame, aois: DataFrame, bands: list[str]) -> DataFrame:
-    """The same from each region's best tile of every year only; (aoi, year, col, row)."""
-    best = best_tile(tiles, aois, by_year=True).select("aoi", "year", "tile_id")
-    held = pixels.join(F.broadcast(best), ["year", "tile_id"])
-    key = F.struct(*TOP)
-    return held.groupBy("aoi", "year", *CELL).agg(*[F.max_by(F.col(b), F.when(F.col(b).isNotNull(), key)).alias(b) for b in bands])
+def from_best_tile(pixels: DataFrame, best: DataFrame, aois: DataFrame, bands: list[str], order: str | Column | list[str] = ORDER) -> DataFrame:
+    """The same from each region's best tile of every year only, ``best(aoi, year, tile_id)``; (aoi, year, col, row)."""
+    held = pixels.join(sent_if_few(best.select("aoi", "year", "tile_id"), aois), ["year", "tile_id"])
+    return held.groupBy("aoi", "year", *CELL).agg(*_on_top(bands, order))
 
 
 def mean_std(v: Column) -> list[Column]:
@@ -62,6 +68,18 @@ def change_cube(years: DataFrame, v: str, first: int, last: int, levels: tuple[f
     return held.groupBy(*keys).agg(*mean_std(c), change(c, first, last), trend(c), *[(at(c, last) >= t).cast("int").alias(f"ge{int(t)}") for t in levels])
 
 
+def feature_cube(pixels: DataFrame, v: str, first: int, last: int, source: str = "mosaic", tiles: DataFrame | None = None, aois: DataFrame | None = None, best: DataFrame | None = None, order: str | Column | list[str] = ORDER) -> DataFrame:
+    """The change cube of a band: of all tiles together (``mosaic``), or of each region from its best tile of each
+    year alone (``best_tile``), which ``tiles`` and ``aois`` give unless ``best(aoi, year, tile_id)`` does."""
+    held = pixels.where(F.col("year").between(first, last))
+    if source == "mosaic":
+        return change_cube(mosaic(held, [v], order), v, first, last)
+    if source != "best_tile":
+        raise ValueError(f"source is mosaic or best_tile, not {source}")
+    best = best_tile(tiles, aois, by_year=True) if best is None else best
+    return change_cube(from_best_tile(held, best, aois, [v], order), v, first, last, keys=["aoi", *CELL])
+
+
 def prior_cube(years: DataFrame, v: str, first: int, last: int, levels: tuple[float, ...] = (5, 10), radius: int = 255, metres: float = 10.0) -> DataFrame:
     """Cover of the last year, mean, deviation, trend, threshold masks and distances to the nearest cell from each threshold on."""
     c = F.col(v)
@@ -75,27 +93,37 @@ def prior_cube(years: DataFrame, v: str, first: int, last: int, levels: tuple[fl
 
 
 def dense(cells: DataFrame) -> DataFrame:
-    """All cells of the bounding lattice, with the columns of those that exist."""
+    """All cells of the bounding lattice, with the columns of those that exist.
+
+    One task makes the lattice's columns, and as many as shuffles have partitions make their cells.
+    """
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     box = cells.agg(F.min("col").alias("c0"), F.max("col").alias("c1"), F.min("row").alias("r0"), F.max("row").alias("r1")).where("c0 is not null")
-    lattice = box.select(F.explode(F.sequence("c0", "c1")).alias("col"), "r0", "r1").select("col", F.explode(F.sequence("r0", "r1")).alias("row"))
-    return lattice.join(cells, CELL, "left")
+    columns = box.select(F.explode(F.sequence("c0", "c1")).alias("col"), "r0", "r1").repartition(parts, "col")
+    return columns.select("col", F.explode(F.sequence("r0", "r1")).alias("row")).join(cells, CELL, "left")
 
 
 def distance(grid: DataFrame, hit: Column, radius: int = 255, metres: float = 10.0, name: str = "distance") -> DataFrame:
     """``(col, row, name)``: metres to the nearest hit within so many cells, null beyond. ``grid`` has to be dense.
 
-    Exact and separable: first the gap to the nearest hit of the own column, by windows; then the least
-    distance over the columns within the radius, by an equi-join on the row. Only columns with a hit in
-    reach are spread, each to the cells that it can reach.
+    Exact and separable: first the gap g to the nearest hit of the own column, by windows over columns; then the
+    least distance over the columns of a row. A column c is nearest only where it beats the columns with a hit
+    in reach before and after it, as parabolas (x - c)^2 + g^2 cross once; so each is spread over that stretch
+    of the row alone, which in a row full of hits is its own cell, and at most over the radius.
     """
-    up = W.partitionBy("col").orderBy("row")
+    up, along = W.partitionBy("col").orderBy("row"), W.partitionBy("row").orderBy("col")
     marked = grid.select(*CELL, F.when(hit, F.col("row")).alias("h"))
     gap = F.least(F.col("row") - F.last("h", ignorenulls=True).over(up), F.first("h", ignorenulls=True).over(up.rowsBetween(0, W.unboundedFollowing)) - F.col("row"))
-    columns = marked.withColumn("g", gap).where(F.col("g") <= radius).select("col", "row", "g")
-    reach = F.floor(F.sqrt(F.lit(float(radius * radius)) - F.col("g") * F.col("g"))).cast("int")
-    box = grid.agg(F.min("col").alias("c0"), F.max("col").alias("c1"))
-    spread = columns.withColumn("reach", reach).crossJoin(F.broadcast(box)).select(
-        F.explode(F.sequence(F.greatest(F.col("col") - F.col("reach"), "c0"), F.least(F.col("col") + F.col("reach"), "c1"))).alias("to"), "row", F.col("col").alias("c"), "g")
-    squared = (F.col("to") - F.col("c")) * (F.col("to") - F.col("c")) + F.col("g") * F.col("g")
-    near = spread.groupBy(F.col("to").alias("col"), "row").agg(rounded(F.sqrt(F.min(squared).cast("double")) * metres).alias(name))
+    held = marked.withColumn("g", gap.cast("long")).where(F.col("g") <= radius).select(F.col("col").cast("long").alias("c"), "row", "g")
+    along = W.partitionBy("row").orderBy("c")
+    held = held.withColumns({k: f(n).over(along) for k, f, n in (("c0", F.lag, "c"), ("g0", F.lag, "g"), ("c1", F.lead, "c"), ("g1", F.lead, "g"))})
+    reach = F.floor(F.sqrt((radius * radius - F.col("g") * F.col("g")).cast("double")))
+    crossing = lambda c, g: (F.col("c") * F.col("c") + F.col("g") * F.col("g") - F.col(c) * F.col(c) - F.col(g) * F.col(g)) / (2 * (F.col("c") - F.col(c)))
+    box = grid.agg(F.min("col").alias("left"), F.max("col").alias("right"))
+    # greatest and least leave nulls out: no column before, or none after
+    spread = held.crossJoin(F.broadcast(box)).withColumns({
+        "from": F.greatest(F.col("c") - reach, F.col("left").cast("long"), F.ceil(crossing("c0", "g0"))), "to": F.least(F.col("c") + reach, F.col("right").cast("long"), F.floor(crossing("c1", "g1")))})
+    cells = spread.where("from <= to").select(F.explode(F.sequence("from", "to")).alias("col"), "row", "c", "g").withColumn("col", F.col("col").cast("int"))
+    squared = (F.col("col") - F.col("c")) * (F.col("col") - F.col("c")) + F.col("g") * F.col("g")
+    near = cells.groupBy("col", "row").agg(rounded(F.sqrt(F.min(squared).cast("double")) * metres).alias(name))
     return grid.select(*CELL).join(near, CELL, "left")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions.columns import rounded, share, statistics
-from cellweave.operators.grid import zonal_join
+from cellweave.operators.grid import sent_if_few, zonal_join, zonal_overlap
 
 ALL = ("count", "mean", "median", "min", "max", "std", "p05", "p25", "p75", "p95")
 
@@ -17,8 +17,16 @@ def zonal(cells: DataFrame, aois: DataFrame, aggregates: list, keys: tuple[str,
     return aois.select(*keys).join(found, list(keys), "left")
 
 
-def zonal_stats(cells: DataFrame, band: str, aois: DataFrame) -> DataFrame:
-    return zonal(cells, aois, statistics(F.col(band), ALL)).withColumn("count", F.coalesce("count", F.lit(0)))
+def zonal_stats(cells: DataFrame, band: str, aois: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """Statistics by region; with an ``accuracy``, quantiles come from sketches of bounded size."""
+    return zonal(cells, aois, statistics(F.col(band), ALL, accuracy=accuracy)).withColumn("count", F.coalesce("count", F.lit(0)))
+
+
+def weighted_mean(cells: DataFrame, band: str, aois: DataFrame, scale: float = 1.0) -> DataFrame:
+    """``(aoi, mean, weight)``: the mean of valid cells by the share of each that lies in the region, and the summed shares."""
+    held = zonal_overlap(cells.where(F.col(band).isNotNull()), aois, scale)
+    made = held.groupBy("aoi").agg(rounded(F.sum(F.col("weight") * F.col(band)) / F.sum("weight")).alias("mean"), rounded(F.sum("weight")).alias("weight"))
+    return aois.select("aoi").join(made, "aoi", "left")
 
 
 def shares(cells: DataFrame, band: str, aois: DataFrame) -> DataFrame:
@@ -32,12 +40,12 @@ def nonzero(cells: DataFrame, band: str, aois: DataFrame) -> DataFrame:
     return zonal(cells, aois, [rounded(F.avg(v)).alias("mean_nonzero"), F.count(v).alias("count_nonzero")]).withColumn("count_nonzero", F.coalesce("count_nonzero", F.lit(0)))
 
 
-def region_report(cells: DataFrame, band: str, aois: DataFrame, best: DataFrame) -> DataFrame:
+def region_report(cells: DataFrame, band: str, aois: DataFrame, best: DataFrame, accuracy: int | None = None) -> DataFrame:
     """All of the above and the region's best tile, from one scan."""
     v = F.col(band)
     some = F.when(v > 0, v)
-    made = zonal(cells, aois, [*statistics(v, ALL), rounded(share(v > 0)).alias("pct_gt0"), rounded(share(v >= 5)).alias("pct_ge5"), rounded(F.avg(some)).alias("mean_nonzero"), F.count(some).alias("count_nonzero")])
-    return made.join(F.broadcast(best.select("aoi", "tile_id")), "aoi", "left")
+    made = zonal(cells, aois, [*statistics(v, ALL, accuracy=accuracy), rounded(share(v > 0)).alias("pct_gt0"), rounded(share(v >= 5)).alias("pct_ge5"), rounded(F.avg(some)).alias("mean_nonzero"), F.count(some).alias("count_nonzero")])
+    return made.join(sent_if_few(best.select("aoi", "tile_id"), aois), "aoi", "left")
 
 
 def long(wide: DataFrame, key: str = "aoi") -> DataFrame:
@@ -47,9 +55,9 @@ def long(wide: DataFrame, key: str = "aoi") -> DataFrame:
     return held.unpivot(key, names, "metric", "value").orderBy(key, "metric")
 
 
-def cube_summary(cube: DataFrame, bands: list[str], aois: DataFrame) -> DataFrame:
+def cube_summary(cube: DataFrame, bands: list[str], aois: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Mean, median, min, max and count of each band in each region, as band_stat columns."""
-    return zonal(cube, aois, [c for b in bands for c in statistics(F.col(b), ("mean", "median", "min", "max", "count"), f"{b}_")])
+    return zonal(cube, aois, [c for b in bands for c in statistics(F.col(b), ("mean", "median", "min", "max", "count"), f"{b}_", accuracy)])
 
 
 def histogram(values: DataFrame, v: str, lo: float, hi: float, n: int, closed: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.functions.columns import finite, rounded
@@ -17,6 +16,12 @@ from cellweave.sources.tables import VIEWS, table, view
 YEAR, FIRST, LAST = 2001, 1995, 2001
 BANDS = ["afg", "pfg", "shr", "tre", "ltr", "bgr"]
 
+def top() -> Column:
+    """The views' order of observations, the last one on top, packed into one number that a hash aggregate can hold."""
+    return F.expr("""((((cast(tile_id as decimal(38, 0)) * 10000000 + l_suppkey) * 100000000000 + l_orderkey) * 10 + l_linenumber) * 1000000000
++ cast(round(l_extendedprice * 100) as bigint)) * 100000 + datediff(l_shipdate, date'1970-01-01')""")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -58,7 +63,7 @@ def aois(spark: SparkSession, d: str) -> DataFrame:
 
 def cells(spark: SparkSession, d: str, year: int = YEAR, bands: list[str] = BANDS) -> DataFrame:
     """The mosaic of one year; the filter reaches the scan before tiles are merged."""
-    return temporal.mosaic(view(spark, d, "pix").where(F.col("year") == year), bands)
+    return temporal.mosaic(tables.pix_of(spark, d, year, year), bands, top())
 
 
 def samples(spark: SparkSession, d: str) -> DataFrame:
@@ -68,9 +73,17 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
 # scans and metadata
 
 
-@query(f"select tile_id, year, col, row, shr as shrub_cover from pix where year = {YEAR}")
+@query(f"select tile_id, year, col, row, shr as cover from pix where year = {YEAR}")
 def scan_pixels(spark, d):
-    return view(spark, d, "pix").where(F.col("year") == YEAR).select("tile_id", "year", "col", "row", F.col("shr").alias("shrub_cover"))
+    return tables.pix_of(spark, d, YEAR, YEAR).select("tile_id", "year", "col", "row", F.col("shr").alias("cover"))
+
+
+@query(f"select tile_id, year, col, row, shr as cover from pix where year = {YEAR}")
+def scan_partitioned(spark, d):
+    """The same from a collection with a folder for each year, of which one is read."""
+    path = f"{tables.shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+    tables.write_cells(view(spark, d, "pix").select("tile_id", "year", "col", "row", "shr"), path)
+    return tables.read_cells(spark, path, YEAR).select("tile_id", "year", "col", "row", F.col("shr").alias("cover"))
 
 
 @query("select file, col, row, v from raster_cells where band = 1")
@@ -83,11 +96,13 @@ def file_inventory(spark, d):
     return tables.inventory(view(spark, d, "raster_cells"))
 
 
-@query()
+_RING = "'[[[' || minx || ',' || miny || '],[' || maxx || ',' || miny || '],[' || maxx || ',' || maxy || '],[' || minx || ',' || maxy || '],[' || minx || ',' || miny || ']]]'"
+
+
+@query(f"select 'EPSG:4326' as crs, 'Polygon' as geometry_type, {_RING} as coordinates, aoi as name from aois")
 def geojson_scan(spark, d):
     """The regions written as a GeoJSON layer to the shared folder, and read as one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    path = f"{base.rstrip('/')}/geojson-{uuid.uuid4().hex}"
+    path = f"{tables.shared_folder(spark)}/geojson-{uuid.uuid4().hex}"
     ring = F.format_string("[[[%s,%s],[%s,%s],[%s,%s],[%s,%s],[%s,%s]]]", *[F.col(c).cast("string") for c in ("minx", "miny", "maxx", "miny", "maxx", "maxy", "minx", "maxy", "minx", "miny")])
     one = F.format_string('{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"name":"%s"},"geometry":{"type":"Polygon","coordinates":%s}}]}', "aoi", ring)
     aois(spark, d).select(one.alias("value")).repartition("value").write.option("maxRecordsPerFile", 1).text(path)
@@ -104,6 +119,21 @@ def table_shape_preview(spark, d):
     return tables.preview(table(spark, d, "supplier"), ["s_suppkey"])
 
 
+@query("unpivot (select cast(n_nationkey as varchar) as n_nationkey, n_name, cast(n_regionkey as varchar) as n_regionkey from nation order by nation.n_nationkey limit 1) on columns(*) into name field value value")
+def first_row_fields(spark, d):
+    return tables.first_row(table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), ["n_nationkey"])
+
+
+@query("select cast(row_number() over () - 1 as int) as position, dimension from (unpivot (select cast(x as varchar) as x, cast(y as varchar) as y, cast(z as varchar) as z, cast(classification as varchar) as classification from cloud limit 1) on columns(*) into name dimension value v)")
+def pointcloud_dimensions(spark, d):
+    return qc.dimensions(view(spark, d, "cloud"))
+
+
+@query("select distinct file, band from raster_cells")
+def raster_bands(spark, d):
+    return grid.band_names(view(spark, d, "raster_cells"), ["file"], "band")
+
+
 @query("select file, count(*) as n_points, min(z) as min_z, max(z) as max_z, cast(4 as int) as n_dimensions from cloud group by file")
 def pointcloud_elevation(spark, d):
     return qc.elevation(view(spark, d, "cloud"))
@@ -139,7 +169,7 @@ def best_tile_per_year(spark, d):
 
 @query("select * from mos")
 def mosaic(spark, d):
-    return temporal.mosaic(view(spark, d, "pix"), BANDS)
+    return temporal.mosaic(view(spark, d, "pix"), BANDS, top())
 
 
 # regions
@@ -155,6 +185,15 @@ def share_over_threshold(spark, d):
     return zonal.shares(cells(spark, d), "shr", aois(spark, d))
 
 
+@query("""select a.aoi, round(sum(w * shr) / sum(w), 6) as mean, round(sum(w), 6) as weight from aois a left join
+(select a.aoi, c.shr, greatest(least(c.col + 1.0, a.maxx) - greatest(c.col, a.minx), 0) * greatest(least(c.row + 1.0, a.maxy) - greatest(c.row, a.miny), 0) as w from cells c join (select aoi, minx + 0.25 as minx, maxx - 0.5 as maxx, miny + 0.5 as miny, maxy from aois) a
+ on c.col < a.maxx and c.col + 1 > a.minx and c.row < a.maxy and c.row + 1 > a.miny where c.shr is not null) z on z.aoi = a.aoi and z.w > 0 group by a.aoi""")
+def weighted_mean(spark, d):
+    """Regions moved off the lattice, so that their edges cut cells."""
+    moved = aois(spark, d).withColumns({"minx": F.col("minx") + 0.25, "maxx": F.col("maxx") - 0.5, "miny": F.col("miny") + 0.5})
+    return zonal.weighted_mean(cells(spark, d, bands=["shr"]), "shr", moved)
+
+
 @query("select a.aoi, round(avg(case when shr > 0 then shr end), 6) as mean_nonzero, count(case when shr > 0 then shr end) as count_nonzero from aois a left join zone z on z.aoi = a.aoi group by a.aoi")
 def nonzero_stats(spark, d):
     return zonal.nonzero(cells(spark, d), "shr", aois(spark, d))
@@ -206,17 +245,17 @@ def hist_auto_range(spark, d):
 
 @query("select col, row, round(avg(shr), 6) as mean, round(stddev_pop(shr), 6) as std from mos where year between 1995 and 2001 group by col, row")
 def cell_stack_mean_std(spark, d):
-    return temporal.mosaic(view(spark, d, "pix").where(F.col("year").between(FIRST, LAST)), ["shr"]).groupBy("col", "row").agg(*temporal.mean_std(F.col("shr")))
+    return temporal.mosaic(tables.pix_of(spark, d, FIRST, LAST), ["shr"], top()).groupBy("col", "row").agg(*temporal.mean_std(F.col("shr")))
 
 
 @query("select col, row, trend from feat")
 def cell_trend(spark, d):
-    return temporal.mosaic(view(spark, d, "pix"), ["shr"]).groupBy("col", "row").agg(temporal.trend(F.col("shr")))
+    return temporal.mosaic(view(spark, d, "pix"), ["shr"], top()).groupBy("col", "row").agg(temporal.trend(F.col("shr")))
 
 
 @query("select col, row, change from feat")
 def cell_change(spark, d):
-    return temporal.mosaic(view(spark, d, "pix"), ["shr"]).groupBy("col", "row").agg(temporal.change(F.col("shr"), FIRST, LAST))
+    return temporal.mosaic(view(spark, d, "pix"), ["shr"], top()).groupBy("col", "row").agg(temporal.change(F.col("shr"), FIRST, LAST))
 
 
 @query("select col, row, shr, shr >= 5 as ge5, shr >= 10 as ge10, not shr >= 5 as lt5, not shr >= 10 as lt10 from cells")
@@ -226,7 +265,7 @@ def threshold_masks(spark, d):
 
 @query("select * from feat")
 def feature_cube(spark, d):
-    return temporal.change_cube(temporal.mosaic(view(spark, d, "pix"), ["shr"]), "shr", FIRST, LAST)
+    return temporal.feature_cube(view(spark, d, "pix"), "shr", FIRST, LAST, order=top())
 
 
 @query("""select col, row, aoi, round(avg(shr), 6) as mean, round(stddev_pop(shr), 6) as std, round(max(shr) filter (where year = 2001) - max(shr) filter (where year = 1995), 6) as change,
@@ -237,9 +276,7 @@ def feature_cube_best_tile(spark, d):
     """The cube of each region from its best tile of each year alone (tile numbers folded to those that cells have)."""
     tiles = view(spark, d, "tiles")
     best = grid.best_tile(tiles, aois(spark, d), by_year=True).select("aoi", "year", (F.col("tile_id") % 4).alias("tile_id"))
-    held = view(spark, d, "pix").join(F.broadcast(best), ["year", "tile_id"])
-    years = held.groupBy("aoi", "year", "col", "row").agg(F.max_by("shr", F.when(F.col("shr").isNotNull(), F.struct(*temporal.TOP))).alias("shr"))
-    return temporal.change_cube(years, "shr", FIRST, LAST, keys=["aoi", "col", "row"])
+    return temporal.feature_cube(view(spark, d, "pix"), "shr", FIRST, LAST, "best_tile", aois=aois(spark, d), best=best, order=top())
 
 
 _BOX = "(select min(col) c0, max(col) c1, min(row) r0, max(row) r1 from {t})"
@@ -251,16 +288,16 @@ from (select cast(i as int) as col, cast(j as int) as row from {_BOX.format(t=so
 left join (select col, row from {source} where {mask}) h on (g.col - h.col) * (g.col - h.col) + (g.row - h.row) * (g.row - h.row) <= {{r}} * {{r}} group by g.col, g.row"""
 
 
-@query(_far("shr >= 95", "cells", "distance").format(r=12))
+@query(_far("shr >= 95", "cells", "distance").format(r=255))
 def distance_to_mask(spark, d):
-    return temporal.distance(temporal.dense(cells(spark, d, bands=["shr"])), F.col("shr") >= 95, radius=12)
+    return temporal.distance(temporal.dense(cells(spark, d, bands=["shr"])), F.col("shr") >= 95)
 
 
 @query(f"""select f.col, f.row, round(c.shr, 6) as cover, f.mean, f.std, f.trend, f.ge5, f.ge10, d5.dist_ge5, d10.dist_ge10
 from feat f left join cells c on c.col = f.col and c.row = f.row left join ({_far("ge5 = 1", "feat", "dist_ge5").format(r=255)}) d5 on d5.col = f.col and d5.row = f.row
 left join ({_far("ge10 = 1", "feat", "dist_ge10").format(r=255)}) d10 on d10.col = f.col and d10.row = f.row""")
 def prior_cube(spark, d):
-    return temporal.prior_cube(temporal.mosaic(view(spark, d, "pix"), ["shr"]), "shr", FIRST, LAST)
+    return temporal.prior_cube(temporal.mosaic(view(spark, d, "pix"), ["shr"], top()), "shr", FIRST, LAST)
 
 
 _CUBE = ["mean", "std", "change", "trend"]
@@ -300,13 +337,16 @@ _SUM = " + ".join(f"coalesce({b}, 0)" for b in BANDS)
 
 @query(f"select a.aoi, round(avg(s), 6) as sum_mean, round(min(s), 6) as sum_min, round(max(s), 6) as sum_max, '{','.join(BANDS)}' as bands_used from aois a left join (select aoi, case when coalesce({', '.join(BANDS)}) is not null then {_SUM} end as s from zone) z on z.aoi = a.aoi group by a.aoi")
 def band_sum_check(spark, d):
-    return qc.band_sum(cells(spark, d), BANDS, aois(spark, d))
+    return qc.band_sum(cells(spark, d), aois(spark, d)).withColumn("bands_used", F.array_join("bands_used", ","))
 
 
-_NAMED = [("Annual_Forb", "afg"), ("PFG", "pfg"), ("Shrub", "shr"), ("TRE", "tre"), ("Litter", "ltr"), ("BareGround", "bgr")]
+_NAMED = [("Annual_Forb", "afg"), ("PFG", "pfg"), ("SHR_cover", "shr"), ("TRE", "tre"), ("Litter", "ltr"), ("BareGround", "bgr")]
+_PATTERNS = ", ".join(f"('{k}', '{p}')" for k, ps in qc.PATTERNS for p in ps)
 
 
-@query("select * from (values ('AFG', 'Annual_Forb'), ('PFG', 'PFG'), ('SHR', 'Shrub'), ('TRE', 'TRE'), ('LTR', 'Litter'), ('BG', 'BareGround')) t(canonical, band)")
+@query(f"""select canonical, first(band order by pos) as band from (unpivot (select {', '.join(f'count({c}) as {n}' for n, c in _NAMED)} from pix) on columns(*) into name band value n) b
+join (values {', '.join(f"('{n}', {k})" for k, (n, _) in enumerate(_NAMED))}) o(name, pos) on o.name = b.band join (values {_PATTERNS}) p(canonical, pattern) on contains(lower(band), pattern)
+where n > 0 group by canonical qualify count(*) over () = {len(qc.PATTERNS)}""")
 def resolve_bands(spark, d):
     """Bands under longer names, as the cells hold them: a band without any valid cell is none."""
     counts = view(spark, d, "pix").agg(*[F.count(c).alias(n) for n, c in _NAMED])
@@ -352,12 +392,12 @@ def strata(spark, d):
 
 
 _SAMPLE = f"""select aoi, strata, col, row, shr from (select aoi, col, row, shr, {_STRATA} as strata from zone where shr is not null)
-qualify row_number() over (partition by aoi, strata order by md5(concat_ws(':', 42, col, row)), col, row) <= case strata when 0 then 20 when 2 then 40 else 30 end"""
+qualify row_number() over (partition by aoi, strata order by md5(concat_ws(':', 42, col, row)), col, row) <= 500"""
 
 
 @query(_SAMPLE)
 def stratified_sample(spark, d):
-    return sampling.stratified_sample(cells(spark, d, bands=["shr"]), "shr", aois(spark, d), n=30, by_class={0: 20, 2: 40})
+    return sampling.stratified_sample(cells(spark, d, bands=["shr"]), "shr", aois(spark, d))
 
 
 @query(f"select s.*, f.mean, f.std, f.change, f.trend, f.ge5, f.ge10 from ({_SAMPLE}) s join feat f on f.col = s.col and f.row = s.row where f.mean is not null and f.std is not null and f.change is not null and f.trend is not null and f.ge5 is not null and f.ge10 is not null")
@@ -416,6 +456,11 @@ def shift_table(spark, d):
     return shift.shift_table(samples(spark, d), "shr", aois(spark, d))
 
 
+@query(_hist("samp", "0.0::double", "100.0::double", 50, True, "aoi"))
+def comparison_histogram(spark, d):
+    return shift.compare(cells(spark, d, bands=["shr"]), "shr", aois(spark, d)).histogram
+
+
 # grids
 
 
@@ -461,9 +506,9 @@ def bbox_shift(spark, d):
     return grid.bbox_shift(view(spark, d, "tiles"))
 
 
-_Y = "round(ln(tan(pi() / 4 + radians({y}) / 2)) * 6378137.0::double, 6)"
+_Y = "case when abs({y}) <= 85.06 then round(ln(tan(pi() / 4 + radians({y}) / 2)) * 6378137.0::double, 6) end"
 
 
-@query(f"select tile_id, year, round(radians(minx) * 6378137.0::double, 6) as minx, {_Y.format(y='miny')} as miny, round(radians(maxx) * 6378137.0::double, 6) as maxx, {_Y.format(y='maxy')} as maxy from tiles where maxy < 85")
+@query(f"select tile_id, year, round(radians(minx) * 6378137.0::double, 6) as minx, {_Y.format(y='miny')} as miny, round(radians(maxx) * 6378137.0::double, 6) as maxx, {_Y.format(y='maxy')} as maxy from tiles")
 def to_web_mercator(spark, d):
-    return grid.to_web_mercator(view(spark, d, "tiles").where("maxy < 85"))
+    return grid.to_web_mercator(view(spark, d, "tiles"))

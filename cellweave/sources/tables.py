@@ -1,7 +1,9 @@
-"""Sources: Parquet tables, cell views over the driver's tables, and GeoJSON layers."""
+"""Sources: Parquet tables, partitioned cell collections, cell views over the driver's tables, GeoJSON layers and folders of files."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +56,42 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(VIEWS[name].replace(f"from {_OVER[name]}", "from {src}"), src=table(spark, sf_dir, _OVER[name]))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; without one a local session gets a temporary folder, a cluster an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
+def write_cells(cells: DataFrame, path: str, block: int = 256) -> None:
+    """A collection of yearly cells as Parquet: a folder for each year, in it cells in the order of their blocks, so that
+    readers prune years by folder and regions by the row groups' ranges of col and row."""
+    laid = cells.withColumns({"bx": F.expr(f"col div {block}"), "by": F.expr(f"row div {block}")})
+    laid.repartitionByRange("year", "bx", "by").sortWithinPartitions("year", "bx", "by").drop("bx", "by").write.mode("overwrite").partitionBy("year").parquet(path)
+
+
+def read_cells(spark: SparkSession, path: str, year: int | None = None) -> DataFrame:
+    """A collection, or one year of it: only that year's folder is listed and read."""
+    cells = spark.read.parquet(path)
+    return cells if year is None else cells.where(F.col("year") == year)
+
+
+def pix_of(spark: SparkSession, sf_dir: str, first: int, last: int) -> DataFrame:
+    """The cells of some years; the range of dates reaches the Parquet scan."""
+    dated = F.col("l_shipdate").between(F.lit(f"{first}-01-01").cast("timestamp"), F.lit(f"{last}-12-31 23:59:59.999999").cast("timestamp"))
+    return view(spark, sf_dir, "pix").where(dated & F.col("year").between(first, last))
+
+
+def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """``(file, bytes, modified)``: a folder's files as a work list; their content isn't read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+
+
 def geojson(spark: SparkSession, path: str) -> DataFrame:
     """``(crs, geometry_type, coordinates, properties)``: a row for each feature.
 
@@ -65,9 +103,15 @@ def geojson(spark: SparkSession, path: str) -> DataFrame:
         "crs", F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("coordinates"), F.col("f.properties").alias("properties"))
 
 
-def inventory(cells: DataFrame) -> DataFrame:
-    """``(file, n_cells)`` of the files that cells came from."""
-    return cells.groupBy("file").agg(F.count("*").alias("n_cells"))
+def inventory(cells: DataFrame, file: str | None = "file") -> DataFrame:
+    """``(file, n_cells)`` of the files that cells came from: those that a column names, or with None those that Spark read."""
+    name = F.col(file) if file else F.col("_metadata.file_name")
+    return cells.groupBy(name.alias("file")).agg(F.count("*").alias("n_cells"))
+
+
+def first_row(df: DataFrame, key: list[str]) -> DataFrame:
+    """``(field, value)``: the fields of the table's first row by key, as text."""
+    return df.orderBy(*key).limit(1).select(*[F.col(c).cast("string").alias(c) for c in df.columns]).unpivot([], df.columns, "field", "value")
 
 
 def preview(df: DataFrame, key: list[str], n: int = 5) -> DataFrame:

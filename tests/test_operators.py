@@ -1,12 +1,15 @@
 """Hand-computed small frames and invariants."""
 
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cellweave.functions.columns import finite, strata_of
 from cellweave.operators import grid, qc, sampling, shift, temporal, zonal
+from cellweave.sources import tables
 
 BOX = "aoi string, pos int, minx double, miny double, maxx double, maxy double"
 
@@ -76,6 +79,76 @@ def test_distance_matches_brute_force(spark):
             assert r.distance == (pytest.approx(best, abs=1e-6) if best <= radius else None)
 
 
+def test_distance_on_a_large_sparse_grid(spark):
+    r = random.Random(3)
+    hits = [(r.randrange(900), r.randrange(700)) for _ in range(25)]
+    df = spark.createDataFrame([(0, 0, 0), (899, 699, 0), *((c, w, 1) for c, w in hits)], "col int, row int, m int").groupBy("col", "row").agg(F.max("m").alias("m"))
+    grid = temporal.dense(df)
+    assert sum(n > 0 for n in grid.rdd.glom().map(len).collect()) > 1
+    got = temporal.distance(grid, F.col("m") == 1, 255, 1.0).toPandas()
+    assert len(got) == 900 * 700
+    best = np.min([np.hypot(got.col - c, got.row - w) for c, w in hits], axis=0)
+    assert np.allclose(got.distance.to_numpy(float), np.where(best <= 255, best, np.nan), atol=1e-6, equal_nan=True)
+
+
+def test_mosaic_is_a_hash_aggregate(spark):
+    df = spark.createDataFrame([(0, 0, 0, 1, 4.0)], "tile_id int, col int, row int, year int, v double")
+    plan = temporal.mosaic(df, ["v"])._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    assert temporal.mosaic(df, ["v"], ["tile_id", "col"]).first().v == 4.0
+
+
+def test_cube_sources(spark):
+    pixels = spark.createDataFrame([(t, y, 0, 0, float(10 * t + y - 2000)) for t in (1, 2) for y in (2001, 2002)], "tile_id int, year int, col int, row int, v double")
+    tiles = spark.createDataFrame([(1, y, 0.0, 0.0, 4.0, 4.0) for y in (2001, 2002)] + [(2, y, 0.0, 0.0, 1.0, 1.0) for y in (2001, 2002)], "tile_id int, year int, minx double, miny double, maxx double, maxy double")
+    aois = spark.createDataFrame([("a", 0, 0.0, 0.0, 3.0, 3.0)], BOX)
+    assert rows(temporal.feature_cube(pixels, "v", 2001, 2002), "mean", "change") == [(21.5, 1.0)]
+    assert rows(temporal.feature_cube(pixels, "v", 2001, 2002, "best_tile", tiles, aois), "aoi", "mean", "change") == [("a", 11.5, 1.0)]
+    with pytest.raises(ValueError):
+        temporal.feature_cube(pixels, "v", 2001, 2002, "both")
+
+
+def test_sketched_quantiles(spark):
+    cells = spark.range(2000).select((F.col("id") % 50).cast("int").alias("col"), F.floor(F.col("id") / 50).cast("int").alias("row"), F.col("id").cast("double").alias("v"))
+    aois = spark.createDataFrame([("a", 0, 0.0, 0.0, 50.0, 40.0)], BOX)
+    exact, near = zonal.zonal_stats(cells, "v", aois).first(), zonal.zonal_stats(cells, "v", aois, accuracy=1000).first()
+    assert exact.median == 999.5 and all(abs(exact[c] - near[c]) <= 4 for c in ("median", "p05", "p25", "p75", "p95"))
+
+
+def test_weights_at_edges(spark):
+    cells = spark.createDataFrame([(0, 0, 2.0), (1, 0, 4.0), (2, 0, None), (3, 0, 9.0)], "col int, row int, v double")
+    aois = spark.createDataFrame([("a", 0, 0.5, 0.0, 2.5, 0.5), ("none", 1, 7.0, 7.0, 8.0, 8.0)], BOX)
+    assert sorted(rows(zonal.weighted_mean(cells, "v", aois), "aoi", "mean", "weight")) == [("a", round((0.25 * 2 + 0.5 * 4) / 0.75, 6), 0.75), ("none", None, None)]
+
+
+def test_comparison(spark):
+    cells = spark.range(400).select((F.col("id") % 20).cast("int").alias("col"), F.floor(F.col("id") / 20).cast("int").alias("row"), (F.col("id") % 20 * 5).cast("double").alias("v"))
+    aois = spark.createDataFrame([("a", 0, 0.0, 0.0, 10.0, 20.0), ("b", 1, 10.0, 0.0, 20.0, 20.0)], BOX)
+    made = shift.compare(cells, "v", aois, n=300, psi_bins=5, hist_bins=10)
+    assert made.samples.count() == 600 and sorted(rows(made.summary, "aoi", "count")) == [("a", 300), ("b", 300)]
+    assert 45 < made.shift.first().wasserstein < 55 and sum(n for (n,) in rows(made.histogram, "count")) == 600
+
+
+def test_partitioned_cells(spark, tmp_path):
+    cells = spark.range(6000).select((F.col("id") % 3 + 2000).cast("int").alias("year"), (F.col("id") % 500).cast("int").alias("col"), F.floor(F.col("id") / 500).cast("int").alias("row"), F.col("id").alias("v"))
+    tables.write_cells(cells, f"{tmp_path}/cells")
+    one = tables.read_cells(spark, f"{tmp_path}/cells", 2001)
+    assert one.count() == 2000 and sorted(map(tuple, one.select("year", "col", "row", "v").collect())) == sorted(map(tuple, cells.where("year = 2001").collect()))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan and "2001" in plan
+    listed = tables.files(spark, f"{tmp_path}/cells/year=2001", "*.parquet")
+    assert listed.count() >= 1 and listed.where("bytes > 0").count() == listed.count()
+    assert sum(n for (n,) in rows(tables.inventory(one, None), "n_cells")) == 2000
+    dated = tables.pix_of(spark, "/root/testdata/sf0.001", 2001, 2001)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(l_shipdate" in dated
+
+
+def test_mercator_range(spark):
+    box = spark.createDataFrame([(0.0, -89.0, 1.0, 10.0)], "minx double, miny double, maxx double, maxy double")
+    got = grid.to_web_mercator(box).first()
+    assert got.miny is None and got.maxy > 0 and got.minx == 0
+
+
 def test_wasserstein_and_psi(spark):
     aois = spark.createDataFrame([("c", 0, 0.0, 0.0, 1.0, 1.0), ("a", 1, 0.0, 0.0, 1.0, 1.0), ("b", 2, 0.0, 0.0, 1.0, 1.0)], BOX)
 
@@ -101,10 +174,15 @@ def test_quality(spark):
     assert rows(qc.usable_files(cells), "file") == [("f",)]
     bands = spark.createDataFrame([(0, 0, 1.0, 2.0, None, 3.0, 4.0, 5.0), (1, 0, *[None] * 6)], "col int, row int, afg double, pfg double, shr double, tre double, ltr double, bg double")
     aois = spark.createDataFrame([("a", 0, 0.0, 0.0, 1.0, 1.0), ("b", 1, 1.0, 0.0, 2.0, 1.0)], BOX)
-    assert dict(rows(qc.band_sum(bands, bands.columns[2:], aois), "aoi", "sum_mean")) == {"a": 15.0, "b": None}
-    with pytest.raises(ValueError):
-        qc.band_sum(bands, ["afg"], aois)
-    names = spark.createDataFrame(list(enumerate(["street", "annual", "PFG", "Shrub", "TRE", "litter", "bare"])), "pos int, band string")
+    assert dict(rows(qc.band_sum(bands, aois), "aoi", "sum_mean")) == {"a": 15.0, "b": None}
+    for bare in ("bg", "BG", "bgr", "BGR"):
+        assert qc.band_sum(bands.withColumnRenamed("bg", bare), aois).first().bands_used == ["afg", "pfg", "shr", "tre", "ltr", bare]
+    assert qc.cover_bands(["AFG", "PFG", "SHR", "TRE", "LTR", "BGR", "BG"])[-1] == "BG"
+    for gone in ("bg", "tre"):
+        with pytest.raises(ValueError):
+            qc.band_sum(bands.drop(gone), aois)
+    names = spark.createDataFrame(list(enumerate(["annual_precip", "street", "annual_forb", "PFG", "Shr_2", "TRE", "litter", "bare"])), "pos int, band string")
+    assert dict(rows(qc.resolve_bands(names), "canonical", "band"))["AFG"] == "annual_forb"
     assert dict(rows(qc.resolve_bands(names), "canonical", "band"))["TRE"] == "street"
     assert qc.resolve_bands(names.where("band <> 'bare'")).count() == 0
 
