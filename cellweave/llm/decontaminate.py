@@ -79,8 +79,27 @@ class WuManber:
             end += 1
 
 
-def _scan(docs: DataFrame, groups) -> DataFrame:
-    """For each row: its words, the words hit as spans, and the items that hit."""
+_JUDGED = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+
+
+def _judged(doc_id: pa.Array, words: np.ndarray, spans: list[list[int]], items: list[list[str]]) -> pa.RecordBatch:
+    """Counts and digests of rows whose spans and items may come from several scans."""
+    hits, count, digest = [], [], []
+    for s, names in zip(spans, items):
+        end = n = 0
+        for a, b in sorted(zip(s[::2], s[1::2])):
+            n += max(0, b - max(a, end))
+            end = max(end, b)
+        own = sorted(set(names))
+        hits.append(n)
+        count.append(len(own))
+        digest.append(hashlib.sha256(",".join(own).encode()).hexdigest())
+    h = np.array(hits, np.int64)
+    return pa.RecordBatch.from_arrays([doc_id, pa.array(words), pa.array(h), pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array((h > 0) & (SHARE * h >= words))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+
+
+def _scan(docs: DataFrame, groups, judge: bool = False) -> DataFrame:
+    """For each row: its words, the words hit as spans, and the items that hit; or, of a scan that is the only one, the verdict."""
 
     def run(batches):
         engines = [(WuManber(patterns), items) for patterns, items in groups.value]
@@ -109,31 +128,20 @@ def _scan(docs: DataFrame, groups) -> DataFrame:
                 spans.append([x for m in merged for x in m])
                 found.append(sorted(items))
             ids = batch.column("doc_id")
+            if judge:
+                yield _judged(ids, np.array(words, np.int64), spans, found)
+                continue
             yield pa.RecordBatch.from_arrays([ids, pa.array(words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string())), batch.column("key")], names=["doc_id", "n_words", "spans", "items", "key"])
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, spans array<long>, items array<string>, key long")
+    return docs.mapInArrow(run, _JUDGED if judge else "doc_id long, n_words long, spans array<long>, items array<string>, key long")
 
 
 def _verdict(rows: DataFrame) -> DataFrame:
-    """Counts and digests from spans and item lists, which may come from several scans."""
-
     def run(batches):
-        for batch in batches:
-            hits, count, digest = [], [], []
-            for spans, items in zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist()):
-                end = n = 0
-                for a, b in sorted(zip(spans[::2], spans[1::2])):
-                    n += max(0, b - max(a, end))
-                    end = max(end, b)
-                own = sorted(set(items))
-                hits.append(n)
-                count.append(len(own))
-                digest.append(hashlib.sha256(",".join(own).encode()).hexdigest())
-            n = batch.column("n_words").to_numpy(zero_copy_only=False)
-            h = np.array(hits, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(h), pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array((h > 0) & (SHARE * h >= n))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-    return rows.select("doc_id", "n_words", "spans", "items").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+        for b in batches:
+            yield _judged(b.column("doc_id"), b.column("n_words").to_numpy(), b.column("spans").to_pylist(), b.column("items").to_pylist())
+
+    return rows.select("doc_id", "n_words", "spans", "items").mapInArrow(run, _JUDGED)
 
 
 def _groups(items: DataFrame, size: int, group_bytes: int, nameless: bool) -> Iterator[list[tuple[list[bytes], list[list[str]]]]]:
@@ -172,11 +180,9 @@ def contamination(docs: DataFrame, items: DataFrame, scratch: Scratch, size: int
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
     groups = _groups(items, size, group_bytes, nameless)
-    first = next(groups, [])
-    rows = _scan(docs, spark.sparkContext.broadcast(first))
-    second = next(groups, None)
+    first, second = next(groups, []), next(groups, None)
     if second is None:
-        return _verdict(rows)
+        return _scan(docs, spark.sparkContext.broadcast(first), judge=True)
     # more groups than one: a scan each, of which only rows with hits are kept, and one join of all hits
     hits, k = [], 0
     for g in _chain(first, second, groups):
