@@ -59,7 +59,8 @@ def clean(docs: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES) -> Data
     docs = docs.drop("n_lines", "n_removed")
     # the input's columns travel in one, so no name of theirs can meet one of ours
     held = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("key"))
-    joined = held.join(hits, F.col("row.doc_id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left")
+    # hits grow with the documents, so they are joined in one way at every size
+    joined = held.join(hits.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left")
     all_lines, cut = F.split("row.text", "\n"), F.col("lines").isNotNull() & ~F.col("copied")
     kept = F.filter(all_lines, lambda x: ~F.array_contains("lines", F.xxhash64(F.trim(x))))
     made = joined.select("row", F.coalesce(F.size(all_lines), F.lit(0)).cast("long").alias("n_lines"), F.size(all_lines).alias("n"), F.when(cut, kept).alias("kept"))
