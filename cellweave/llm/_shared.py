@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: rows of an Arrow batch at most: texts are long, and a batch of them is held by Spark and by Python at once
 BATCH_ROWS = 250
+#: Spark removes an execution's shuffle files at its end where this is set, not at the driver's next garbage collection
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -66,7 +68,12 @@ class Scratch:
         to = df.write.mode("overwrite")
         if level is not None:
             to = to.option(f"parquet.compression.codec.{codec}.level", level)
-        to.parquet(self.path(name), compression=codec)
+        before = self.spark.conf.get(CLEAN, "false")
+        self.spark.conf.set(CLEAN, True)
+        try:
+            to.parquet(self.path(name), compression=codec)
+        finally:
+            self.spark.conf.set(CLEAN, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

@@ -4,8 +4,9 @@ Texts are tokenised (byte-level BPE of a public vocabulary file, a parameter), c
 cut into sequences of ``LENGTH`` ids; the last one is padded with the end token. Sequences are numbered from
 0 in the order of files, and a keyed Feistel network with cycle-walking maps each number to its slot, a
 bijection of 0 .. n-1 that no one needs to store. Slots are dealt to shards by range, and runs of neighbouring
-shards to tasks, which write one after the other: shard s holds the slots from s * PER_SHARD on, each of LENGTH * 2 bytes, so any slot's bytes are found by arithmetic and a
-reader resumes at any slot. ``write_shards`` writes the files, and beside each an index of equal stride with the
+shards to tasks, which write one after the other: shard s holds the slots from s * PER_SHARD on, each of
+LENGTH * 2 bytes, so any slot's bytes are found by arithmetic and a reader resumes at any slot. op2 shuffles and
+writes a quarter of the shards at a time. ``write_shards`` writes the files, and beside each an index of equal stride with the
 sequences' documents; a repeated task writes the same bytes again. op2 writes all shards and returns what it
 reads back from the files.
 
@@ -35,6 +36,8 @@ PER_SHARD = 8192
 ROUNDS = 6
 #: shards that a task writes one after the other, where there are more than ``TASKS`` of them
 SHARD_RUN, TASKS = 16, 64
+#: parts of the slots that are shuffled and written one after the other, which bounds the shuffle's share of the disk
+WAVES = 4
 #: a sequence's record in the index beside its shard; ``named`` is 0 for a null doc_id
 INDEX = np.dtype([("doc_id", "<i8"), ("sequence", "<i4"), ("n_tokens", "<i4"), ("named", "u1")])
 
@@ -115,36 +118,38 @@ def tasks(shards: int) -> int:
     return min(shards, max(TASKS, -(-shards // SHARD_RUN)))
 
 
-def training_order(docs: DataFrame, scratch: Scratch, key: int = 20_240_601, length: int = LENGTH, per_shard: int = PER_SHARD, path: str = VOCABULARY) -> DataFrame:
-    """``(slot, shard, place, doc_id, sequence, n_tokens, ids)``, shard by shard and in slot order within.
-
-    ``place`` is the byte at which the sequence starts in its shard, ``sequence`` its number in its text.
-    """
+def hold(docs: DataFrame, scratch: Scratch, length: int = LENGTH, path: str = VOCABULARY) -> tuple[DataFrame, dict[int, int], int]:
+    """The written tokens, the sequences before each input partition, and the number of all sequences."""
     held = scratch.write("tokens", sequences(docs, length, path), codec="zstd", level=9)
     # one number for each input partition reaches the driver: how many sequences stand before it
     starts, n = {}, 0
     for c in sorted(held.groupBy("part").agg(F.max(F.col("first") + F.ceil(F.col("n_tokens") / length)).alias("n")).collect()):
         starts[c.part] = n
         n += int(c.n)
-    known = docs.sparkSession.sparkContext.broadcast((starts, n))
+    return held, starts, n
+
+
+def arrange(held: DataFrame, starts: dict[int, int], n: int, shards: range, key: int = 20_240_601, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
+    """The sequences of a range of shards as ``training_order`` returns them; only these are shuffled."""
+    known = held.sparkSession.sparkContext.broadcast(starts)
 
     def deal(batches):
-        start, total = known.value
-        pack = pa.Codec("zstd").compress
+        start, pack = known.value, pa.Codec("zstd").compress
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 b = batch.slice(a, 256)
-                index, doc, number, size, ids = [], [], [], [], []
-                for part, first, doc_id, n_tokens, blob in zip(*(b.column(c).to_pylist() for c in ("part", "first", "doc_id", "n_tokens", "ids"))):
-                    first += start[part]
-                    for j in range(-(-n_tokens // length)):
-                        index.append(first + j)
-                        doc.append(doc_id)
-                        number.append(j)
-                        size.append(min(length, n_tokens - j * length))
-                        ids.append(pack(blob[2 * j * length : 2 * (j + 1) * length], asbytes=True))
-                slot = permute(np.array(index, np.int64), total, key)
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.array(size, pa.int32()), pa.array(ids, pa.binary())], names=["slot", "doc_id", "sequence", "n_tokens", "packed"])
+                n_tokens = b.column("n_tokens").to_numpy()
+                first = b.column("first").to_numpy() + np.array([start[p] for p in b.column("part").to_pylist()], np.int64)
+                count = -(-n_tokens // length)
+                row = np.repeat(np.arange(b.num_rows), count)
+                number = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                slot = permute(first[row] + number, n, key)
+                here = np.flatnonzero((slot >= shards.start * per_shard) & (slot < shards.stop * per_shard))
+                row, number, slot = row[here], number[here], slot[here]
+                size = np.minimum(length, n_tokens[row] - number * length)
+                blobs = b.column("ids")
+                ids = [pack(blobs[r].as_buffer().slice(2 * length * j, 2 * k), asbytes=True) for r, j, k in zip(row.tolist(), number.tolist(), size.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(slot), b.column("doc_id").take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(ids, pa.binary())], names=["slot", "doc_id", "sequence", "n_tokens", "packed"])
 
     def lay(batches):
         unpack, pad = pa.Codec("zstd").decompress, np.full(length, END, "<u2").tobytes()
@@ -153,14 +158,22 @@ def training_order(docs: DataFrame, scratch: Scratch, key: int = 20_240_601, len
             ids = [unpack(x, 2 * n, asbytes=True) + pad[2 * n :] for x, n in zip(b.column("packed").to_pylist(), size)]
             yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array((slot // per_shard).astype(np.int32)), pa.array(slot % per_shard * length * 2), *(b.column(c) for c in ("doc_id", "sequence", "n_tokens")), pa.array(ids, pa.binary())], names=["slot", "shard", "place", "doc_id", "sequence", "n_tokens", "ids"])
 
-    shards = max(1, -(-n // per_shard))
-    count = tasks(shards)
+    count = tasks(len(shards))
     dealt = held.mapInArrow(deal, "slot long, doc_id long, sequence int, n_tokens int, packed binary")
-    run = F.expr(f"cast((slot div {per_shard}) * {count} div {shards} as int)")
+    run = F.expr(f"cast((slot div {per_shard} - {shards.start}) * {count} div {len(shards)} as int)")
     laid = dealt.repartitionById(count, run).sortWithinPartitions("slot")
     return laid.mapInArrow(lay, "slot long, shard int, place long, doc_id long, sequence int, n_tokens int, ids binary")
 
 
+def training_order(docs: DataFrame, scratch: Scratch, key: int = 20_240_601, length: int = LENGTH, per_shard: int = PER_SHARD, path: str = VOCABULARY) -> DataFrame:
+    """``(slot, shard, place, doc_id, sequence, n_tokens, ids)``, shard by shard and in slot order within.
+
+    ``place`` is the byte at which the sequence starts in its shard, ``sequence`` its number in its text.
+    """
+    held, starts, n = hold(docs, scratch, length, path)
+    return arrange(held, starts, n, range(max(1, -(-n // per_shard))), key, length, per_shard)
+
+
 def write_shards(rows: DataFrame, folder: str, length: int = LENGTH) -> DataFrame:
     """Write each shard of ``training_order`` to ``folder``/shard-NNNNNN.bin; ``(shard, path, sequences, sha256)``.
 
@@ -239,10 +252,18 @@ def read_shards(files: DataFrame, folder: str, length: int = LENGTH, per_shard:
 def stored_order(docs: DataFrame, scratch: Scratch, key: int = 20_240_601, length: int = LENGTH, per_shard: int = PER_SHARD, path: str = VOCABULARY) -> DataFrame:
     """The columns of ``training_order`` and ``sha256``, all from the shard files in the scratch folder ``shards``."""
     folder = scratch.path("shards")
-    files = scratch.write("files", write_shards(training_order(docs, scratch, key, length, per_shard, path), folder, length))
+    held, starts, n = hold(docs, scratch, length, path)
+    shards = max(1, -(-n // per_shard))
+    waves = [range(w * shards // WAVES, (w + 1) * shards // WAVES) for w in range(WAVES)]
+    names = []
+    # one wave's shuffle files are gone before the next one's are written
+    for wave in filter(len, waves):
+        names.append(f"files-{wave.start}")
+        files = scratch.write(names[-1], write_shards(arrange(held, starts, n, wave, key, length, per_shard), folder, length))
     scratch.drop("tokens")
-    n = tasks(max(1, files.count()))
-    return read_shards(files.repartitionById(n, F.col("shard") % n), folder, length, per_shard)
+    files = docs.sparkSession.read.schema(files.schema).parquet(*map(scratch.path, names))
+    count = tasks(shards)
+    return read_shards(files.repartitionById(count, F.col("shard") % count), folder, length, per_shard)
 
 
 def read_from(folder: str, slot: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> np.ndarray:
