@@ -8,9 +8,8 @@ groups of bounded size, long and short ones apart so that a short item does not
 each group is one more scan of the texts, and only hits are shuffled.
 
 Null and wordless texts and items have no words, hit nothing and aren't contaminated. Repeated documents
-are separate rows; repeated items count once. Columns other than id and text aren't read. Items with a null
-item_id are searched with ``nameless`` (the pipeline does): their windows count in n_hit, and no name of theirs
-in n_items and the digest. op4 and its SQL leave them out.
+are separate rows; repeated items count once. Columns other than id and text aren't read. Windows of items with a
+null item_id count in n_hit like all others; n_items and the digest hold no name of theirs.
 """
 
 from __future__ import annotations
@@ -144,7 +143,7 @@ def _verdict(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n_words", "spans", "items").mapInArrow(run, _JUDGED)
 
 
-def _groups(items: DataFrame, size: int, group_bytes: int, nameless: bool) -> Iterator[list[tuple[list[bytes], list[list[str]]]]]:
+def _groups(items: DataFrame, size: int, group_bytes: int) -> Iterator[list[tuple[list[bytes], list[list[str]]]]]:
     """Pattern groups of bounded size; the driver holds one at a time."""
 
     def run(batches):
@@ -158,7 +157,7 @@ def _groups(items: DataFrame, size: int, group_bytes: int, nameless: bool) -> It
 
     items = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
     # a null name is not collected
-    found = (items if nameless else items.where("item_id is not null")).mapInArrow(run, "p binary, item string").groupBy("p").agg(F.collect_set("item").alias("items")).orderBy("p")
+    found = items.mapInArrow(run, "p binary, item string").groupBy("p").agg(F.collect_set("item").alias("items")).orderBy("p")
     held, n = [], 0
     for row in found.toLocalIterator():
         held.append((bytes(row.p), sorted(row["items"])))
@@ -175,11 +174,11 @@ def _laid(held: list) -> list[tuple[list[bytes], list[list[str]]]]:
     return [([p for p, _ in x], [i for _, i in x]) for x in parts if x]
 
 
-def contamination(docs: DataFrame, items: DataFrame, scratch: Scratch, size: int = WINDOW, group_bytes: int = GROUP_BYTES, nameless: bool = False) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, scratch: Scratch, size: int = WINDOW, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)`` for each row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
-    groups = _groups(items, size, group_bytes, nameless)
+    groups = _groups(items, size, group_bytes)
     first, second = next(groups, []), next(groups, None)
     if second is None:
         return _scan(docs, spark.sparkContext.broadcast(first), judge=True)
@@ -212,7 +211,7 @@ def sql(docs: str = "documents") -> str:
     """The rows of ``docs`` in DuckDB's SQL."""
     words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     return f"""
-with iw as (select cast(item_id as varchar) as item, {words} as w from benchmark where item_id is not null),
+with iw as (select cast(item_id as varchar) as item, {words} as w from benchmark),
 pos as (select item, w, unnest(range(1, greatest(1, len(w) - {WINDOW - 1}) + 1)) as i from iw where len(w) > 0),
 pat as (select distinct item, array_to_string(w[i : i + {WINDOW - 1}], ' ') as p, least(len(w), {WINDOW}) as n from pos),
 dw as (select row_number() over () as r, doc_id, {words} as w from {docs}),
@@ -220,7 +219,7 @@ dpos as (select r, w, unnest(range(1, len(w) + 1)) as i from dw where len(w) > 0
 lens as (select distinct n from pat),
 hit as (select d.r, d.i, l.n, p.item from dpos d, lens l, pat p where d.i + l.n - 1 <= len(d.w) and p.n = l.n and array_to_string(d.w[d.i : d.i + l.n - 1], ' ') = p.p),
 covered as (select r, count(distinct j) as n_hit from (select r, unnest(range(i, i + n)) as j from hit) group by r),
-named as (select r, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as items_sha256 from (select distinct r, item from hit) group by r)
+named as (select r, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as items_sha256 from (select distinct r, item from hit where item is not null) group by r)
 select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
        coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from dw left join covered using (r) left join named using (r)

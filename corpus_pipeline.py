@@ -51,7 +51,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows contaminated with benchmark passages go; items without an item_id count too."""
     scratch = Scratch(spark, "pipeline-leaks")
     docs = _keyed(docs, scratch)
-    found = decontaminate.contamination(docs.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), scratch, nameless=True)
+    found = decontaminate.contamination(docs.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), scratch)
     gone = found.where("contaminated").select(F.col("doc_id").alias("row"))
     return docs.join(gone, "row", "left_anti").select(COLUMNS)
 

@@ -220,16 +220,17 @@ def test_all_signatures(spark):
 
 def test_contamination_odd(spark):
     r = random.Random(14)
-    item = " ".join(r.choices(WORDS, k=30))
-    rows = [(None, item, "s"), (1, None, "s"), (2, "", "s"), (3, " ".join(r.choices(WORDS, k=3_000)) + " " + item, "s"), (4, item, "s"), (4, item, "s"), (5, item.upper().replace(" ", " , "), "s")]
+    item, nameless = (" ".join(r.choices(WORDS, k=30)) for _ in range(2))
+    rows = [(None, item, "s"), (6, nameless, "s"), (1, None, "s"), (2, "", "s"), (3, " ".join(r.choices(WORDS, k=3_000)) + " " + item, "s"), (4, item, "s"), (4, item, "s"), (5, item.upper().replace(" ", " , "), "s")]
     d = docs(spark, rows).withColumn("key", F.lit("own"))
-    items = spark.createDataFrame([("b", item), ("a", item), ("c", None)], "item_id string, text string").withColumn("p", F.lit(1))
+    items = spark.createDataFrame([("b", item), ("a", item), ("c", None), (None, nameless)], "item_id string, text string").withColumn("p", F.lit(1))
     con = duckdb.connect()
     con.register("documents", d.select("doc_id", "text").toArrow())
     con.register("benchmark", items.select("item_id", "text").toArrow())
     got = plain(decontaminate.contamination(d, items, scratch(spark)), ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
     assert got == sorted(con.sql(decontaminate.SQL).fetchall(), key=repr)
-    assert {(x[0], x[5]) for x in got} == {(None, True), (1, False), (2, False), (3, False), (4, True), (5, True)}
+    assert {(x[0], x[5]) for x in got} == {(None, True), (1, False), (2, False), (3, False), (4, True), (5, True), (6, True)}
+    assert {x[3] for x in got if x[0] == 6} == {0}
 
 
 # 5

@@ -470,7 +470,7 @@ def test_verdicts_belong_to_rows(spark, tmp_path):
     assert sorted(map(tuple, got), key=repr) == sorted([(None, text[2]), (5, text[3]), (6, text[4]), (6, text[4]), (8, None)], key=repr)
     items = spark.read.parquet(f"{tmp_path}/benchmark.parquet")
     for size in (8 << 20, 200):
-        found = {x.doc_id: x for x in decontaminate.contamination(docs(spark, [(0, text[1], "a"), (1, text[0], "a")]), items, scratch(spark), group_bytes=size, nameless=True).collect()}
+        found = {x.doc_id: x for x in decontaminate.contamination(docs(spark, [(0, text[1], "a"), (1, text[0], "a")]), items, scratch(spark), group_bytes=size).collect()}
         assert (found[0].n_hit, found[0].n_items, found[0].contaminated) == (60, 0, True) and (found[1].n_hit, found[1].n_items) == (60, 1)
 
 
