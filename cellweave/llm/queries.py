@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellweave.llm import decontaminate, importance, line_dedup, ngram_join, order_minhash, secrets, toxicity, training_order, unigram, url_filter
+from cellweave.llm import decontaminate, importance, line_dedup, negatives, ngram_join, order_minhash, secrets, spelling, toxicity, training_order, unigram, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8,
     "op9_importance_resampling": importance.op9,
     "op10_sentencepiece": unigram.op10,
+    "op11_spelling_variants": spelling.op11,
+    "op12_hard_negatives": negatives.op12,
 }
 SQL = {
     "op4_decontamination": decontaminate.SQL,
