@@ -138,7 +138,7 @@ def test_query_12_is_that_of_plain_loops(spark):
     assert mined(negatives.op12(spark, SF)) == hard(rows) != set()
 
 
-@pytest.mark.parametrize("sent", [1, 1 << 20])
+@pytest.mark.parametrize("sent", [500, 1 << 20])
 def test_negatives_of_odd_rows(spark, sent, monkeypatch):
     monkeypatch.setattr(negatives, "TILE_BYTES", 2000)
     r = random.Random(9)
