@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellweave.llm import decontaminate, importance, line_dedup, negatives, ngram_join, order_minhash, secrets, spelling, toxicity, training_order, unigram, url_filter
+from cellweave.llm import decontaminate, html_text, importance, line_dedup, negatives, ngram_join, order_minhash, secrets, spelling, toxicity, training_order, unigram, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_sentencepiece": unigram.op10,
     "op11_spelling_variants": spelling.op11,
     "op12_hard_negatives": negatives.op12,
+    "op13_html_text": html_text.op13,
 }
 SQL = {
     "op4_decontamination": decontaminate.SQL,
