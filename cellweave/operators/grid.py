@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from cellweave.functions.columns import KM_PER_DEGREE, degrees_east, mercator, rounded
+from cellweave.operators import vector
+from cellweave.operators.prefix import cumulative
 
 #: so many regions are sent to every executor; more are joined by blocks of cells
 FEW_REGIONS = 256
@@ -83,22 +84,36 @@ def tile_hits(tiles: DataFrame, aois: DataFrame, few: int = FEW_REGIONS) -> Data
 
 
 def tile_hit_list(tiles: DataFrame, aois: DataFrame) -> DataFrame:
-    """``(aoi, position, tile_id)``: the tiles of each region, numbered from 0."""
+    """``(aoi, position, tile_id)``: the tiles of each region, numbered from 0; one region's tiles are dealt to many tasks."""
     hits = tile_pairs(tiles, aois).select("a.aoi", "t.tile_id")
-    return hits.withColumn("position", F.row_number().over(W.partitionBy("aoi").orderBy("tile_id")) - 1)
+    return cumulative(hits, ["aoi"], [F.col("tile_id")]).withColumn("position", F.col("position").cast("int"))
+
+
+def bounded(shapes: DataFrame) -> DataFrame:
+    """Shapes of one ``ring`` each with the box around it."""
+    edge = lambda f, axis: f(F.transform("ring", lambda p: p[axis]))
+    return shapes.withColumns({"minx": edge(F.array_min, "x"), "maxx": edge(F.array_max, "x"), "miny": edge(F.array_min, "y"), "maxy": edge(F.array_max, "y")})
 
 
 def tile_areas(tiles: DataFrame, aois: DataFrame, metres: float = 10.0) -> DataFrame:
-    """``(aoi, year, tile_id, area)``: tiles that meet a region with the area of their overlap."""
+    """``(aoi, year, tile_id, area)``: tiles that meet a region with the area of their overlap.
+
+    Where tiles or regions have a ``ring`` of points in place of a box, boxes around them find the pairs, and the
+    tile's footprint is cut by the region's sides; the region has to be convex.
+    """
+    if "ring" in tiles.columns or "ring" in aois.columns:
+        boxed = lambda df: bounded(df) if "ring" in df.columns else df.withColumn("ring", vector.box_ring(*[F.col(c) for c in ("minx", "miny", "maxx", "maxy")]))
+        pairs = tile_pairs(boxed(tiles), boxed(aois)).select("a.aoi", "t.year", "t.tile_id", vector.clipped(F.col("t.ring"), F.col("a.ring")).alias("both"))
+        return pairs.where(F.size("both") > 0).select("aoi", "year", "tile_id", rounded(F.abs(vector.ring_area(F.col("both"))) * metres * metres).alias("area"))
     width = "greatest(0.0D, least(t.maxx, a.maxx) - greatest(t.minx, a.minx))"
     height = "greatest(0.0D, least(t.maxy, a.maxy) - greatest(t.miny, a.miny))"
     return tile_pairs(tiles, aois).select("a.aoi", "t.year", "t.tile_id", F.expr(f"{width} * {height} * {metres * metres}D").alias("area"))
 
 
 def tile_rank(tiles: DataFrame, aois: DataFrame, metres: float = 10.0) -> DataFrame:
-    """``(aoi, year, tile_id, area, rank)``: tiles that meet a region by falling area of overlap, then id."""
-    order = W.partitionBy("aoi").orderBy(F.desc("area"), "tile_id")
-    return tile_areas(tiles, aois, metres).withColumn("rank", F.row_number().over(order)).withColumn("area", rounded(F.col("area")))
+    """``(aoi, year, tile_id, area, rank)``: tiles that meet a region by falling area of overlap, then id; one region's tiles are dealt to many tasks."""
+    ranked = cumulative(tile_areas(tiles, aois, metres), ["aoi"], [F.desc("area"), F.asc("tile_id")])
+    return ranked.select("aoi", "year", "tile_id", rounded(F.col("area")).alias("area"), (F.col("position") + 1).cast("int").alias("rank"))
 
 
 def best_tile(tiles: DataFrame, aois: DataFrame, by_year: bool = False, metres: float = 10.0) -> DataFrame:

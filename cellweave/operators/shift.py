@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 from cellweave.functions.columns import finite, rounded
 from cellweave.operators import sampling, zonal
 from cellweave.operators.grid import sent_if_few
+from cellweave.operators.prefix import cumulative
+from cellweave.sources.tables import written
 
 
 def _pairs(aois: DataFrame) -> DataFrame:
@@ -33,14 +35,18 @@ def _sided(samples: DataFrame, v: str, aois: DataFrame) -> DataFrame:
 
 
 def wasserstein(samples: DataFrame, v: str, aois: DataFrame) -> DataFrame:
-    """``(aoi_a, aoi_b, wasserstein)``: the area between the two distribution functions; null if a sample is empty."""
-    pair = W.partitionBy("aoi_a", "aoi_b")
-    up = pair.orderBy("v")
-    held = _sided(samples, v, aois).withColumns({
-        "fa": F.sum("na").over(up) / F.nullif(F.sum("na").over(pair), F.lit(0)), "fb": F.sum("nb").over(up) / F.nullif(F.sum("nb").over(pair), F.lit(0)), "next": F.lead("v").over(up)})
-    area = F.sum(F.abs(F.col("fa") - F.col("fb")) * (F.coalesce("next", "v") - F.col("v")))
-    made = held.groupBy("aoi_a", "aoi_b").agg(rounded(area).alias("wasserstein"))
-    return _pairs(aois).join(made, ["aoi_a", "aoi_b"], "left")
+    """``(aoi_a, aoi_b, wasserstein)``: the area between the two distribution functions; null if a sample is empty.
+
+    Both functions are running sums over a pair's values, which are dealt to many tasks.
+    """
+    return _pairs(aois).join(_area_between(_sided(samples, v, aois)), ["aoi_a", "aoi_b"], "left")
+
+
+def _area_between(sided: DataFrame) -> DataFrame:
+    held = cumulative(sided, ["aoi_a", "aoi_b"], [F.col("v")], {"below_a": F.col("na"), "below_b": F.col("nb")}, {"next": "v"})
+    part = lambda s: F.col(f"below_{s}") / F.nullif(F.col(f"all_below_{s}"), F.lit(0))
+    area = F.sum(F.abs(part("a") - part("b")) * (F.coalesce("next", "v") - F.col("v")))
+    return held.groupBy("aoi_a", "aoi_b").agg(rounded(area).alias("wasserstein"))
 
 
 def psi(samples: DataFrame, v: str, aois: DataFrame, bins: int = 20, eps: float = 1e-6) -> DataFrame:
@@ -49,7 +55,10 @@ def psi(samples: DataFrame, v: str, aois: DataFrame, bins: int = 20, eps: float
     Edges are rounded to 9 digits and made distinct; fewer than three give 0. Shares are cut off at eps from
     below and not renormalised. Null if a sample is empty.
     """
-    sided = _sided(samples, v, aois)
+    return _stability(_sided(samples, v, aois), aois, bins, eps)
+
+
+def _stability(sided: DataFrame, aois: DataFrame, bins: int = 20, eps: float = 1e-6) -> DataFrame:
     points = F.array(*[F.lit(k / bins) for k in range(bins + 1)])
     edges = sided.groupBy("aoi_a", "aoi_b").agg(
         F.array_sort(F.array_distinct(F.transform(F.percentile("v", points, F.col("na") + F.col("nb")), lambda e: F.round(e, 9)))).alias("edges"),
@@ -68,8 +77,10 @@ def psi(samples: DataFrame, v: str, aois: DataFrame, bins: int = 20, eps: float
     return _pairs(aois).join(edges.drop("edges").join(made, ["aoi_a", "aoi_b"], "left").select("aoi_a", "aoi_b", rounded(value).alias("psi")), ["aoi_a", "aoi_b"], "left")
 
 
-def shift_table(samples: DataFrame, v: str, aois: DataFrame) -> DataFrame:
-    return wasserstein(samples, v, aois).join(psi(samples, v, aois), ["aoi_a", "aoi_b"])
+def shift_table(samples: DataFrame, v: str, aois: DataFrame, bins: int = 20) -> DataFrame:
+    """Both metrics of each pair, from one table of the pair's values."""
+    sided = written(_sided(samples, v, aois), "sided")
+    return _pairs(aois).join(_area_between(sided), ["aoi_a", "aoi_b"], "left").join(_stability(sided, aois, bins), ["aoi_a", "aoi_b"])
 
 
 class Comparison(NamedTuple):
@@ -83,5 +94,5 @@ def compare(cells: DataFrame, v: str, aois: DataFrame, n: int = 5000, seed: int
     """One band's distribution across regions, from n random points in each: summary, shift table, histogram and the samples."""
     samples = sampling.at_points(sampling.random_points(aois, n, seed), cells, [v]).where(finite(F.col(v)))
     return Comparison(
-        sampling.sample_summary(samples, v, aois), wasserstein(samples, v, aois).join(psi(samples, v, aois, psi_bins), ["aoi_a", "aoi_b"]),
+        sampling.sample_summary(samples, v, aois), shift_table(samples, v, aois, psi_bins),
         zonal.histogram(samples, v, *hist_range, hist_bins, closed=True, keys=("aoi",)), samples)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from cellweave.functions.columns import rounded
 from cellweave.operators.grid import best_tile, sent_if_few
+from cellweave.operators.proximity import with_distances
 
 #: which observation of a cell and year lies on top: the one of the greatest tile number
 ORDER = "tile_id"
@@ -85,11 +85,7 @@ def prior_cube(years: DataFrame, v: str, first: int, last: int, levels: tuple[fl
     c = F.col(v)
     held = years.where(F.col("year").between(first, last))
     cube = held.groupBy(*CELL).agg(rounded(at(c, last)).alias("cover"), *mean_std(c), trend(c), *[(at(c, last) >= t).cast("int").alias(f"ge{int(t)}") for t in levels])
-    grid = dense(cube)
-    for t in levels:
-        far = distance(grid, F.col(f"ge{int(t)}") == 1, radius, metres, f"dist_ge{int(t)}")
-        cube = cube.join(far, CELL, "left")
-    return cube
+    return with_distances(cube, {f"dist_ge{int(t)}": F.col(f"ge{int(t)}") == 1 for t in levels}, radius, metres)
 
 
 def dense(cells: DataFrame) -> DataFrame:
@@ -104,26 +100,5 @@ def dense(cells: DataFrame) -> DataFrame:
 
 
 def distance(grid: DataFrame, hit: Column, radius: int = 255, metres: float = 10.0, name: str = "distance") -> DataFrame:
-    """``(col, row, name)``: metres to the nearest hit within so many cells, null beyond. ``grid`` has to be dense.
-
-    Exact and separable: first the gap g to the nearest hit of the own column, by windows over columns; then the
-    least distance over the columns of a row. A column c is nearest only where it beats the columns with a hit
-    in reach before and after it, as parabolas (x - c)^2 + g^2 cross once; so each is spread over that stretch
-    of the row alone, which in a row full of hits is its own cell, and at most over the radius.
-    """
-    up, along = W.partitionBy("col").orderBy("row"), W.partitionBy("row").orderBy("col")
-    marked = grid.select(*CELL, F.when(hit, F.col("row")).alias("h"))
-    gap = F.least(F.col("row") - F.last("h", ignorenulls=True).over(up), F.first("h", ignorenulls=True).over(up.rowsBetween(0, W.unboundedFollowing)) - F.col("row"))
-    held = marked.withColumn("g", gap.cast("long")).where(F.col("g") <= radius).select(F.col("col").cast("long").alias("c"), "row", "g")
-    along = W.partitionBy("row").orderBy("c")
-    held = held.withColumns({k: f(n).over(along) for k, f, n in (("c0", F.lag, "c"), ("g0", F.lag, "g"), ("c1", F.lead, "c"), ("g1", F.lead, "g"))})
-    reach = F.floor(F.sqrt((radius * radius - F.col("g") * F.col("g")).cast("double")))
-    crossing = lambda c, g: (F.col("c") * F.col("c") + F.col("g") * F.col("g") - F.col(c) * F.col(c) - F.col(g) * F.col(g)) / (2 * (F.col("c") - F.col(c)))
-    box = grid.agg(F.min("col").alias("left"), F.max("col").alias("right"))
-    # greatest and least leave nulls out: no column before, or none after
-    spread = held.crossJoin(F.broadcast(box)).withColumns({
-        "from": F.greatest(F.col("c") - reach, F.col("left").cast("long"), F.ceil(crossing("c0", "g0"))), "to": F.least(F.col("c") + reach, F.col("right").cast("long"), F.floor(crossing("c1", "g1")))})
-    cells = spread.where("from <= to").select(F.explode(F.sequence("from", "to")).alias("col"), "row", "c", "g").withColumn("col", F.col("col").cast("int"))
-    squared = (F.col("col") - F.col("c")) * (F.col("col") - F.col("c")) + F.col("g") * F.col("g")
-    near = cells.groupBy("col", "row").agg(rounded(F.sqrt(F.min(squared).cast("double")) * metres).alias(name))
-    return grid.select(*CELL).join(near, CELL, "left")
+    """``(col, row, name)``: metres from each cell of the grid to its nearest hit within so many cells, null beyond."""
+    return with_distances(grid.select(*CELL, hit.alias("hit")), {name: F.col("hit")}, radius, metres).select(*CELL, name)

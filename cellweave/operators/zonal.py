@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.columns import rounded, share, statistics
 from cellweave.operators.grid import sent_if_few, zonal_join, zonal_overlap
+from cellweave.operators.vector import polygon_join
 
 ALL = ("count", "mean", "median", "min", "max", "std", "p05", "p25", "p75", "p95")
 
 
 def zonal(cells: DataFrame, aois: DataFrame, aggregates: list, keys: tuple[str, ...] = ("aoi",)) -> DataFrame:
-    """Aggregates by region; regions without cells are kept, with null statistics."""
-    found = zonal_join(cells, aois).groupBy(*keys).agg(*aggregates)
+    """Aggregates by region; regions without cells are kept, with null statistics. Regions are boxes, or polygons if they have ``parts``."""
+    join = polygon_join if "parts" in aois.columns else zonal_join
+    found = join(cells, aois).groupBy(*keys).agg(*aggregates)
     return aois.select(*keys).join(found, list(keys), "left")
 
 

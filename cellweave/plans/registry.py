@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.functions.columns import finite, rounded
-from cellweave.operators import grid, qc, sampling, shift, temporal, zonal
+from cellweave.operators import grid, qc, sampling, shift, temporal, vector, zonal
 from cellweave.sources import tables
 from cellweave.sources.tables import VIEWS, table, view
 
@@ -30,7 +30,8 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = f"with {', '.join(f'{k} as ({v})' for k, v in VIEWS.items())}, {_SHARED}\n{sql}"
+            more = f", {sql[5:]}" if sql.startswith("with ") else f"\n{sql}"
+            SQL[f.__name__] = f"with {', '.join(f'{k} as ({v})' for k, v in VIEWS.items())}, {_SHARED}{more}"
         return f
 
     return add
@@ -172,6 +173,74 @@ def mosaic(spark, d):
     return temporal.mosaic(view(spark, d, "pix"), BANDS, top())
 
 
+# vector layers
+
+
+def plots(spark: SparkSession, d: str) -> DataFrame:
+    """Slanted polygons and multi-polygons, every second one with a hole, written as a GeoJSON layer and read as one."""
+    path = f"{tables.shared_folder(spark)}/layer-{uuid.uuid4().hex}"
+    held = view(spark, d, "plots").withColumns({"crs": F.lit(vector.DEGREES), "properties": F.create_map(F.lit("name"), "name")})
+    vector.as_geojson(vector.with_parts(held)).write.text(path)
+    layer = vector.with_parts(tables.geojson(spark, path, lines=True))
+    return layer.withColumn("name", F.col("properties")["name"]).drop("properties")
+
+
+#: a row for each vertex of the plots, and their sides
+_VERTICES = """rings as (select name, geometry_type, case when geometry_type = 'Polygon' then [from_json(coordinates, '[[["DOUBLE"]]]')] else from_json(coordinates, '[[[["DOUBLE"]]]]') end as parts from plots),
+p1 as (select name, geometry_type, unnest(parts) as rings, generate_subscripts(parts, 1) - 1 as part from rings),
+p2 as (select name, geometry_type, part, unnest(rings) as points, generate_subscripts(rings, 1) - 1 as ring from p1),
+verts as (select name, geometry_type, cast(part as int) as part, cast(ring as int) as ring, cast(generate_subscripts(points, 1) - 1 as int) as vertex, unnest(points) as p from p2),
+sides as (select name, p[1] as x0, p[2] as y0, q[1] as x1, q[2] as y1 from (select name, p, lead(p) over (partition by name, part, ring order by vertex) as q from verts) where q is not null),
+held as (select s.name, c.col, c.row, c.shr from cells c join sides s on (s.y0 <= c.row + 0.5) <> (s.y1 <= c.row + 0.5) and s.x0 + (c.row + 0.5::double - s.y0) * (s.x1 - s.x0) / (s.y1 - s.y0) <= c.col + 0.5
+         group by all having count(*) % 2 = 1)"""
+
+
+@query(f"with {_VERTICES} select name, geometry_type, part, ring, vertex, round(radians(p[1]) * 6378137.0::double, 6) as x, round(ln(tan(pi() / 4 + radians(p[2]) / 2)) * 6378137.0::double, 6) as y from verts")
+def layer_vertices(spark, d):
+    """The layer's vertices in Web Mercator."""
+    return vector.vertices(vector.reproject(plots(spark, d), vector.METRES)).drop("crs").withColumns({"x": rounded(F.col("x")), "y": rounded(F.col("y"))})
+
+
+@query("select name, geometry_type, 'EPSG:4326' as crs, coordinates from plots")
+def layer_round_trip(spark, d):
+    """To Web Mercator and back by vertices, rings put together again: the layer as it was written."""
+    there = vector.vertices(vector.reproject(plots(spark, d), vector.METRES))
+    back = vector.reproject(vector.assembled(there, ["name", "geometry_type", "crs"]), vector.DEGREES)
+    near = F.transform("parts", lambda rings: F.transform(rings, lambda ps: F.transform(ps, lambda p: F.struct(rounded(p["x"]).alias("x"), rounded(p["y"]).alias("y")))))
+    return back.select("name", "geometry_type", "crs", vector.text(F.col("geometry_type"), near).alias("coordinates"))
+
+
+@query(f"with {_VERTICES} select name, col, row, shr from held")
+def cells_in_polygons(spark, d):
+    return vector.polygon_join(cells(spark, d, bands=["shr"]).drop("year"), plots(spark, d).select("name", "parts"))
+
+
+@query(f"with {_VERTICES} select a.name as aoi, {_STATS.format(v='z.shr')} from plots a left join held z on z.name = a.name group by a.name")
+def zonal_stats_polygons(spark, d):
+    return zonal.zonal_stats(cells(spark, d, bands=["shr"]), "shr", plots(spark, d).select(F.col("name").alias("aoi"), "parts"))
+
+
+def footprints(spark: SparkSession, d: str) -> DataFrame:
+    """Slanted footprints of the tiles: the plots' first rings."""
+    of = view(spark, d, "plots").withColumns({"parts": vector.parts(F.col("geometry_type"), F.col("coordinates")), "tile_id": F.regexp_extract("name", "[0-9]+", 0).cast("long")})
+    return of.select("tile_id", (1995 + F.col("tile_id") % 7).cast("int").alias("year"), F.col("parts")[0][0].alias("ring"))
+
+
+#: the area under a side within the box is that of its height above the lower edge, cut off at the upper one
+_H = "case when {y} < miny then 0 when {y} <= maxy then ({y} - miny) * ({y} - miny) / 2 else (maxy - miny) * (maxy - miny) / 2 + ({y} - maxy) * (maxy - miny) end"
+_AT = "(y0 + ({x} - x0) * (y1 - y0) / (x1 - x0))"
+
+
+@query(f"""with {_VERTICES}, first as (select name, p[1] as x0, p[2] as y0, lead(p[1]) over w as x1, lead(p[2]) over w as y1 from verts where part = 0 and ring = 0 window w as (partition by name order by vertex)),
+cut as (select aoi, name, minx, maxx, miny, maxy, x0, y0, x1, y1, least(greatest(x0, minx), maxx) as a, least(greatest(x1, minx), maxx) as b from first, aois where x1 is not null and maxy > miny),
+under as (select aoi, name, -sum(case when x1 = x0 or a = b then 0 when y1 = y0 then (least(greatest(y0, miny), maxy) - miny) * (b - a)
+ else ({_H.format(y=_AT.format(x='b'))} - ({_H.format(y=_AT.format(x='a'))})) * (x1 - x0) / (y1 - y0) end) * 100 as area from cut group by all)
+select aoi, cast(1995 + cast(name[5:] as bigint) % 7 as int) as year, cast(name[5:] as bigint) as tile_id, round(area, 6) as area, cast(row_number() over (partition by aoi order by round(area, 6) desc, cast(name[5:] as bigint)) as int) as rank from under where area > 1e-6""")
+def footprint_rank(spark, d):
+    """Slanted footprints by the area that they share with each region."""
+    return grid.tile_rank(footprints(spark, d), aois(spark, d)).where("area > 0")
+
+
 # regions
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,11 +35,16 @@ from supplier""",
        case when l_suppkey % 10 in (3,6,9) then cast(-32768 as double)
             when l_linenumber=7 then cast(-9999 as double) else l_quantity/40 end as v
 from lineitem""",
+    "plots": """select concat('plot', s_suppkey) as name, case when s_suppkey % 3 = 0 then 'MultiPolygon' else 'Polygon' end as geometry_type,
+       concat(case when s_suppkey % 3 = 0 then '[' else '' end, '[[[', x, ',', y, '],[', x + 6, ',', y + 1, '],[', x + 7, ',', y + 4, '],[', x + 1, ',', y + cast(3.5 as double), '],[', x, ',', y, ']]',
+              case when s_suppkey % 2 = 0 then concat(',[[', x + 2, ',', y + cast(1.5 as double), '],[', x + cast(3.5 as double), ',', y + 3, '],[', x + 4, ',', y + 2, '],[', x + 2, ',', y + cast(1.5 as double), ']]') else '' end, ']',
+              case when s_suppkey % 3 = 0 then concat(',[[[', x + 8, ',', y, '],[', x + 10, ',', y, '],[', x + 9, ',', y + cast(2.5 as double), '],[', x + 8, ',', y, ']]]]') else '' end) as coordinates
+from (select s_suppkey, cast(s_suppkey % 9 as double) * 5 as x, cast(floor(s_suppkey / 9) as double) % 12 as y from supplier)""",
     "cloud": """select event_type as file, cast(user_id as double) as x, cast(event_id as double) as y,
        value as z, cast(event_id % 6 as int) as classification
 from events""",
 }
-_OVER = {"pix": "lineitem", "aois": "region", "tiles": "supplier", "raster_cells": "lineitem", "cloud": "events"}
+_OVER = {"pix": "lineitem", "aois": "region", "tiles": "supplier", "raster_cells": "lineitem", "plots": "supplier", "cloud": "events"}
 
 GEOJSON = T.StructType([
     T.StructField("crs", T.StructType([T.StructField("properties", T.StructType([T.StructField("name", T.StringType())]))])),
@@ -56,6 +64,18 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(VIEWS[name].replace(f"from {_OVER[name]}", "from {src}"), src=table(spark, sf_dir, _OVER[name]))
 
 
+#: bytes of an Arrow batch, about: rows of packed cells are large
+BATCH_BYTES = 64 << 20
+
+
+def ship(spark: SparkSession) -> None:
+    """Python workers get the folder of this package on their path, and batches of bounded bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    env, here = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if here not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [here, env.get("PYTHONPATH")]))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; without one a local session gets a temporary folder, a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -92,17 +112,25 @@ def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
 
-def geojson(spark: SparkSession, path: str) -> DataFrame:
+def geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """``(crs, geometry_type, coordinates, properties)``: a row for each feature.
 
-    Coordinates stay JSON text, so that files that mix polygons and multi-polygons read alike; the
-    coordinate system is that of the file, or EPSG:4326.
+    Coordinates stay JSON text, so that files that mix geometry types read alike; ``vector.with_parts`` reads them.
+    The coordinate system is that of the file, or EPSG:4326. A file is one collection, or with ``lines`` has one
+    on each line, so that many tasks share a large file.
     """
-    files = spark.read.schema(GEOJSON).option("multiLine", True).json(path)
+    files = spark.read.schema(GEOJSON).option("multiLine", not lines).json(path)
     return files.select(F.coalesce("crs.properties.name", F.lit("EPSG:4326")).alias("crs"), F.explode("features").alias("f")).select(
         "crs", F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("coordinates"), F.col("f.properties").alias("properties"))
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read again: lineage ends there, and later steps don't repeat its work."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def inventory(cells: DataFrame, file: str | None = "file") -> DataFrame:
     """``(file, n_cells)`` of the files that cells came from: those that a column names, or with None those that Spark read."""
     name = F.col(file) if file else F.col("_metadata.file_name")
