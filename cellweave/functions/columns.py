@@ -24,6 +24,11 @@ def finite(v: Column) -> Column:
     return v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(math.inf))
 
 
+def sound(v: Column) -> Column:
+    """The value where it is finite, else null: what every statistic looks at."""
+    return F.when(finite(v), v)
+
+
 def share(cond: Column) -> Column:
     """Aggregate: the fraction (0 to 1) of valid cells for which cond holds; nulls leave the denominator."""
     return F.avg(cond.cast("double"))
@@ -33,11 +38,12 @@ QUANTILES = {"median": 0.5, "p05": 0.05, "p25": 0.25, "p75": 0.75, "p95": 0.95}
 
 
 def statistics(v: Column, names: tuple[str, ...], prefix: str = "", accuracy: int | None = None) -> list[Column]:
-    """Aggregates of one band by name, for one ``agg`` over one scan.
+    """Aggregates of one band's finite values by name, for one ``agg`` over one scan.
 
     All quantiles come from one aggregate: exact and interpolated, which holds each group's distinct values, or
     with an ``accuracy`` a sketch of bounded size whose ranks are off by at most one part in so many.
     """
+    v = sound(v)
     wanted = [n for n in names if n in QUANTILES]
     points = F.array(*[F.lit(QUANTILES[n]) for n in wanted])
     quantiles = F.percentile(v, points) if accuracy is None else F.percentile_approx(v, points, accuracy)
@@ -63,5 +69,6 @@ def unit_hash(text: Column) -> Column:
 
 
 def strata_of(v: Column, threshold: float = 5.0) -> Column:
-    """0 for none, 1 for some below the threshold, 2 from it on; null stays null."""
+    """0 for none, 1 for some below the threshold, 2 from it on; null where the value isn't finite."""
+    v = sound(v)
     return (v > 0).cast("int") + (v >= threshold).cast("int")

@@ -9,9 +9,8 @@ from cellweave.functions.columns import KM_PER_DEGREE, degrees_east, mercator, r
 from cellweave.operators import vector
 from cellweave.operators.prefix import cumulative
 
-#: so many regions are sent to every executor; more are joined by blocks of cells
+#: so many regions are sent to every executor; more are joined by quadtree squares
 FEW_REGIONS = 256
-BLOCK = 256
 
 
 def few_regions(aois: DataFrame, few: int = FEW_REGIONS) -> bool:
@@ -27,18 +26,38 @@ def sent_if_few(df: DataFrame, aois: DataFrame, few: int = FEW_REGIONS) -> DataF
 def zonal_join(cells: DataFrame, aois: DataFrame, scale: float = 1.0, few: int = FEW_REGIONS) -> DataFrame:
     """Cells with each region that holds their centre, in [minx, maxx) x [miny, maxy).
 
-    Few regions go to the executors; many are cut into blocks of BLOCK x BLOCK cells and meet the cells in
-    an equi-join on the block, so that no cell is compared with every region.
+    Few regions go to the executors. Many are covered by quadtree squares (``cover``), and cells meet the squares
+    that hold them in an equi-join, one for each level that some region has, so that no cell is compared with
+    every region and no region is cut into more than some hundred squares.
     """
     x, y = (F.col("col") + 0.5) * scale, (F.col("row") + 0.5) * scale
     inside = (x >= F.col("minx")) & (x < F.col("maxx")) & (y >= F.col("miny")) & (y < F.col("maxy"))
     if few_regions(aois, few):
         return cells.join(F.broadcast(aois), inside)
-    size = BLOCK * scale
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))
-    laid = aois.where("minx <= maxx and miny <= maxy").withColumn("bx", F.explode(span("minx", "maxx"))).withColumn("by", F.explode(span("miny", "maxy")))
-    held = cells.withColumn("bx", F.floor(x / size)).withColumn("by", F.floor(y / size))
-    return held.join(laid, ["bx", "by"]).where(inside).drop("bx", "by")
+    laid = cover(aois, scale)
+    # numbers of quadtree levels: some dozens at most
+    levels = [r[0] for r in laid.select("level").distinct().collect()]
+    held = cells.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))) if levels else cells.withColumn("level", F.lit(0)).limit(0)
+    held = held.withColumns({"qx": F.expr("shiftright(cast(col as bigint), level)"), "qy": F.expr("shiftright(cast(row as bigint), level)")})
+    return held.join(laid, ["level", "qx", "qy"]).where(inside).drop("level", "qx", "qy")
+
+
+def cover(aois: DataFrame, scale: float = 1.0, side: int = 64) -> DataFrame:
+    """Regions with the quadtree squares that cover them: ``level``, ``qx``, ``qy``, of 2^level cells a side.
+
+    The lowest level is that at which the region is at most ``side`` squares long. Squares of that level that the
+    region cuts are kept; what lies inside is covered by the largest squares that fit, so a region of any size has
+    fewer than 16 * side squares.
+    """
+    first, last = lambda c: F.ceil(F.col(c) / scale - 0.5).cast("long"), lambda c: F.ceil(F.col(c) / scale - 0.5).cast("long") - 1
+    boxed = aois.withColumns({"x0": first("minx"), "x1": last("maxx"), "y0": first("miny"), "y1": last("maxy")}).where("x0 <= x1 and y0 <= y1")
+    base = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1) / side)).cast("int"))
+    laid = boxed.withColumn("base", base).withColumn("level", F.explode(F.sequence(F.col("base"), F.col("base") + 7)))
+    for axis in "xy":
+        laid = laid.withColumn(f"q{axis}", F.explode(F.expr(f"sequence(shiftright({axis}0, level), shiftright({axis}1, level))")))
+    within = lambda up: " and ".join(f"shiftleft(shiftright(q{a}, {up}), level + {up}) >= {a}0 and shiftleft(shiftright(q{a}, {up}) + 1, level + {up}) - 1 <= {a}1" for a in "xy")
+    kept = laid.where(F.expr(f"({within(0)}) and not (level < base + 7 and {within(1)}) or level = base and not ({within(0)})"))
+    return kept.drop("base", "x0", "x1", "y0", "y1")
 
 
 def zonal_overlap(cells: DataFrame, aois: DataFrame, scale: float = 1.0, few: int = FEW_REGIONS) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.functions.columns import finite, rounded, statistics
+from cellweave.functions.columns import finite, rounded, sound, statistics
+from cellweave.operators.quantiles import with_quantiles
 from cellweave.operators.zonal import zonal
 
 NODATA = (-32768.0, -9999.0)
@@ -24,8 +25,8 @@ COVER, BARE = ["AFG", "PFG", "SHR", "TRE", "LTR"], ["BG", "BGR"]
 
 
 def range_coverage(cells: DataFrame, band: str, aois: DataFrame, lo: float = 0.0, hi: float = 100.0) -> DataFrame:
-    """Valid cells and those out of range by region; 0 where a region has none."""
-    v = F.col(band)
+    """Finite cells and those out of range by region; 0 where a region has none."""
+    v = sound(F.col(band))
     made = zonal(cells, aois, [F.count(v).alias("n_valid"), F.count_if(v < lo).alias("n_below"), F.count_if(v > hi).alias("n_above")])
     return made.na.fill(0, ["n_valid", "n_below", "n_above"])
 
@@ -46,10 +47,11 @@ def cover_bands(columns: list[str]) -> list[str]:
 
 def band_sum(cells: DataFrame, aois: DataFrame, bands: list[str] | None = None) -> DataFrame:
     """``(aoi, sum_mean, sum_min, sum_max, bands_used)``: the sum of the bands, by default of ``cover_bands``, by region;
-    a cell without any valid band has no sum. ``bands_used`` is an array of names."""
+    a band that isn't finite counts 0, a cell without any finite band has no sum. ``bands_used`` is an array of names."""
     names = cover_bands(cells.columns) if bands is None else list(bands)
-    total = sum((F.coalesce(F.col(b), F.lit(0.0)) for b in names), F.lit(0.0))
-    v = F.when(F.coalesce(*names).isNotNull(), total)
+    bands = [sound(F.col(b)) for b in names]
+    total = sum((F.coalesce(b, F.lit(0.0)) for b in bands), F.lit(0.0))
+    v = F.when(F.coalesce(*bands).isNotNull(), total)
     made = zonal(cells, aois, [rounded(F.avg(v)).alias("sum_mean"), rounded(F.min(v)).alias("sum_min"), rounded(F.max(v)).alias("sum_max")])
     return made.withColumn("bands_used", F.array(*map(F.lit, names)))
 
@@ -63,16 +65,26 @@ def resolve_bands(bands: DataFrame) -> DataFrame:
 
 
 def usable_files(cells: DataFrame, nodata: float = NODATA[0]) -> DataFrame:
-    return cells.groupBy("file").agg(F.count_if(F.col("v") != nodata).alias("n_usable")).where("n_usable > 0")
+    """Files with finite values besides nodata, and how many."""
+    return cells.groupBy("file").agg(F.count_if(sound(F.col("v")) != nodata).alias("n_usable")).where("n_usable > 0")
 
 
 def without_nodata(cells: DataFrame, nodata: tuple[float, ...] = NODATA) -> DataFrame:
     return cells.where(F.col("v").isNotNull() & ~F.col("v").isin(*nodata))
 
 
-def nodata_stats(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Minimum, median, maximum and the count above 1 of what is valid."""
-    return without_nodata(cells).groupBy(*keys).agg(F.min("v").alias("min_v"), rounded(F.median("v")).alias("median_v"), F.max("v").alias("max_v"), F.count_if(F.col("v") > 1).alias("n_above_one"))
+def nodata_stats(cells: DataFrame, keys: list[str], accuracy: int | None = None) -> DataFrame:
+    """Minimum, median, maximum and the count above 1 of what is valid and finite.
+
+    The median is exact, by rounds of bins, or with an ``accuracy`` from a sketch; neither holds a group's values.
+    """
+    held = finite_only(without_nodata(cells), "v")
+    plain = [F.min("v").alias("min_v"), F.max("v").alias("max_v"), F.count_if(F.col("v") > 1).alias("n_above_one")]
+    if accuracy is not None:
+        made = held.groupBy(*keys).agg(*plain, rounded(F.percentile_approx("v", 0.5, accuracy)).alias("median_v"))
+    else:
+        made = with_quantiles(held, held.groupBy(*keys).agg(*plain), "v", {"median_v": 0.5}, keys)
+    return made.select(*keys, "min_v", "median_v", "max_v", "n_above_one")
 
 
 def nodata_fill(cells: DataFrame, fill: float = 0.0, nodata: tuple[float, ...] = NODATA) -> DataFrame:
@@ -85,11 +97,19 @@ def finite_only(df: DataFrame, v: str) -> DataFrame:
     return df.where(finite(F.col(v)))
 
 
-def describe(df: DataFrame, v: str) -> DataFrame:
-    """count, mean, sample deviation, minimum, quartiles and maximum of the finite values: exact, and numbers."""
-    c = F.col(v)
-    q = lambda p: rounded(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))[round(4 * p) - 1])
-    return finite_only(df, v).agg(F.count(c).alias("count"), rounded(F.avg(c)).alias("mean"), rounded(F.stddev_samp(c)).alias("std"), F.min(c).alias("min"), q(0.25).alias("p25"), q(0.5).alias("p50"), q(0.75).alias("p75"), F.max(c).alias("max"))
+def describe(df: DataFrame, v: str, accuracy: int | None = None) -> DataFrame:
+    """count, mean, sample deviation, minimum, quartiles and maximum of the finite values, as numbers.
+
+    Quartiles are exact, by rounds of bins, or with an ``accuracy`` from a sketch; neither holds the column's values.
+    """
+    c, points = F.col(v), {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    held = finite_only(df, v).withColumn("all", F.lit(1))
+    plain = [F.count(c).alias("count"), rounded(F.avg(c)).alias("mean"), rounded(F.stddev_samp(c)).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")]
+    if accuracy is not None:
+        made = held.agg(*plain, *[rounded(F.percentile_approx(c, p, accuracy)).alias(k) for k, p in points.items()])
+    else:
+        made = with_quantiles(held, held.agg(*plain).withColumn("all", F.lit(1)), v, points, ["all"])
+    return made.select("count", "mean", "std", "min", *points, "max")
 
 
 def elevation(cloud: DataFrame) -> DataFrame:

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cellweave.functions.columns import finite, statistics, strata_of, unit_hash
+from cellweave.functions.columns import QUANTILES, finite, statistics, strata_of, unit_hash
 from cellweave.operators.grid import few_regions, sent_if_few, zonal_join
+from cellweave.operators.quantiles import with_quantiles
+from cellweave.sources.tables import written
 
 
 def strata(cells: DataFrame, v: str, threshold: float = 5.0) -> DataFrame:
@@ -50,7 +52,17 @@ def at_points(points: DataFrame, cells: DataFrame, bands: list[str]) -> DataFram
     return points.join(cells.select("col", "row", *bands), ["col", "row"]).dropna("any", subset=bands)
 
 
-def sample_summary(samples: DataFrame, v: str, aois: DataFrame) -> DataFrame:
-    """Statistics of the finite sampled values by region; regions without any have n = 0 and nulls."""
-    made = samples.where(finite(F.col(v))).groupBy("aoi").agg(*statistics(F.col(v), ("count", "mean", "median", "p05", "p25", "p75", "p95", "min", "max", "pct_gt0")))
-    return aois.select("aoi").join(made, "aoi", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+def sample_summary(samples: DataFrame, v: str, aois: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """Statistics of the finite sampled values by region; regions without any have n = 0 and nulls.
+
+    Quantiles are exact, by rounds of bins, or with an ``accuracy`` from sketches; neither holds a region's values.
+    """
+    held = samples.where(finite(F.col(v)))
+    names = ("count", "mean", "median", "p05", "p25", "p75", "p95", "min", "max", "pct_gt0")
+    if accuracy is not None:
+        made = held.groupBy("aoi").agg(*statistics(F.col(v), names, accuracy=accuracy))
+    else:
+        points = {n: QUANTILES[n] for n in names if n in QUANTILES}
+        held = written(held.select("aoi", v), "samples")
+        made = with_quantiles(held, held.groupBy("aoi").agg(*statistics(F.col(v), tuple(n for n in names if n not in points))), v, points, ["aoi"])
+    return aois.select("aoi").join(made.select("aoi", *names), "aoi", "left").withColumn("count", F.coalesce("count", F.lit(0)))

@@ -90,9 +90,10 @@ class Comparison(NamedTuple):
     samples: DataFrame
 
 
-def compare(cells: DataFrame, v: str, aois: DataFrame, n: int = 5000, seed: int = 42, psi_bins: int = 20, hist_bins: int = 50, hist_range: tuple[float, float] = (0.0, 100.0)) -> Comparison:
-    """One band's distribution across regions, from n random points in each: summary, shift table, histogram and the samples."""
-    samples = sampling.at_points(sampling.random_points(aois, n, seed), cells, [v]).where(finite(F.col(v)))
+def compare(cells: DataFrame, v: str, aois: DataFrame, n: int = 5000, seed: int = 42, psi_bins: int = 20, hist_bins: int = 50, hist_range: tuple[float, float] = (0.0, 100.0), scale: float = 1.0) -> Comparison:
+    """One band's distribution across regions, from n random points in each: summary, shift table, histogram
+    (of every region) and the samples. ``scale`` is the cells' size in the regions' units."""
+    samples = sampling.at_points(sampling.random_points(aois, n, seed, scale), cells, [v]).where(finite(F.col(v)))
     return Comparison(
         sampling.sample_summary(samples, v, aois), shift_table(samples, v, aois, psi_bins),
-        zonal.histogram(samples, v, *hist_range, hist_bins, closed=True, keys=("aoi",)), samples)
+        zonal.histogram(samples, v, *hist_range, hist_bins, closed=True, keys=("aoi",), groups=aois), samples)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.functions.columns import rounded
+from cellweave.functions.columns import rounded, sound
 from cellweave.operators.grid import best_tile, sent_if_few
 from cellweave.operators.proximity import with_distances
 
@@ -39,16 +39,18 @@ def from_best_tile(pixels: DataFrame, best: DataFrame, aois: DataFrame, bands: l
 
 
 def mean_std(v: Column) -> list[Column]:
+    v = sound(v)
     return [rounded(F.avg(v)).alias("mean"), rounded(F.stddev_pop(v)).alias("std")]
 
 
 def trend(v: Column) -> Column:
-    """Slope by year; null for a cell of one year."""
+    """Slope by year of the finite values; null for a cell of one year."""
+    v = sound(v)
     return rounded(F.regr_slope(v, F.when(v.isNotNull(), F.col("year").cast("double")))).alias("trend")
 
 
 def at(v: Column, year: int) -> Column:
-    return F.max(F.when(F.col("year") == year, v))
+    return F.max(F.when(F.col("year") == year, sound(v)))
 
 
 def change(v: Column, first: int, last: int) -> Column:
@@ -57,8 +59,9 @@ def change(v: Column, first: int, last: int) -> Column:
 
 
 def thresholds(df: DataFrame, v: str, levels: tuple[float, ...] = (5, 10)) -> DataFrame:
-    """Masks v >= level, and their complements; null stays null."""
-    return df.withColumns({f"ge{int(t)}": F.col(v) >= t for t in levels} | {f"lt{int(t)}": ~(F.col(v) >= t) for t in levels})
+    """Masks v >= level, and their complements; null where v isn't finite."""
+    c = sound(F.col(v))
+    return df.withColumns({f"ge{int(t)}": c >= t for t in levels} | {f"lt{int(t)}": ~(c >= t) for t in levels})
 
 
 def change_cube(years: DataFrame, v: str, first: int, last: int, levels: tuple[float, ...] = (5, 10), keys: list[str] = CELL) -> DataFrame:

@@ -288,7 +288,7 @@ def report_long(spark, d):
 
 def _hist(source: str, lo: str, hi: str, n: int, closed: bool, key: str = "") -> str:
     k, on = (f"{key}, ", f"h.{key} = b.{key} and ") if key else ("", "")
-    keys = f"(select distinct {key} from {source}) k, " if key else ""
+    keys = f"(select distinct {key} from aois) k, " if key else ""
     return f"""select {'b.' + k if key else ''}b.bin, round({lo} + b.bin * (({hi}) - ({lo})) / {n}.0::double, 6) as bin_left, round({lo} + (b.bin + 0.5::double) * (({hi}) - ({lo})) / {n}.0::double, 6) as bin_center, coalesce(h.n, 0) as count
 from (select {k}cast(i as int) as bin from {keys}range({n}) r(i)) b left join
 (select {k}least(cast(floor((shr - ({lo})) / ((({hi}) - ({lo})) / {n}.0::double)) as int), {n - 1}) as bin, count(*) as n from {source} where shr >= {lo} and shr {'<=' if closed else '<'} {hi} group by all) h on {on}h.bin = b.bin"""
@@ -301,7 +301,7 @@ def hist_fixed_halfopen(spark, d):
 
 @query(_hist("zone", "0.0::double", "100.0::double", 50, True, "aoi"))
 def hist_fixed_closed(spark, d):
-    return zonal.histogram(grid.zonal_join(cells(spark, d, bands=["shr"]), aois(spark, d)), "shr", 0.0, 100.0, 50, True, ("aoi",))
+    return zonal.histogram(grid.zonal_join(cells(spark, d, bands=["shr"]), aois(spark, d)), "shr", 0.0, 100.0, 50, True, ("aoi",), aois(spark, d))
 
 
 @query(_hist("(select l_extendedprice as shr from pix)", "(select min(l_extendedprice) from pix)", "(select max(l_extendedprice) from pix)", 100, True))
