@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.functions.columns import finite, rounded, sound, statistics
 from cellweave.operators.quantiles import with_quantiles
 from cellweave.operators.zonal import zonal
+from cellweave.sources import tables
 
 NODATA = (-32768.0, -9999.0)
 #: fixed values: the six cover types in order, and the lower-case name parts that mean each
@@ -69,6 +70,23 @@ def usable_files(cells: DataFrame, nodata: float = NODATA[0]) -> DataFrame:
     return cells.groupBy("file").agg(F.count_if(sound(F.col("v")) != nodata).alias("n_usable")).where("n_usable > 0")
 
 
+def usable_by_footers(spark: SparkSession, path: str, nodata: float = NODATA[0], key: str = "file") -> DataFrame:
+    """``(file, usable)`` of a collection in folders by file, from footers where they tell.
+
+    A file whose least or greatest value is another number than nodata is usable, one whose bounds both are nodata is not;
+    rows are read only of files whose footers state no number.
+    """
+    bounds = tables.footers(spark, path, [key])
+    told = F.when(finite(F.col("lo")) & finite(F.col("hi")), (F.col("lo") != nodata) | (F.col("hi") != nodata))
+    known = tables.written(bounds.select(key, told.alias("usable")), "footers")
+    if known.where("usable is null").isEmpty():
+        return known
+    open_files = known.where("usable is null").select(F.col(key).alias("of"))
+    rows = spark.read.parquet(path).join(open_files, F.col(key) == F.col("of"), "left_semi")
+    read = rows.groupBy(key).agg((F.count_if(sound(F.col("v")) != nodata) > 0).alias("usable"))
+    return known.where("usable is not null").unionByName(read)
+
+
 def without_nodata(cells: DataFrame, nodata: tuple[float, ...] = NODATA) -> DataFrame:
     return cells.where(F.col("v").isNotNull() & ~F.col("v").isin(*nodata))
 

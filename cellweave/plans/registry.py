@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.functions.columns import finite, rounded
-from cellweave.operators import grid, qc, sampling, shift, temporal, vector, zonal
+from cellweave.operators import grid, pyramid, qc, resample, sampling, shift, temporal, vector, zonal
 from cellweave.sources import tables
 from cellweave.sources.tables import VIEWS, table, view
 
@@ -87,6 +87,15 @@ def scan_partitioned(spark, d):
     return tables.read_cells(spark, path, YEAR).select("tile_id", "year", "col", "row", F.col("shr").alias("cover"))
 
 
+@query("""select c.col, c.row, c.shr from cells c where exists (select * from aois a where a.maxx > a.minx and a.maxy > a.miny
+and floor(c.col / 8) between floor(a.minx / 8) and floor(a.maxx / 8) and floor(c.row / 8) between floor(a.miny / 8) and floor(a.maxy / 8))""")
+def scan_by_region(spark, d):
+    """The year's cells from a collection in folders by square, of which those of the regions' squares are read."""
+    path = f"{tables.shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+    tables.write_cells(cells(spark, d, bands=["shr"]), path, area=8)
+    return tables.cells_near(tables.read_cells(spark, path, YEAR), aois(spark, d), 8).select("col", "row", "shr")
+
+
 @query("select file, col, row, v from raster_cells where band = 1")
 def raster_band_scan(spark, d):
     return view(spark, d, "raster_cells").where("band = 1").select("file", "col", "row", "v")
@@ -428,6 +437,14 @@ def usable_files(spark, d):
     return qc.usable_files(view(spark, d, "raster_cells"))
 
 
+@query("select file, count(*) filter (where v <> -32768) > 0 as usable from raster_cells group by file")
+def usable_by_footers(spark, d):
+    """A collection in folders by file: which ones hold data, as their footers tell."""
+    path = f"{tables.shared_folder(spark)}/rasters-{uuid.uuid4().hex}"
+    view(spark, d, "raster_cells").select("file", "col", "row", F.col("v").cast("double").alias("v")).repartition("file").write.partitionBy("file").parquet(path)
+    return qc.usable_by_footers(spark, path)
+
+
 @query("select file, min(v) as min_v, round(median(v), 6) as median_v, max(v) as max_v, count(*) filter (where v > 1) as n_above_one from raster_cells where v not in (-32768, -9999) group by file")
 def nodata_stats(spark, d):
     return qc.nodata_stats(view(spark, d, "raster_cells"), ["file"])
@@ -561,6 +578,24 @@ def coarsen_to_budget(spark, d):
     return grid.coarsen_to_budget(cells(spark, d, bands=["shr"]), "shr", 150)
 
 
+@query("select cast(col >> k as int) as col, cast(row >> k as int) as row, round(avg(shr), 6) as shr, cast(1 << k as int) as factor from cells, (select min(k) as k from (select k, count(distinct (col >> k, row >> k)) as n from cells, range(12) r(k) where shr is not null group by k) where n <= 150) where shr is not null group by all")
+def overview_within_budget(spark, d):
+    """The finest overview of at most 150 blocks."""
+    return pyramid.Pyramid.build(cells(spark, d, bands=["shr"]), "shr").within(150, "shr")
+
+
+@query(f"""select t.col, t.row, b.shr, b.afg, s.tre, s.ltr from {_COARSE} t join (
+select col, row, round(sum(w * shr) / nullif(sum(case when shr is not null then w end), 0), 6) as shr, round(sum(w * afg) / nullif(sum(case when afg is not null then w end), 0), 6) as afg from (
+select t.col, t.row, s.shr, s.afg, (1 - abs(t.fx - (t.c0 + i))) * (1 - abs(t.fy - (t.r0 + j))) as w
+from (select col, row, (col + 0.5::double) * 2 - 0.5::double as fx, (row + 0.5::double) * 2 - 0.5::double as fy, cast(floor((col + 0.5) * 2 - 0.5) as int) as c0, cast(floor((row + 0.5) * 2 - 0.5) as int) as r0 from {_COARSE}) t,
+range(2) x(i), range(2) y(j) left join cells s on s.col = t.c0 + i and s.row = t.r0 + j) group by col, row) b on b.col = t.col and b.row = t.row
+left join cells s on s.col = floor((t.col + 0.5) * 2) and s.row = floor((t.row + 0.5) * 2)""")
+def resample_bands(spark, d):
+    """Two continuous and two categorical bands on a grid half as fine, together."""
+    source = tables.written(cells(spark, d), "cells")
+    return resample.resample(source, ["shr", "afg"], ["tre", "ltr"], grid.coarse_grid(source, 2), 2.0, block=16)
+
+
 _LAT = "(miny + maxy) / 2"
 _LON = "(minx + maxx) / 2"
 

@@ -7,7 +7,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,11 +88,32 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def write_cells(cells: DataFrame, path: str, block: int = 256) -> None:
-    """A collection of yearly cells as Parquet: a folder for each year, in it cells in the order of their blocks, so that
-    readers prune years by folder and regions by the row groups' ranges of col and row."""
-    laid = cells.withColumns({"bx": F.expr(f"col div {block}"), "by": F.expr(f"row div {block}")})
-    laid.repartitionByRange("year", "bx", "by").sortWithinPartitions("year", "bx", "by").drop("bx", "by").write.mode("overwrite").partitionBy("year").parquet(path)
+#: cells a side of the blocks in a collection's folders
+AREA = 4096
+#: so many squares of regions are sent to every executor
+SQUARES = 1 << 20
+
+
+def morton(bx: Column, by: Column, bits: int = 20) -> Column:
+    """Both numbers' bits in turn: blocks near each other mostly have numbers near each other. Negative numbers take part by their lowest bits."""
+    spread = lambda c, up: F.array(*[F.shiftleft(F.shiftright(c.cast("long"), k).bitwiseAND(F.lit(1).cast("long")), 2 * k + up) for k in range(bits)])
+    return F.aggregate(F.concat(spread(bx, 0), spread(by, 1)), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+
+
+def _area(col: Column, row: Column, area: int) -> Column:
+    return morton(F.floor(col / area), F.floor(row / area))
+
+
+def write_cells(cells: DataFrame, path: str, block: int = 256, area: int | None = None) -> None:
+    """A collection of yearly cells as Parquet: a folder for each year, in it cells in the order of their blocks.
+
+    Readers prune years by folder and regions by the row groups' ranges of col and row. With ``area``, a year's
+    folder has one for each square of so many cells a side (``area``, its Morton number), which regions prune too.
+    """
+    folders = ["year"] if area is None else ["year", "area"]
+    laid = cells if area is None else cells.withColumn("area", _area(F.col("col"), F.col("row"), area))
+    laid = laid.withColumns({"bx": F.expr(f"col div {block}"), "by": F.expr(f"row div {block}")})
+    laid.repartitionByRange(*folders, "bx", "by").sortWithinPartitions(*folders, "bx", "by").drop("bx", "by").write.mode("overwrite").partitionBy(*folders).parquet(path)
 
 
 def read_cells(spark: SparkSession, path: str, year: int | None = None) -> DataFrame:
@@ -100,6 +122,45 @@ def read_cells(spark: SparkSession, path: str, year: int | None = None) -> DataF
     return cells if year is None else cells.where(F.col("year") == year)
 
 
+def cells_near(cells: DataFrame, aois: DataFrame, area: int = AREA, scale: float = 1.0) -> DataFrame:
+    """The cells of a collection written with ``area`` that lie in a square of some region.
+
+    The regions' squares prune the collection's folders when the query runs; the plan has no list of them.
+    """
+    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / scale / area), F.floor(F.col(hi) / scale / area))
+    squares = aois.where("minx < maxx and miny < maxy").select(F.explode(span("minx", "maxx")).alias("ax"), "miny", "maxy").select("ax", F.explode(span("miny", "maxy")).alias("ay"))
+    squares = squares.select(morton(F.col("ax"), F.col("ay")).alias("area")).distinct()
+    # Spark prunes by what it broadcasts; past that size the join alone thins the cells
+    sent = F.broadcast(squares) if squares.limit(SQUARES + 1).count() <= SQUARES else squares
+    return cells.join(sent, "area", "left_semi")
+
+
+def footer_bounds(spark: SparkSession, path: str, keys: list[str], v: str = "v") -> DataFrame:
+    """The aggregation that ``footers`` runs."""
+    return spark.read.parquet(path).groupBy(*keys).agg(F.count("*").alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+
+
+def footers(spark: SparkSession, path: str, keys: list[str], v: str = "v") -> DataFrame:
+    """``(keys, n, lo, hi)`` of a collection in folders by ``keys``: rows, least and greatest value, as the files' footers have them.
+
+    The aggregation is pushed into the Parquet reader, which reads no rows. Footers state no bounds for values that are
+    all null or hold NaN; with such a file in it, a collection's values are read instead.
+    """
+    conf, was = spark.conf, {}
+    for name, value in (("spark.sql.sources.useV1SourceList", "avro,csv,json,kafka,orc,text"), ("spark.sql.parquet.aggregatePushdown", "true")):
+        was[name] = conf.get(name)
+        conf.set(name, value)
+    try:
+        return written(footer_bounds(spark, path, keys, v), "footers")  # while the settings hold
+    except Py4JJavaError as e:
+        if "No min/max found" not in str(e):
+            raise
+    finally:
+        for name, value in was.items():
+            conf.set(name, value)
+    return footer_bounds(spark, path, keys, v)
+
+
 def pix_of(spark: SparkSession, sf_dir: str, first: int, last: int) -> DataFrame:
     """The cells of some years; the range of dates reaches the Parquet scan."""
     dated = F.col("l_shipdate").between(F.lit(f"{first}-01-01").cast("timestamp"), F.lit(f"{last}-12-31 23:59:59.999999").cast("timestamp"))

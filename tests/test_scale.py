@@ -7,10 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellweave.operators import grid, qc, sampling, shift, temporal, zonal
+from cellweave.operators import grid, pyramid, qc, resample, sampling, shift, temporal, zonal
 from cellweave.operators.prefix import cumulative
 from cellweave.operators.proximity import block_distances, with_distances
 from cellweave.operators.quantiles import exact_quantiles
+from cellweave.sources import tables
 
 BOX = "aoi string, pos int, minx double, miny double, maxx double, maxy double"
 
@@ -169,3 +170,100 @@ def test_comparison_over_cells_of_any_size(spark):
     aois = spark.createDataFrame([("a", 0, 0.0, 0.0, 50.0, 100.0), ("b", 1, 50.0, 0.0, 100.0, 100.0)], BOX)
     made = shift.compare(cells, "v", aois, n=400, scale=10.0)
     assert made.shift.first().wasserstein == pytest.approx(5.0, abs=0.3) and made.samples.where("aoi = 'a' and v >= 5").isEmpty()
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def files_read(spark, df):
+    """Files that the executed scan of a collection read."""
+    df.collect()
+    found, left = 0, [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        metrics = node.metrics()
+        if metrics.contains("numFiles"):
+            found += metrics.apply("numFiles").value()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            left.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            left.append(node.plan())
+        children = node.children()
+        left += [children.apply(k) for k in range(children.size())]
+    return found
+
+
+def test_regions_prune_a_collections_folders(spark, tmp_path):
+    cells = spark.range(64 * 64).select((F.col("id") % 64 - 16).cast("int").alias("col"), F.floor(F.col("id") / 64).cast("int").alias("row"), F.lit(2001).alias("year"), F.col("id").cast("double").alias("v"))
+    tables.write_cells(cells, f"file://{tmp_path}/cells", area=8)
+    held = tables.read_cells(spark, f"file://{tmp_path}/cells", 2001)
+    made = {}
+    for name, box in {"small": (1.0, 1.0, 6.0, 6.0), "half": (-16.0, 0.0, 48.0, 31.0), "all": (-16.0, 0.0, 47.0, 63.0)}.items():
+        aois = spark.createDataFrame([(name, 0, *box)], BOX)
+        near = tables.cells_near(held, aois, 8)
+        assert "dynamicpruning" in plan(near)
+        made[name] = files_read(spark, near)
+        x0, y0, x1, y1 = (math.floor(v / 8) for v in box)
+        assert near.count() == (min(x1, 5) - x0 + 1) * (y1 - y0 + 1) * 64
+    assert made["small"] == 1 and made["small"] < made["half"] < made["all"]
+
+
+def test_morton_numbers_take_bits_in_turn(spark):
+    df = spark.createDataFrame([(x, y) for x in range(4) for y in range(4)], "x int, y int")
+    got = {(r.x, r.y): r.m for r in df.select("x", "y", tables.morton(F.col("x"), F.col("y")).alias("m")).collect()}
+    assert got == {(x, y): (x & 1) | (y & 1) << 1 | (x >> 1) << 2 | (y >> 1) << 3 for x in range(4) for y in range(4)}
+
+
+def test_footers_answer_without_rows(spark, tmp_path):
+    rows = [("all", -32768.0)] * 3 + [("some", -32768.0), ("some", 4.0)] + [("full", float(k)) for k in range(9)] + [("nan", math.nan), ("nan", -32768.0)] + [("none", None)] + [("inf", math.inf)]
+    path = f"file://{tmp_path}/rasters"
+    spark.createDataFrame(rows, "file string, v double").repartition(3, "file").write.partitionBy("file").parquet(path)
+    names = ("spark.sql.sources.useV1SourceList", "spark.sql.parquet.aggregatePushdown")
+    before = [spark.conf.get(n) for n in names]
+    got = {r.file: (r.n, r.lo, r.hi) for r in tables.footers(spark, path, ["file"]).collect()}
+    assert got["all"] == (3, -32768.0, -32768.0) and got["full"] == (9, 0.0, 8.0) and got["none"] == (1, None, None)
+    told = spark.read.parquet(path).where("file in ('all', 'some', 'full')")
+    told.write.partitionBy("file").parquet(f"{path}-told")
+    assert {r.file: r.hi for r in tables.footers(spark, f"{path}-told", ["file"]).collect()} == {"all": -32768.0, "some": 4.0, "full": 8.0}
+    assert [spark.conf.get(n) for n in names] == before
+    try:
+        spark.conf.set(names[0], "csv"), spark.conf.set(names[1], "true")
+        assert "PushedAggregation: [COUNT(*), MIN(v), MAX(v)]" in plan(tables.footer_bounds(spark, path, ["file"]))
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)
+    assert {r.file: r.usable for r in qc.usable_by_footers(spark, path).collect()} == {"all": False, "some": True, "full": True, "nan": False, "none": False, "inf": False}
+
+
+def test_overviews_are_those_of_the_base(spark):
+    r = random.Random(12)
+    vs = {(r.randrange(-40, 90), r.randrange(-20, 70)): r.choice([None, math.nan, r.uniform(0, 9)]) for _ in range(900)}
+    cells = spark.createDataFrame([(*k, v) for k, v in vs.items()], "col int, row int, v double")
+    made = pyramid.Pyramid.build(cells, "v")
+    fine = {k: v for k, v in vs.items() if v is not None and math.isfinite(v)}
+    for k in range(len(made.levels)):
+        blocks = {}
+        for (c, w), v in fine.items():
+            blocks.setdefault((c >> k, w >> k), []).append(v)
+        assert made.counts[k] == len(blocks)
+        assert {(x.col, x.row): x.v for x in made.level(k).collect()} == {p: pytest.approx(sum(b) / len(b), abs=1e-5) for p, b in blocks.items()}
+    within = made.within(100)
+    assert within.count() <= 100 < made.counts[made.counts.index(within.count()) - 1] and within.first().factor == 1 << made.counts.index(within.count())
+    assert "level-" in "".join(within.inputFiles()) and pyramid.Pyramid.build(cells.limit(0), "v").within(5).count() == 0
+
+
+def test_bands_are_resampled_together(spark):
+    r = random.Random(13)
+    made = {(c, w): (r.choice([None, math.nan, r.uniform(0, 50)]), r.uniform(-5, 5), r.choice(["a", "b", None])) for c in range(-20, 40) for w in range(-9, 30) if r.random() < 0.8}
+    cells = spark.createDataFrame([(*k, *v) for k, v in made.items()], "col int, row int, v double, u double, kind string")
+    for ratio in (2.0, 0.4):
+        target = spark.createDataFrame([(c, w) for c in range(-12, 25) for w in range(-6, 20)], "col int, row int")
+        got = {(x.col, x.row): x for x in resample.resample(cells, ["v", "u"], ["kind"], target, ratio, block=8).collect()}
+        assert len(got) == 37 * 26
+        a, b = ({(x.col, x.row): x[n] for x in grid.resample_bilinear(cells.where(F.col(n).isNotNull() & ~F.isnan(n)), n, target, ratio).collect()} for n in ("v", "u"))
+        for (c, w), x in got.items():
+            assert (x.v, x.u) == (a[c, w] if a[c, w] is None else pytest.approx(a[c, w], abs=2e-6), b[c, w] if b[c, w] is None else pytest.approx(b[c, w], abs=2e-6))
+            assert x.kind == made.get((math.floor((c + 0.5) * ratio), math.floor((w + 0.5) * ratio)), (0, 0, None))[2]
+    both = resample.cat(cells.select("col", "row", "v"), cells.select("col", "row", "kind", "v").limit(5))
+    assert both.columns == ["col", "row", "v", "kind"] and both.count() == len(made) and both.where("kind is not null").count() <= 5
