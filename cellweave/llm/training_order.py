@@ -2,7 +2,8 @@
 
 Texts are tokenised (byte-level BPE of a public vocabulary file, a parameter), closed with the end token and
 cut into sequences of ``LENGTH`` ids; the last one is padded with the end token. Sequences are numbered from
-0 in the order of files, and a keyed Feistel network with cycle-walking maps each number to its slot, a
+0 by the files' names, and in the order of rows within a file, however Spark splits and packs files for its tasks
+(rewritten files give a new order; rows that come from no file are numbered by partition), and a keyed Feistel network with cycle-walking maps each number to its slot, a
 bijection of 0 .. n-1 that no one needs to store. Slots are dealt to shards by range, and runs of neighbouring
 shards to tasks, which write one after the other: shard s holds the slots from s * PER_SHARD on, each of
 LENGTH * 2 bytes, so any slot's bytes are found by arithmetic and a reader resumes at any slot. op2 shuffles and
@@ -10,7 +11,7 @@ writes a quarter of the shards at a time. ``write_shards`` writes the files, and
 sequences' documents; a repeated task writes the same bytes again. op2 writes all shards and returns what it
 reads back from the files.
 
-Null and empty texts have no sequence. Repeated rows have sequences of their own. Null ids are kept.
+Null and empty texts have no sequence, an empty table makes no shard; a text of any length is read whole. Repeated rows have sequences of their own. Null ids are kept.
 Columns other than the id and the text aren't read. A vocabulary with ids beyond 16 bits is an error.
 """
 
@@ -87,20 +88,24 @@ def _encoder(path: str):
 
 
 def sequences(docs: DataFrame, length: int = LENGTH, path: str = VOCABULARY) -> DataFrame:
-    """``(part, first, doc_id, n_tokens, ids)``: a row for each text, ids as little-endian 16-bit numbers.
+    """``(file, start, part, first, doc_id, n_tokens, ids)``: a row for each text, ids as little-endian 16-bit numbers.
 
-    part is the input's partition, first the number of sequences in it before the row's own.
+    file and start name the stretch of a file that the row was read from, part the partition where there is no file;
+    first is the number of sequences in it before the row's own.
     """
 
     def run(batches):
         from pyspark import TaskContext
 
-        encode, part, done = _encoder(path).encode_ordinary, TaskContext.get().partitionId(), 0
+        encode, done, here, task = _encoder(path).encode_ordinary, 0, None, TaskContext.get().partitionId()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
                 ids, kept, blobs, n, first = b.column("doc_id").to_pylist(), [], [], [], []
+                stretch = list(zip(b.column("file").to_pylist(), b.column("start").to_pylist()))
                 for k, text in enumerate(b.column("text").to_pylist()):
+                    if stretch[k] != here:
+                        here, done = stretch[k], 0
                     if text:
                         x = np.array(encode(text) + [END], "<u2")
                         kept.append(k)
@@ -108,9 +113,13 @@ def sequences(docs: DataFrame, length: int = LENGTH, path: str = VOCABULARY) ->
                         blobs.append(x.tobytes())
                         first.append(done)
                         done += -(-len(x) // length)
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(kept), pa.int32()), pa.array(first, pa.int64()), pa.array([ids[k] for k in kept], pa.int64()), pa.array(n, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "first", "doc_id", "n_tokens", "ids"])
+                at_file = [stretch[k] for k in kept]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([f for f, _ in at_file], pa.string()), pa.array([s for _, s in at_file], pa.int64()), pa.array([0 if f else task for f, _ in at_file], pa.int32()), pa.array(first, pa.int64()),
+                    pa.array([ids[k] for k in kept], pa.int64()), pa.array(n, pa.int32()), pa.array(blobs, pa.binary())], names=["file", "start", "part", "first", "doc_id", "n_tokens", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "part int, first long, doc_id long, n_tokens int, ids binary")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.input_file_name().alias("file"), F.input_file_block_start().alias("start"))
+    return read.mapInArrow(run, "file string, start long, part int, first long, doc_id long, n_tokens int, ids binary")
 
 
 def tasks(shards: int) -> int:
@@ -118,18 +127,18 @@ def tasks(shards: int) -> int:
     return min(shards, max(TASKS, -(-shards // SHARD_RUN)))
 
 
-def hold(docs: DataFrame, scratch: Scratch, length: int = LENGTH, path: str = VOCABULARY) -> tuple[DataFrame, dict[int, int], int]:
-    """The written tokens, the sequences before each input partition, and the number of all sequences."""
-    held = scratch.write("tokens", sequences(docs, length, path), codec="zstd", level=9)
-    # one number for each input partition reaches the driver: how many sequences stand before it
+def hold(docs: DataFrame, scratch: Scratch, length: int = LENGTH, path: str = VOCABULARY) -> tuple[DataFrame, dict[tuple[str, int, int], int], int]:
+    """The written tokens, the sequences before each stretch of a file, and the number of all sequences."""
+    held = scratch.write("tokens", sequences(docs, length, path), codec="zstd", level=3)
+    # one number for each stretch that a task reads reaches the driver: how many sequences stand before it
     starts, n = {}, 0
-    for c in sorted(held.groupBy("part").agg(F.max(F.col("first") + F.ceil(F.col("n_tokens") / length)).alias("n")).collect()):
-        starts[c.part] = n
+    for c in sorted(held.groupBy("file", "start", "part").agg(F.max(F.col("first") + F.ceil(F.col("n_tokens") / length)).alias("n")).collect()):
+        starts[c.file, c.start, c.part] = n
         n += int(c.n)
     return held, starts, n
 
 
-def arrange(held: DataFrame, starts: dict[int, int], n: int, shards: range, key: int = 20_240_601, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
+def arrange(held: DataFrame, starts: dict[tuple[str, int, int], int], n: int, shards: range, key: int = 20_240_601, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
     """The sequences of a range of shards as ``training_order`` returns them; only these are shuffled."""
     known = held.sparkSession.sparkContext.broadcast(starts)
 
@@ -139,7 +148,7 @@ def arrange(held: DataFrame, starts: dict[int, int], n: int, shards: range, key:
             for a in range(0, batch.num_rows, 256):
                 b = batch.slice(a, 256)
                 n_tokens = b.column("n_tokens").to_numpy()
-                first = b.column("first").to_numpy() + np.array([start[p] for p in b.column("part").to_pylist()], np.int64)
+                first = b.column("first").to_numpy() + np.array([start[p] for p in zip(*(b.column(c).to_pylist() for c in ("file", "start", "part")))], np.int64)
                 count = -(-n_tokens // length)
                 row = np.repeat(np.arange(b.num_rows), count)
                 number = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
