@@ -2,7 +2,7 @@
 
 White space becomes the marker (one is put in front), every character that no piece covers becomes the
 pieces of its UTF-8 bytes, and of all segmentations the one of the highest summed log score is taken
-(the shorter last piece on ties). Decoding joins pieces and bytes, turns markers into spaces and takes the
+(on ties the one whose last piece is the longest). Decoding joins pieces and bytes, turns markers into spaces and takes the
 leading one away; encoding and decoding give back every text but for bytes that are no UTF-8.
 
 The pieces come from a public vocabulary file, which is a parameter. Its scores are merge ranks; a log score
@@ -10,7 +10,8 @@ is made of a rank by Zipf's law, log p = -log(rank + 2) - LOG_NORM, so that sums
 segmentations as a unigram model does. No piece runs from one word into the next marker, so a text is cut
 before each run of markers, and around newlines, without any loss, and each distinct part is solved once.
 
-Null texts stay null with 0 tokens; empty texts have none. Repeated rows are encoded alike. Other columns
+Null texts stay null with 0 tokens; empty texts have none, an empty table gives no rows. Texts of any length are
+encoded whole, in memory that grows with their longest part. Repeated rows are encoded alike. Other columns
 are kept in ``encode``; same-named ones are replaced.
 """
 
@@ -34,8 +35,8 @@ _NONE = -math.inf
 LOG_NORM = math.log(11.0)
 #: log score of a byte piece
 BYTE_SCORE = -25.0
-#: parts whose solution a task keeps, in either of two generations
-MEMO = 150_000
+#: bytes, about, of the parts whose solution a task keeps, in either of two generations; longer parts than this many characters aren't kept
+MEMO, LONGEST = 48 << 20, 64
 
 
 class DoubleArray:
@@ -123,6 +124,7 @@ class Encoder:
         self.cut = re.compile(rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if pieces.newline else rf"{MARK}*[^{MARK}]+|{MARK}+")
         self.young: dict[str, list[int]] = {}
         self.old: dict[str, list[int]] = {}
+        self.kept = 0
 
     def solve(self, part: bytes) -> list[int]:
         n = len(part)
@@ -170,11 +172,13 @@ class Encoder:
             ids = young.get(part)
             if ids is None:
                 ids = self.old.get(part) or self.solve(part.encode())
-                if len(young) >= MEMO:
-                    # parts that were used since the last change stay
-                    self.old, young = young, {}
-                    self.young = young
-                young[part] = ids
+                if len(part) <= LONGEST:
+                    self.kept += 200 + 4 * len(part) + 8 * len(ids)
+                    if self.kept > MEMO:
+                        # parts that were used since the last change stay
+                        self.old, young, self.kept = young, {}, 0
+                        self.young = young
+                    young[part] = ids
             out += ids
         return out
 
