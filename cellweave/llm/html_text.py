@@ -199,8 +199,10 @@ def main_text(page: str | None, chain: Chain) -> str:
 def train(pages: DataFrame, sample: int = SAMPLE, layouts: int = LAYOUTS, html: str = "html") -> Chain:
     """A chain from a bounded sample of pages that name their article."""
     page = F.col(html)
-    named = pages.select(page.alias("html")).where(F.lower(page).contains("<article") & (F.length(page) <= SHORT))
-    rows = named.withColumn("h", F.xxhash64("html")).orderBy("h").limit(sample).select("html").collect()
+    named = pages.select(page.alias("html")).where(F.lower(page).contains("<article") & (F.length(page) <= SHORT)).withColumn("h", F.xxhash64("html"))
+    # hashes first, so that tasks send numbers and not pages
+    least = [r.h for r in named.select("h").distinct().orderBy("h").limit(sample).collect()]
+    rows = named.where(F.col("h") <= least[-1]).dropDuplicates(["h"]).orderBy("h").select("html").collect() if least else []
     return fit(labelled([r.html for r in rows], layouts))
 
 
