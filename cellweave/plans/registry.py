@@ -88,12 +88,12 @@ def scan_partitioned(spark, d):
 
 
 @query("""select c.col, c.row, c.shr from cells c where exists (select * from aois a where a.maxx > a.minx and a.maxy > a.miny
-and floor(c.col / 8) between floor(a.minx / 8) and floor(a.maxx / 8) and floor(c.row / 8) between floor(a.miny / 8) and floor(a.maxy / 8))""")
+and floor(c.col / 16) between floor(a.minx / 16) and floor(a.maxx / 16) and floor(c.row / 16) between floor(a.miny / 16) and floor(a.maxy / 16))""")
 def scan_by_region(spark, d):
     """The year's cells from a collection in folders by square, of which those of the regions' squares are read."""
     path = f"{tables.shared_folder(spark)}/cells-{uuid.uuid4().hex}"
-    tables.write_cells(cells(spark, d, bands=["shr"]), path, area=8)
-    return tables.cells_near(tables.read_cells(spark, path, YEAR), aois(spark, d), 8).select("col", "row", "shr")
+    tables.write_cells(cells(spark, d, bands=["shr"]), path, area=16)
+    return tables.cells_near(tables.read_cells(spark, path, YEAR), aois(spark, d), 16).select("col", "row", "shr")
 
 
 @query("select file, col, row, v from raster_cells where band = 1")
