@@ -96,8 +96,9 @@ SQUARES = 1 << 20
 
 def morton(bx: Column, by: Column, bits: int = 20) -> Column:
     """Both numbers' bits in turn: blocks near each other mostly have numbers near each other. Negative numbers take part by their lowest bits."""
-    spread = lambda c, up: F.array(*[F.shiftleft(F.shiftright(c.cast("long"), k).bitwiseAND(F.lit(1).cast("long")), 2 * k + up) for k in range(bits)])
-    return F.aggregate(F.concat(spread(bx, 0), spread(by, 1)), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    # the binary digits of a number read in base four stand at every second place
+    spread = lambda c: F.conv(F.bin(c.cast("long").bitwiseAND(F.lit((1 << bits) - 1).cast("long"))), 4, 10).cast("long")
+    return spread(bx) + 2 * spread(by)
 
 
 def _area(col: Column, row: Column, area: int) -> Column:
