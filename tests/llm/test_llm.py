@@ -330,6 +330,43 @@ def test_edited_texts(spark, monkeypatch, size):
         assert x.near_next == order_minhash.likeness(order_minhash.signatures(t), order_minhash.signatures(after))
 
 
+def next_ones(rows):
+    """(doc_id, n_chars, edited hash, likeness to the next) of each row, in the order that the docstring states."""
+    order = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is None, -(x[0] or 0), hashlib.sha256(x[1].encode()).digest()))
+    out = []
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        out.append((i, len(t), hashlib.sha256(order_minhash.edit(t, after).encode()).hexdigest(), order_minhash.likeness(order_minhash.signatures(t), order_minhash.signatures(after))))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("seen", [50_000, 3])
+@pytest.mark.parametrize("size", [24 << 20, 400])
+def test_edited_texts_of_hot_ids(spark, monkeypatch, size, seen):
+    """A third without an id, a third of one id, repeated rows, and the ends of the range of ids."""
+    for name, v in (("RANGE_BYTES", size), ("SEEN", seen), ("TOGETHER", 4)):
+        monkeypatch.setattr(order_minhash, name, v)
+    r = random.Random(10)
+    text = lambda: " ".join(r.choices(WORDS, k=r.randrange(1, 20)))
+    rows = [(None, text()) for _ in range(60)] + [(7, text()) for _ in range(60)] + [(r.randrange(-50, 50), text()) for _ in range(40)]
+    rows += [(7, "the very same row again and again")] * 41 + [(None, None), (None, ""), (-(1 << 63), "least"), ((1 << 63) - 1, "greatest"), (-(1 << 63), "least")]
+    r.shuffle(rows)
+    got = order_minhash.edited_texts(docs(spark, [(i, t, "s") for i, t in rows])).select("doc_id", "n_chars", "edited_sha256", "near_next").collect()
+    assert sorted(map(tuple, got), key=repr) == next_ones(rows)
+
+
+def test_hot_ids_are_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(order_minhash, "RANGE_BYTES", 4000)
+    r = random.Random(11)
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, " ".join(r.choices(WORDS, k=16)), "s") for i in range(3000)]
+    laid, n = order_minhash._neighbours(docs(spark, rows))
+    sizes = sorted(x["count"] for x in laid.where("kind = 0").groupBy("bucket").count().collect())
+    assert sum(sizes) == 3000 and n > 60 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    # equal rows leave a task as one, and their repeats are dealt to all ranges
+    laid, n = order_minhash._neighbours(docs(spark, rows[:300] + [(5, WORDS[0] * 9, "s")] * 6000))
+    assert laid.where("kind = 0").count() < 600 and laid.where("kind = 2").agg(F.sum("count")).first()[0] > 5700
+
+
 def test_edited_texts_odd(spark):
     assert order_minhash.edited_texts(odd(spark)).count() == 12
     assert order_minhash.edited_texts(odd(spark).limit(0)).count() == 0
