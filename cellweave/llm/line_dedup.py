@@ -4,11 +4,13 @@ A line (trimmed of spaces) is boilerplate when it stands on at least ``MIN_SITES
 aggregation counts each line and merges HyperLogLog sketches of its sites, map-side and again after the shuffle,
 so that a line of many rows reaches the reducer as one row from each task. Sketches within ``BAND`` of the
 threshold are settled by an exact distinct count. Boilerplate lines go from every document whatever their share
-of it, except from a proven copy, which is left whole for the near-duplicate stage: a text of nothing but
-boilerplate lines whose set of lines another row has too.
+of it; a text of nothing else becomes empty. Where a near-duplicate stage follows, ``keep_copies`` leaves proven
+copies whole for that: texts of nothing but boilerplate lines whose set of lines another row has too.
 
 Null texts stay null, empty lines are never boilerplate, a null site is one site of its own. Repeated rows
-are each cleaned alike. Input columns named like results are replaced; all others are kept, whatever their names.
+are each cleaned alike. Texts of any length are read and cleaned whole; an empty table gives no rows. A line on just
+``min_sites`` sites is boilerplate. Lines are known by 64-bit hashes: a line is taken for another one with a chance of
+about the number of boilerplate lines in 2^64. Input columns named like results are replaced; all others are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,22 +42,24 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return spread.where(f"sites > {high}").select("line").union(near.where(f"sites >= {min_sites}").select("line"))
 
 
-def _hits(docs: DataFrame, bad: DataFrame, scratch: Scratch) -> DataFrame:
+def _hits(docs: DataFrame, bad: DataFrame, scratch: Scratch, keep_copies: bool) -> DataFrame:
     """``(hit_id, hit_key, lines, copied)``: the boilerplate lines of a text, and whether it is a proven copy."""
     own = F.array_distinct(F.filter(_lines(F.col("text")), lambda x: x != ""))
     held = docs.select("doc_id", F.xxhash64("text").alias("key"), own.alias("own")).select("doc_id", "key", F.size("own").alias("n_own"), F.explode("own").alias("own")).select("doc_id", "key", "n_own", F.xxhash64("own").alias("line"))
     hits = held.join(F.broadcast(bad) if bad.count() <= BROADCAST_LINES else bad, "line").groupBy(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key")).agg(F.collect_set("line").alias("lines"), F.max("n_own").alias("n_own"), F.count("*").alias("c"))
     # each of the repeated rows behind a group brings every line once
     hits = hits.select("hit_id", "hit_key", "lines", F.when(F.size("lines") == F.col("n_own"), F.xxhash64(F.array_sort("lines"))).alias("set"), (F.col("c") / F.size("lines")).alias("rows"))
+    if not keep_copies:
+        return hits.select("hit_id", "hit_key", "lines", F.lit(False).alias("copied"))
     hits = scratch.write("hits", hits)
     copies = hits.where("set is not null").groupBy("set").agg(F.sum("rows").alias("rows")).where("rows > 1").select("set", F.lit(True).alias("copied"))
     return hits.drop("rows").join(copies, "set", "left").select("hit_id", "hit_key", "lines", F.coalesce("copied", F.lit(False)).alias("copied"))
 
 
-def clean(docs: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES) -> DataFrame:
-    """``docs(doc_id, text, source, ...)`` with the text cleaned, and n_lines, n_removed."""
+def clean(docs: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES, keep_copies: bool = False) -> DataFrame:
+    """``docs(doc_id, text, source, ...)`` with the text cleaned, and n_lines, n_removed; proven copies as they are with ``keep_copies``."""
     bad = scratch.write("boilerplate", boilerplate(docs.select("text", F.col("source").alias("site")), min_sites))
-    hits = _hits(docs.select("doc_id", "text"), bad, scratch)
+    hits = _hits(docs.select("doc_id", "text"), bad, scratch, keep_copies)
     docs = docs.drop("n_lines", "n_removed")
     # the input's columns travel in one, so no name of theirs can meet one of ours
     held = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("key"))
@@ -73,7 +77,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean(docs, Scratch(spark, "op8")).select("doc_id", "text", "n_lines", "n_removed")
 
 
-def sql(docs: str = "documents", min_sites: int = MIN_SITES) -> str:
+def sql(docs: str = "documents", min_sites: int = MIN_SITES, keep_copies: bool = False) -> str:
     """The cleaned rows of a table ``docs`` with columns doc_id, text, source, in DuckDB's SQL."""
     return f"""
 with lines as (select doc_id, text, source, unnest(string_split(text, chr(10))) as raw from {docs}),
@@ -81,7 +85,7 @@ bad as (select trim(raw, ' ') as line from lines where trim(raw, ' ') <> '' grou
 badset as (select coalesce(list(line), []) as b from bad),
 cut as (select d.*, string_split(text, chr(10)) as parts, list_filter(string_split(text, chr(10)), lambda x: not list_contains(b, trim(x, ' '))) as kept,
                list_sort(list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''))) as own from {docs} d, badset),
-proven as (select own from cut where len(own) > 0 and len(list_filter(kept, lambda x: trim(x, ' ') <> '')) = 0 group by own having count(*) > 1),
+proven as (select own from cut where len(own) > 0 and len(list_filter(kept, lambda x: trim(x, ' ') <> '')) = 0 and {keep_copies} group by own having count(*) > 1),
 done as (select c.*, len(parts) > len(kept) and o.own is null as go from cut c left join proven o on o.own = c.own)
 select doc_id, case when go then array_to_string(kept, chr(10)) else text end as text, cast(coalesce(len(parts), 0) as bigint) as n_lines,
        cast(case when go then len(parts) - len(kept) else 0 end as bigint) as n_removed from done
