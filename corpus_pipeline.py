@@ -24,7 +24,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cross-site boilerplate lines go from the texts, whatever their share; proven copies wait whole for the next stage."""
-    cleaned = line_dedup.clean(docs, Scratch(spark, "pipeline-lines"))
+    cleaned = line_dedup.clean(docs, Scratch(spark, "pipeline-lines"), keep_copies=True)
     return cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 
