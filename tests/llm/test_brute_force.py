@@ -352,11 +352,13 @@ def test_boilerplate_in_the_query_and_its_sql(spark):
     con = duckdb.connect()
     con.register("documents", d.select("doc_id", "text", "source").toArrow())
     columns = ["doc_id", "text", "n_lines", "n_removed"]
-    got = plain(line_dedup.clean(d, scratch(spark)), columns)
-    rel = con.sql(line_dedup.SQL)
-    assert got == sorted((tuple(x[rel.columns.index(c)] for c in columns) for x in rel.fetchall()), key=repr)
-    by = {x[0]: x for x in got}
-    assert all(by[i][1:] == (t, 2, 1) for i, t in enumerate(own)) and by[20][1] == passage and by[21][1] == f" {passage} \n\n"
+    for keep in (False, True):
+        got = plain(line_dedup.clean(d, scratch(spark), keep_copies=keep), columns)
+        rel = con.sql(line_dedup.sql(keep_copies=keep))
+        assert got == sorted((tuple(x[rel.columns.index(c)] for c in columns) for x in rel.fetchall()), key=repr)
+        by = {x[0]: x for x in got}
+        assert all(by[i][1:] == (t, 2, 1) for i, t in enumerate(own))
+        assert by[20][1] == (passage if keep else "") and by[21][1] == (f" {passage} \n\n" if keep else "\n")
 
 
 # 9
