@@ -174,6 +174,42 @@ def test_wu_manber_matches_find():
         assert sorted(decontaminate.WuManber(patterns).search(text)) == want
 
 
+def test_sieve_misses_no_place(spark):
+    """Long and short patterns, shifts above 255, hashes that are equal in both engines."""
+    r = random.Random(3)
+    for least, size in ((1, 4), (12, 30), (300, 400)):
+        words = ["".join(r.choices("abé", k=r.randrange(1, 5))) for _ in range(50)]
+        text = decontaminate.normal(" ".join(r.choices(words, k=4_000)).encode())
+        starts = [i for i, c in enumerate(text) if c == 32 and i + size < len(text)]
+        patterns = [text[i : text.index(b" ", i + r.randrange(least, size))  + 1] for i in r.sample(starts[:-200], 30)]
+        df = spark.createDataFrame([(p,) for p in patterns], "p binary")
+        short = min(map(len, patterns))
+        sieve = decontaminate._sieve(df.withColumn("head", F.xxhash64(F.substring("p", 1, short))), short)
+        found = [a for a, _ in sieve.places(text)]
+        want = {m.start() for p in patterns for m in re.finditer(b"(?=" + re.escape(p) + b")", text)}
+        assert want <= set(found) and found == sorted(found) and all(text[a] == 32 for a in found)
+
+
+def test_contamination_of_many_patterns(spark, monkeypatch):
+    """Patterns past the bound: the same rows, whatever the tables' sizes, also of repeated passages and whole copies."""
+    r = random.Random(8)
+    items = [(i, " ".join(r.choices(WORDS, k=r.randrange(1, 60)))) for i in range(120)] + [(5, None), (None, "a nameless item of five"), (6, items_text := " ".join(r.choices(WORDS, k=500)))]
+    texts = [" ".join([*r.choices(WORDS, k=r.randrange(0, 90)), items[r.randrange(120)][1], *r.choices(WORDS, k=r.randrange(0, 90))]) for _ in range(150)]
+    rows = [*enumerate(texts), (None, items_text), (None, items_text), (7, items_text + " " + items_text), (8, "Here: a NAMELESS item, of five"), (9, None), (9, "")]
+    d, b = docs(spark, [(i, t, "s") for i, t in rows]), spark.createDataFrame(items, "item_id long, text string")
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    want = sorted(map(tuple, decontaminate.contamination(d, b, scratch(spark)).select(columns).collect()), key=repr)
+    con = duckdb.connect()
+    con.register("documents", d.select("doc_id", "text").toArrow())
+    con.register("benchmark", b.toArrow())
+    assert want == sorted(con.sql(decontaminate.SQL).fetchall(), key=repr)
+    for pieces, words in ((4 << 20, 1 << 23), (500, 1 << 10)):
+        monkeypatch.setattr(decontaminate, "PIECES", pieces)
+        monkeypatch.setattr(decontaminate.Heads, "MAX_WORDS", words)
+        got = decontaminate.contamination(d, b, scratch(spark), group_bytes=0)
+        assert sorted(map(tuple, got.select(columns).collect()), key=repr) == want
+
+
 def test_contamination_in_groups(spark):
     r = random.Random(4)
     items = [(i, " ".join(r.choices(WORDS, k=k))) for i, k in enumerate([20, 14, 13, 3, 1, 40])] + [(7, None), (8, ""), (0, "repeated id with words of its own")]
