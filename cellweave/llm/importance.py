@@ -2,10 +2,11 @@
 
 Words and word pairs are hashed into ``BUCKETS``. The target model is the smoothed distribution of the
 buckets over the texts labelled good, the raw model that over all texts; both are counted by Spark over
-whole tables. A text's log weight is the summed log ratio of its n-grams, divided by their number so that
-length doesn't decide. A Gumbel variable, made from a hash of id and text and a seed, is added to weight over
-temperature, and the rows with the largest keys, a ``KEEP`` share of all, are the sample: that is sampling
-without replacement in proportion to the weights.
+whole tables. A text's log weight is the summed log ratio of its n-grams: with ``whole`` as it is, the log
+probability ratio of the two models for the whole text; else divided by their number, so that length doesn't
+decide, and by the temperature. A Gumbel variable, made from a hash of id and text and a seed, is added, and
+the rows with the largest keys, a ``KEEP`` share of all, are the sample: that is sampling without replacement
+in proportion to the weights. ``log_weight`` is the sum, or the mean before the temperature.
 
 The k-th largest key is found exactly by narrowing histograms, never by sorting in one task; rows with equal
 keys at the cut (repeated rows) are all taken. Null and empty texts have log weight 0. Other columns are
@@ -77,7 +78,7 @@ def log_ratio(counts: DataFrame) -> np.ndarray:
     return np.log((target + PRIOR * raw) / (target.sum() + PRIOR)) - np.log(raw)
 
 
-def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = SEED, temperature: float = TEMPERATURE) -> DataFrame:
+def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = SEED, temperature: float = TEMPERATURE, whole: bool = False) -> DataFrame:
     """``docs`` with log_weight and the Gumbel key."""
     held = docs.sparkSession.sparkContext.broadcast(ratio.astype(np.float32))
     docs = docs.drop("log_weight", "gumbel_key")
@@ -91,9 +92,9 @@ def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = SEED, temperature: flo
                 b = batch.slice(at, 512)
                 row, bucket = ngrams(b.column("text"))
                 n = np.bincount(row, minlength=b.num_rows)
-                w = np.bincount(row, own[bucket], minlength=b.num_rows) / np.maximum(n, 1)
+                w = np.bincount(row, own[bucket], minlength=b.num_rows) / (1 if whole else np.maximum(n, 1))
                 u = (mix(b.column(own_hash).to_numpy().view(np.uint64)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
-                key = w / temperature - np.log(-np.log(np.clip(u, 1e-16, 1 - 1e-16)))
+                key = w / (1 if whole else temperature) - np.log(-np.log(np.clip(u, 1e-16, 1 - 1e-16)))
                 keep = [c for c in b.schema.names if c != own_hash]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(w), pa.array(key)], names=[*keep, "log_weight", "gumbel_key"])
 
@@ -122,13 +123,13 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> float | None:
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, scratch: Scratch, keep: float = KEEP, seed: int = SEED) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, scratch: Scratch, keep: float = KEEP, seed: int = SEED, whole: bool = False) -> DataFrame:
     """``docs`` with log_weight, gumbel_key and selected; ``labels(doc_id, quality)`` names the target texts."""
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("good", F.lit(True))
     # what is sent is what is counted
     sent = F.broadcast(good) if good.count() <= BROADCAST_LABELS else good
     marked = docs.select("doc_id", "text").join(sent, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    rows = weigh(docs, log_ratio(bucket_counts(marked)), seed)
+    rows = weigh(docs, log_ratio(bucket_counts(marked)), seed, whole=whole)
     keys = scratch.write("keys", rows.select("doc_id", "log_weight", "gumbel_key"))
     cut = kth_largest(keys, "gumbel_key", int(keep * keys.count()))
     chosen = F.lit(False) if cut is None else F.col("gumbel_key") >= cut

@@ -504,6 +504,24 @@ def test_resampling(spark):
     assert some.count() == 12 and importance.resample(odd(spark).limit(0), labels, scratch(spark)).count() == 0
 
 
+def test_inclusion_follows_weights(spark):
+    """Of four texts, drawn 4,000 times under other ids, each wins as often as its whole-text probability ratio says."""
+    texts = ["alpha beta gamma", "alpha", "delta epsilon zeta eta", "theta iota kappa lambda mu nu"]
+    ratio = np.random.default_rng(5).normal(0, 0.4, importance.BUCKETS)
+    rows = spark.createDataFrame([(4 * i + k, t) for i in range(4000) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = importance.weigh(rows, ratio, whole=True).toPandas().sort_values("doc_id")
+    weight = got.log_weight.to_numpy()[:4]
+    for t, w in zip(texts, weight):
+        bucket = importance.ngrams(pa.array([t]))[1]
+        assert len(bucket) == 2 * len(t.split()) - 1 and w == pytest.approx(ratio[bucket].sum(), abs=1e-5)
+    wins = np.bincount(got.gumbel_key.to_numpy().reshape(-1, 4).argmax(axis=1), minlength=4) / 4000
+    true = np.exp(weight) / np.exp(weight).sum()
+    assert np.all(np.abs(wins - true) < 4 * np.sqrt(true * (1 - true) / 4000))
+    # the mean over a temperature is the default
+    mean = importance.weigh(rows.limit(4), ratio).toPandas().sort_values("doc_id").log_weight.to_numpy()
+    assert np.allclose(mean * [5, 1, 7, 11], weight, atol=1e-5)
+
+
 def test_kth_largest(spark):
     x = np.random.default_rng(1).normal(size=3000).round(2)
     df = spark.createDataFrame([(float(v),) for v in x], "v double")
