@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cellweave.functions.columns import QUANTILES, finite, statistics, strata_of, unit_hash
+from cellweave.operators import temporal
 from cellweave.operators.grid import few_regions, sent_if_few, zonal_join
 from cellweave.operators.quantiles import with_quantiles
 from cellweave.sources.tables import written
@@ -16,23 +17,35 @@ def strata(cells: DataFrame, v: str, threshold: float = 5.0) -> DataFrame:
     return cells.withColumn("strata", strata_of(F.col(v), threshold))
 
 
-def stratified_sample(cells: DataFrame, v: str, aois: DataFrame, seed: int = 42, n: int = 500, by_class: dict[int, int] | None = None, bins: int = 1 << 14) -> DataFrame:
-    """``(aoi, strata, col, row, v)``: up to n cells of each class in each region, or as many as by_class says.
+def stratified_sample(cells: DataFrame, v: str, aois: DataFrame, seed: int = 42, n: int = 500, by_class: dict[int, int] | None = None, bins: int = 1 << 14, bands: tuple[str, ...] = ()) -> DataFrame:
+    """``(aoi, strata, col, row, v, bands)``: up to n cells of each class in each region, or as many as by_class says.
 
     Cells are counted by bins of their hash first; of a class only the bins up to the one that fills its sample
     are put in order, so no class is sorted whole.
     """
-    held = zonal_join(strata(cells, v).where("strata is not null").select("col", "row", v, "strata"), aois)
+    held = zonal_join(strata(cells, v).where("strata is not null").select("col", "row", v, "strata", *bands), aois)
     want = F.lit(n)
     if by_class:
         want = F.coalesce(F.create_map(*[F.lit(x) for pair in by_class.items() for x in pair])[F.col("strata")], want)
-    keyed = held.select("aoi", "strata", "col", "row", v, F.md5(F.concat_ws(":", F.lit(seed), "col", "row")).alias("h"), want.alias("want"))
+    keyed = held.select("aoi", "strata", "col", "row", v, *bands, F.md5(F.concat_ws(":", F.lit(seed), "col", "row")).alias("h"), want.alias("want"))
     keyed = keyed.withColumn("bin", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / 4294967296.0 * bins).cast("int"))
     counts = keyed.groupBy("aoi", "strata", "want", "bin").agg(F.count("*").alias("m"))
     below = F.sum("m").over(W.partitionBy("aoi", "strata").orderBy("bin")) - F.col("m")
     last = counts.withColumn("below", below).where("below < want").groupBy("aoi", "strata").agg(F.max("bin").alias("last"))
     some = keyed.join(sent_if_few(last, aois), ["aoi", "strata"]).where("bin <= last")
-    return some.withColumn("k", F.row_number().over(W.partitionBy("aoi", "strata").orderBy("h", "col", "row"))).where("k <= want").select("aoi", "strata", "col", "row", v)
+    return some.withColumn("k", F.row_number().over(W.partitionBy("aoi", "strata").orderBy("h", "col", "row"))).where("k <= want").select("aoi", "strata", "col", "row", v, *bands)
+
+
+def stratified_features(years: DataFrame, v: str, aois: DataFrame, first: int, last: int, seed: int = 42, n: int = 500, by_class: dict[int, int] | None = None) -> DataFrame:
+    """``(aoi, strata, col, row, v, mean, std, change, trend, ge5, ge10)``: a stratified sample of the last year's cells
+    with their features over all years of ``years(year, col, row, v)``; cells that lack a feature leave the sample, and others don't replace them.
+
+    The cube with the last year's value is made in one aggregation and written, and the sample carries its bands
+    along: tiles are merged once, and no join brings features back.
+    """
+    cube = temporal.change_cube(years, v, first, last, value=True)
+    bands = tuple(c for c in cube.columns if c not in ("col", "row", v))
+    return stratified_sample(written(cube, "cube"), v, aois, seed, n, by_class, bands=bands).dropna("any", subset=list(bands))
 
 
 def random_points(aois: DataFrame, n: int = 5000, seed: int = 42, scale: float = 1.0) -> DataFrame:

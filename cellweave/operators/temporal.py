@@ -64,11 +64,12 @@ def thresholds(df: DataFrame, v: str, levels: tuple[float, ...] = (5, 10)) -> Da
     return df.withColumns({f"ge{int(t)}": c >= t for t in levels} | {f"lt{int(t)}": ~(c >= t) for t in levels})
 
 
-def change_cube(years: DataFrame, v: str, first: int, last: int, levels: tuple[float, ...] = (5, 10), keys: list[str] = CELL) -> DataFrame:
-    """Mean, deviation, change, trend and threshold masks of the last year: one aggregation over one scan."""
+def change_cube(years: DataFrame, v: str, first: int, last: int, levels: tuple[float, ...] = (5, 10), keys: list[str] = CELL, value: bool = False) -> DataFrame:
+    """Mean, deviation, change, trend and threshold masks of the last year, and its ``value`` if asked for: one aggregation over one scan."""
     c = F.col(v)
     held = years.where(F.col("year").between(first, last))
-    return held.groupBy(*keys).agg(*mean_std(c), change(c, first, last), trend(c), *[(at(c, last) >= t).cast("int").alias(f"ge{int(t)}") for t in levels])
+    own = [at(c, last).alias(v)] if value else []
+    return held.groupBy(*keys).agg(*own, *mean_std(c), change(c, first, last), trend(c), *[(at(c, last) >= t).cast("int").alias(f"ge{int(t)}") for t in levels])
 
 
 def feature_cube(pixels: DataFrame, v: str, first: int, last: int, source: str = "mosaic", tiles: DataFrame | None = None, aois: DataFrame | None = None, best: DataFrame | None = None, order: str | Column | list[str] = ORDER) -> DataFrame:

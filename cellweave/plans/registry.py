@@ -343,7 +343,7 @@ def threshold_masks(spark, d):
 
 @query("select * from feat")
 def feature_cube(spark, d):
-    return temporal.feature_cube(view(spark, d, "pix"), "shr", FIRST, LAST, order=top())
+    return temporal.feature_cube(tables.pix_of(spark, d, FIRST, LAST), "shr", FIRST, LAST, order=top())
 
 
 @query("""select col, row, aoi, round(avg(shr), 6) as mean, round(stddev_pop(shr), 6) as std, round(max(shr) filter (where year = 2001) - max(shr) filter (where year = 1995), 6) as change,
@@ -354,7 +354,7 @@ def feature_cube_best_tile(spark, d):
     """The cube of each region from its best tile of each year alone (tile numbers folded to those that cells have)."""
     tiles = view(spark, d, "tiles")
     best = grid.best_tile(tiles, aois(spark, d), by_year=True).select("aoi", "year", (F.col("tile_id") % 4).alias("tile_id"))
-    return temporal.feature_cube(view(spark, d, "pix"), "shr", FIRST, LAST, "best_tile", aois=aois(spark, d), best=best, order=top())
+    return temporal.feature_cube(tables.pix_of(spark, d, FIRST, LAST), "shr", FIRST, LAST, "best_tile", aois=aois(spark, d), best=best, order=top())
 
 
 _BOX = "(select min(col) c0, max(col) c1, min(row) r0, max(row) r1 from {t})"
@@ -375,7 +375,7 @@ def distance_to_mask(spark, d):
 from feat f left join cells c on c.col = f.col and c.row = f.row left join ({_far("ge5 = 1", "feat", "dist_ge5").format(r=255)}) d5 on d5.col = f.col and d5.row = f.row
 left join ({_far("ge10 = 1", "feat", "dist_ge10").format(r=255)}) d10 on d10.col = f.col and d10.row = f.row""")
 def prior_cube(spark, d):
-    return temporal.prior_cube(temporal.mosaic(view(spark, d, "pix"), ["shr"], top()), "shr", FIRST, LAST)
+    return temporal.prior_cube(temporal.mosaic(tables.pix_of(spark, d, FIRST, LAST), ["shr"], top()), "shr", FIRST, LAST)
 
 
 _CUBE = ["mean", "std", "change", "trend"]
@@ -488,7 +488,7 @@ def stratified_sample(spark, d):
 
 @query(f"select s.*, f.mean, f.std, f.change, f.trend, f.ge5, f.ge10 from ({_SAMPLE}) s join feat f on f.col = s.col and f.row = s.row where f.mean is not null and f.std is not null and f.change is not null and f.trend is not null and f.ge5 is not null and f.ge10 is not null")
 def stratified_features(spark, d):
-    return sampling.at_points(stratified_sample(spark, d), feature_cube(spark, d), ["mean", "std", "change", "trend", "ge5", "ge10"])
+    return sampling.stratified_features(temporal.mosaic(tables.pix_of(spark, d, FIRST, LAST), ["shr"], top()), "shr", aois(spark, d), FIRST, LAST)
 
 
 @query("select aoi, pos, point_id, round(x, 6) as x, round(y, 6) as y, cast(floor(x) as int) as col, cast(floor(y) as int) as row from pts")

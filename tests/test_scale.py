@@ -126,6 +126,23 @@ def test_prior_cube_scans_its_cells_once(spark):
     assert (got[0].dist_ge5, got[5].dist_ge5, got[10].dist_ge30, got[20].dist_ge30, got[39].dist_ge30) == (5.0, 0.0, None, 10.0, 0.0) and got[7].cover == 7.0
 
 
+def test_stratified_features_by_one_cube(spark):
+    """The same rows as a sample of the last year joined with the cube; tiles are read while the cube is made, not after."""
+    r = random.Random(9)
+    years = [(y, c, w, r.choice([None, math.nan, 0.0, 3.0, r.uniform(0, 40)])) for y in (1995, 1998, 2001) for c in range(30) for w in range(20) if r.random() < 0.9]
+    df = spark.createDataFrame(years, "year int, col int, row int, v double")
+    aois = spark.createDataFrame([("a", 0, 0.0, 0.0, 12.0, 20.0), ("b", 1, 8.0, 0.0, 30.0, 20.0), ("none", 2, 500.0, 0.0, 510.0, 9.0)], BOX)
+    names = ["mean", "std", "change", "trend", "ge5", "ge10"]
+    last = df.where("year = 2001").select("col", "row", "v")
+    two = sampling.at_points(sampling.stratified_sample(last, "v", aois, n=40), temporal.change_cube(df, "v", 1995, 2001), names)
+    one = sampling.stratified_features(df, "v", aois, 1995, 2001, n=40)
+    columns = ["aoi", "strata", "col", "row", "v", *names]
+    got = sorted(map(tuple, one.select(columns).collect()))
+    assert got == sorted(map(tuple, two.select(columns).collect())) and {x[0] for x in got} == {"a", "b"} and {x[1] for x in got} == {0, 1, 2}
+    assert one.inputFiles() and all("/cube-" in f for f in one.inputFiles())
+    assert sampling.stratified_features(df.limit(0), "v", aois, 1995, 2001).count() == 0
+
+
 ODD = [1.0, 10.0, None, math.nan, math.inf, -math.inf]
 FINE = [1.0, 10.0, None]
 
