@@ -143,6 +143,25 @@ def test_stratified_features_by_one_cube(spark):
     assert sampling.stratified_features(df.limit(0), "v", aois, 1995, 2001).count() == 0
 
 
+def test_shift_edges_are_exact_quantiles(spark):
+    """Edges from running counts over many tasks are the interpolated quantiles of both samples, with ties and one value alone."""
+    r = random.Random(17)
+    held = {"a": [r.choice([0.0, 2.5, r.gauss(0, 50)]) for _ in range(3000)], "b": [r.choice([0.0, -7.0, r.gauss(9, 5)]) for _ in range(777)], "c": [4.0]}
+    samples = spark.createDataFrame([(k, v) for k, vs in held.items() for v in vs], "aoi string, v double").repartition(7)
+    aois = spark.createDataFrame([(k, i, 0.0, 0.0, 1.0, 1.0) for i, k in enumerate("abcd")], BOX)
+    got = {(x.aoi_a, x.aoi_b): x for x in shift._edges(shift._running(shift._sided(samples, "v", aois)), 20).collect()}
+    assert set(got) == {(p, q) for p in "abcd" for q in "abcd" if p < q}
+    for (p, q), x in got.items():
+        both = held.get(p, []) + held.get(q, [])
+        assert (x.ta, x.tb) == (len(held.get(p, [])), len(held.get(q, [])))
+        want = sorted({round(float(e), 9) for e in np.quantile(both, np.linspace(0, 1, 21))})
+        assert x.edges == pytest.approx(want, abs=2e-9)
+    table = {(x.aoi_a, x.aoi_b): x for x in shift.shift_table(samples, "v", aois).collect()}
+    assert table["a", "d"].psi is None and table["a", "d"].wasserstein is None and table["a", "b"].psi > 0
+    # one value against many: mean distance to it
+    assert table["a", "c"].wasserstein == pytest.approx(np.abs(np.array(held["a"]) - 4.0).mean(), abs=1e-6)
+
+
 ODD = [1.0, 10.0, None, math.nan, math.inf, -math.inf]
 FINE = [1.0, 10.0, None]
 
