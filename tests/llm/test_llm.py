@@ -224,6 +224,9 @@ def test_contamination_in_groups(spark):
         assert sorted(map(tuple, got.collect()), key=repr) == want
     assert [w[5] for w in sorted(want)][:5] == [True, False, False, False, False]
     assert decontaminate.contamination(odd(spark), b.limit(0), scratch(spark)).where("contaminated").count() == 0
+    for size in (8 << 20, 0):
+        assert decontaminate.contamination(d.limit(0), b, scratch(spark), group_bytes=size).count() == 0
+        assert decontaminate.contamination(odd(spark), b, scratch(spark), group_bytes=size).count() == 12
 
 
 # 7
@@ -243,6 +246,7 @@ def test_urls(spark, monkeypatch):
         assert by[5][1:] == ("", None, "allow") and by[6][2:] == ("example.org/en/1", "block") and by[7][2:] == ("com/de/", "block")
         assert by[8][2:] == (None, "allow") and by[9][2] == "org/" and by[10][2] == "org/" and by[11][2] is None and by[12][:2] == ("b", "")
     assert url_filter.judge(pages, rules.limit(0)).where("verdict <> 'allow'").count() == 0
+    assert url_filter.judge(pages.limit(0), rules).count() == 0
 
 
 # 8
