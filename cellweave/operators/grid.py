@@ -108,22 +108,34 @@ def tile_hit_list(tiles: DataFrame, aois: DataFrame) -> DataFrame:
     return cumulative(hits, ["aoi"], [F.col("tile_id")]).withColumn("position", F.col("position").cast("int"))
 
 
+#: the columns of a box
+BOX = ("minx", "miny", "maxx", "maxy")
+
+
 def bounded(shapes: DataFrame) -> DataFrame:
-    """Shapes of one ``ring`` each with the box around it."""
+    """Shapes of one ``ring`` each with the box around it.
+
+    The box is generated: Spark would push filters on computed columns below what makes the ring, and make it again for each.
+    """
     edge = lambda f, axis: f(F.transform("ring", lambda p: p[axis]))
-    return shapes.withColumns({"minx": edge(F.array_min, "x"), "maxx": edge(F.array_max, "x"), "miny": edge(F.array_min, "y"), "maxy": edge(F.array_max, "y")})
+    box = F.struct(*[edge(F.array_max if c[:3] == "max" else F.array_min, c[-1]).alias(c) for c in BOX])
+    return shapes.drop(*BOX).select("*", F.inline(F.array(box)))
 
 
 def tile_areas(tiles: DataFrame, aois: DataFrame, metres: float = 10.0) -> DataFrame:
     """``(aoi, year, tile_id, area)``: tiles that meet a region with the area of their overlap.
 
     Where tiles or regions have a ``ring`` of points in place of a box, boxes around them find the pairs, and the
-    tile's footprint is cut by the region's sides; the region has to be convex.
+    tile's footprint is cut by the region's sides; the region has to be convex. Tiles are dealt to as many tasks as
+    shuffles have partitions, for a layer of many footprints is a small file.
     """
     if "ring" in tiles.columns or "ring" in aois.columns:
-        boxed = lambda df: bounded(df) if "ring" in df.columns else df.withColumn("ring", vector.box_ring(*[F.col(c) for c in ("minx", "miny", "maxx", "maxy")]))
-        pairs = tile_pairs(boxed(tiles), boxed(aois)).select("a.aoi", "t.year", "t.tile_id", vector.clipped(F.col("t.ring"), F.col("a.ring")).alias("both"))
-        return pairs.where(F.size("both") > 0).select("aoi", "year", "tile_id", rounded(F.abs(vector.ring_area(F.col("both"))) * metres * metres).alias("area"))
+        boxed = lambda df: bounded(df) if "ring" in df.columns else df.withColumn("ring", vector.box_ring(*[F.col(c) for c in BOX]))
+        parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        pairs = tile_pairs(boxed(tiles.repartition(parts)), boxed(aois).withColumn("sides", vector.sides(F.col("ring"))))
+        # a generated column is made once a pass, of pairs whose boxes meet: a filter on it can't go into the join
+        cut = pairs.select("a.aoi", "t.year", "t.tile_id", F.explode(F.array(vector.cut(F.col("t.ring"), F.col("a.sides")))).alias("both"))
+        return cut.where(F.size("both") > 0).select("aoi", "year", "tile_id", rounded(F.abs(vector.ring_area(F.col("both"))) * metres * metres).alias("area"))
     width = "greatest(0.0D, least(t.maxx, a.maxx) - greatest(t.minx, a.minx))"
     height = "greatest(0.0D, least(t.maxy, a.maxy) - greatest(t.miny, a.miny))"
     return tile_pairs(tiles, aois).select("a.aoi", "t.year", "t.tile_id", F.expr(f"{width} * {height} * {metres * metres}D").alias("area"))

@@ -156,10 +156,14 @@ def polygon_join(cells: DataFrame, polygons: DataFrame, scale: float = 1.0) -> D
 # areas
 
 
+def _next(ring: Column) -> Column:
+    """The ring from its second point on, then the first one: at each place the point that follows."""
+    return F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+
+
 def ring_area(ring: Column) -> Column:
     """The signed area of a ring of points, positive if they run anticlockwise; closed or not."""
-    n = F.size(ring)
-    terms = F.transform(ring, lambda p, i: p["x"] * ring[(i + 1) % n]["y"] - ring[(i + 1) % n]["x"] * p["y"])
+    terms = F.zip_with(ring, _next(ring), lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
     return F.coalesce(F.aggregate(terms, F.lit(0.0), lambda a, b: a + b), F.lit(0.0)) / 2
 
 
@@ -173,32 +177,40 @@ def open_ring(ring: Column) -> Column:
     return F.when((F.size(ring) > 1) & (F.element_at(ring, 1) == F.element_at(ring, -1)), F.slice(ring, 1, F.size(ring) - 1)).otherwise(ring)
 
 
-def clipped(subject: Column, convex: Column) -> Column:
-    """The part of a ring inside a convex one, cut by the half-plane of one side after the other; empty if they are apart.
+def sides(convex: Column) -> Column:
+    """The sides of a convex ring, anticlockwise, that ``cut`` takes; the ring may run in either direction."""
+    convex = open_ring(convex)
+    convex = F.when(ring_area(convex) < 0, F.reverse(convex)).otherwise(convex)
+    return F.zip_with(convex, _next(convex), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+
 
-    Both are arrays of points, the convex one in either direction. Points on a side count as inside, so rings that
-    only touch leave points without area. A subject that isn't convex may come out with sides that cover each
-    other; its area is right all the same.
+def cut(subject: Column, sides: Column) -> Column:
+    """The part of a ring inside a convex one, cut by the half-plane of one of its sides after the other; empty if they are apart.
+
+    Points on a side count as inside, so rings that only touch leave points without area. A subject that isn't
+    convex may come out with sides that cover each other; its area is right all the same.
     """
-    subject, convex = open_ring(subject), open_ring(convex)
-    convex = F.when(ring_area(convex) < 0, F.reverse(convex)).otherwise(convex)
-    sides = F.transform(convex, lambda p, i: F.struct(p.alias("p"), convex[(i + 1) % F.size(convex)].alias("q")))
 
-    def cut(ring, side):
+    def half(ring, side):
         a, b = side["p"], side["q"]
         left = lambda p: (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
+        placed = F.transform(ring, lambda p: F.struct(p.alias("p"), left(p).alias("left")))
 
-        def step(p, i):
-            q = ring[(i + 1) % F.size(ring)]
-            d, e = left(p), left(q)
+        def step(here, there):
+            p, q, d, e = here["p"], there["p"], here["left"], there["left"]
             t = d / (d - e)
             crossing = F.struct((p["x"] + t * (q["x"] - p["x"])).alias("x"), (p["y"] + t * (q["y"] - p["y"])).alias("y"))
             none = F.filter(F.array(q), lambda z: F.lit(False))
             return F.when((d >= 0) & (e >= 0), F.array(q)).when((d > 0) & (e < 0), F.array(crossing)).when((d < 0) & (e > 0), F.array(crossing, q)).when(e >= 0, F.array(q)).otherwise(none)
 
-        return F.flatten(F.transform(ring, step))
+        return F.flatten(F.zip_with(placed, _next(placed), step))
+
+    return F.aggregate(sides, open_ring(subject), half)
 
-    return F.aggregate(sides, subject, cut)
+
+def clipped(subject: Column, convex: Column) -> Column:
+    """The part of a ring inside a convex one: ``cut`` by its ``sides``. Where one convex ring meets many, a column of its sides saves making them for each."""
+    return cut(subject, sides(convex))
 
 
 def intersection_area(subject: Column, convex: Column) -> Column:

@@ -122,3 +122,20 @@ def test_slanted_footprints_are_ranked_by_area(spark):
     three = spark.createDataFrame([("tri", ring((0, 0), (3, 0), (0, 3)))], "aoi string, ring array<struct<x: double, y: double>>")
     best = grid.best_tile(tiles, three, metres=1.0).collect()
     assert [(r.aoi, r.tile_id, r.area) for r in best] == [("tri", 1, 3.0)]
+
+
+def test_footprints_are_made_and_cut_once_by_many_tasks(spark):
+    x = F.col("id") * 3
+    text = F.format_string("[[%s.0,0.0],[%s.0,0.0],[%s.0,2.0],[%s.0,2.0]]", x, x + 2, x + 3, x + 1)
+    ring = F.transform(F.from_json(text, "array<array<double>>"), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    tiles = spark.range(0, 40, 1, 1).select(F.col("id").alias("tile_id"), F.lit(2001).alias("year"), ring.alias("ring"))
+    aois = spark.createDataFrame([("low", 0, 0.0, 0.0, 30.0, 1.0), ("all", 1, 0.0, 0.0, 200.0, 2.0), ("apart", 2, 0.0, 5.0, 200.0, 9.0)], "aoi string, pos int, minx double, miny double, maxx double, maxy double")
+    areas = grid.tile_areas(tiles, aois, 1.0)
+    # tile 10 touches the low region in a point
+    expected = {("low", k): 2.0 if k < 10 else 0.0 for k in range(11)} | {("all", k): 4.0 for k in range(40)}
+    assert {(r.aoi, r.tile_id): r.area for r in areas.collect()} == expected
+    plan = areas._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert len(joins) == 1 and "flatten(" not in joins[0]
+    assert plan.count("from_json(") == plan.count("flatten(") == 1
+    assert tiles.rdd.getNumPartitions() == 1 and areas.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
